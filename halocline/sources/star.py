@@ -65,15 +65,16 @@ def events(spark: SparkSession, sf_dir: str, flag: str, grain: str = "quarter")
 
 
 def costs(spark: SparkSession, sf_dir: str, grain: str = "quarter") -> DataFrame:
+    """Cost rows; money is summed in whole cents, so that rounding does not depend on the order."""
     organic = F.col("media_source") == "organic"
     n = F.count(F.lit(1))
     return (
         _orders(spark, sf_dir, grain)
         .groupBy(*COST_KEYS)
-        .agg(F.sum("_price").alias("_price"), n.alias("installs"))
+        .agg(F.sum(F.round(F.col("_price") * 100).cast("bigint")).alias("_cents"), n.alias("installs"))
         .select(
             *COST_KEYS,
-            F.when(organic, 0.0).otherwise(F.round(F.col("_price") / 1000, 2)).alias("spend"),
+            F.when(organic, 0.0).otherwise(F.expr("(_cents + 500) div 1000") / 100.0).alias("spend"),
             "installs",
             (F.col("installs") * 20).alias("clicks"),
             F.when(F.col("campaign") == "P", 0).otherwise(F.col("installs") * 1000).alias("impressions"),
