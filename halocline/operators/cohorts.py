@@ -41,11 +41,8 @@ def roll_up(users: DataFrame, keys: Sequence[str], columns: Sequence[str] | None
         kind = cohort_aggregate(f.name, f.dataType)
         if f.name in keys or kind is None or (columns is not None and f.name not in columns):
             continue
-        c = F.col(f"`{f.name}`")
-        if kind == "sum":
-            aggs.append(F.coalesce(F.sum(c), F.lit(0)).alias(f.name))
-        else:
-            aggs.append(F.avg(c).alias(f.name))
+        c = f"`{f.name}`"
+        aggs.append(F.expr(f"coalesce(sum({c}), 0) as {c}" if kind == "sum" else f"avg({c}) as {c}"))
     return users.groupBy(*keys).agg(*aggs)
 
 

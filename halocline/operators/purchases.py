@@ -8,7 +8,7 @@ shuffle, so no key is ever gathered in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,15 +91,12 @@ def day_columns(
     A user with any event in ``0..max_event_day`` gets zeros on idle days; a user
     without one does not appear here and keeps nulls after the left join.
     """
-    day = F.col("day")
-    width = max(last_day, settings.learn_days)
     aggs = [F.min("time").alias("first_time")]
-    for d in range(width + 1):
-        aggs.append(S.zero_if_null(F.sum(F.when(day == d, F.col("amount")))).alias(f"{prefix}_{d}"))
-        aggs.append(F.count(F.when(day == d, 1)).alias(f"{prefix}_count_{d}"))
-    return (
-        with_day(events).filter(day.between(0, settings.max_event_day)).groupBy(*keys).agg(*aggs)
-    )
+    for d in range(max(last_day, settings.learn_days) + 1):
+        aggs.append(F.expr(f"coalesce(sum(amount) filter (where day = {d}), 0.0D) as {prefix}_{d}"))
+        aggs.append(F.expr(f"count_if(day = {d}) as {prefix}_count_{d}"))
+    in_range = F.col("day").between(0, settings.max_event_day)
+    return with_day(events).filter(in_range).groupBy(*keys).agg(*aggs)
 
 
 def user_rows(raw: DataFrame, keys: Sequence[str] = USER_KEYS, drop: Sequence[str] = ()) -> DataFrame:
@@ -112,8 +109,8 @@ def user_rows(raw: DataFrame, keys: Sequence[str] = USER_KEYS, drop: Sequence[st
     return grouped.select(*keys, *[F.col(f"_first.`{c}`").alias(c) for c in passed], "_raw_rows")
 
 
-def _cols(prefix: str, days: range) -> list[Column]:
-    return [F.col(f"{prefix}_{d}") for d in days]
+def _names(prefix: str, days) -> list[str]:
+    return [f"{prefix}_{d}" for d in days]
 
 
 def mean_per_date(users: DataFrame, ratio: Column, name: str, weight: Column) -> DataFrame:
@@ -130,92 +127,110 @@ def mean_per_date(users: DataFrame, ratio: Column, name: str, weight: Column) ->
     return users.join(means, "install_date", "left")
 
 
+def _attach(users: DataFrame | None, facts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Facts on every raw user (left join on the shared key partitioning), or the facts alone."""
+    if users is None:
+        return facts.withColumn("_raw_rows", F.lit(1).cast("bigint")), []
+    base = user_rows(users)
+    passed = [c for c in base.columns if c not in USER_KEYS and c != "_raw_rows"]
+    return base.join(facts, list(USER_KEYS), "left"), passed
+
+
 def iap_features(
-    users: DataFrame, events: DataFrame, settings: Settings = Settings(), ranked_from: DataFrame | None = None
+    users: DataFrame | None,
+    events: DataFrame,
+    settings: Settings = Settings(),
+    ranked_from: DataFrame | None = None,
+    stage: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """In-app purchase features at user grain.
 
-    ``users`` holds every raw user row, ``events`` the long events. ``ranked_from``
-    may narrow the events that the second and third purchase are looked up in.
+    ``users`` holds every raw user row, ``events`` the long events; without
+    ``users`` only users with events come out. ``ranked_from`` may narrow the events
+    that the second and third purchase are looked up in. The mean per install date
+    reads the user rows a second time: ``stage`` may save them in between (see
+    ``sources.sinks.staged``), else the events are scanned twice.
     """
     learn = range(settings.learn_days + 1)
     last_day = settings.horizon if settings.predict_target == "iap" else settings.learn_days
     shown = range(last_day + 1)
+    horizon = range(settings.horizon + 1)
 
-    facts = day_columns(events, "iap", last_day, settings)
+    joined, passed = _attach(users, day_columns(events, "iap", last_day, settings))
     later = nth_times(ranked_from if ranked_from is not None else events, settings.learn_days)
-    base = user_rows(users)
-    passed = [c for c in base.columns if c not in USER_KEYS and c != "_raw_rows"]
-    joined = base.join(facts, list(USER_KEYS), "left").join(later, list(USER_KEYS), "left")
+    joined = joined.join(later, list(USER_KEYS), "left")
 
     start = F.col("install_date").cast("timestamp_ntz")
-    early, late = range(0, 4), range(4, 8)
-    cum = S.row_sum(_cols("iap", learn))
-    count = S.row_sum(_cols("iap_count", learn)).cast("bigint")
-    horizon = range(settings.horizon + 1)
-    d1 = S.row_sum(_cols("iap", [d for d in (0, 1) if d in horizon]))
-    d3 = S.row_sum(_cols("iap", [d for d in early if d in horizon]))
+    cum = S.row_sum(_names("iap", learn))
+    count = S.row_sum(_names("iap_count", learn)).cast("bigint")
 
-    def window_check(days) -> Column:
+    def window_check(days) -> str:
         days = [d for d in days if d in learn]
-        return S.eps_ratio(S.row_sum(_cols("iap", days)), S.row_sum(_cols("iap_count", days)))
+        amount, number = S.row_sum_sql(_names("iap", days)), S.row_sum_sql(_names("iap_count", days))
+        return f"({amount} / ({number} + {S.RATIO_EPS}D))"
 
+    early, late = window_check(range(0, 4)), window_check(range(4, 8))
     derived = joined.select(
         *USER_KEYS,
         *passed,
         "_raw_rows",
-        *[f"iap_{d}" for d in shown],
-        *[f"iap_count_{d}" for d in shown],
-        *[S.eps_ratio(F.col(f"iap_{d}"), F.col(f"iap_count_{d}")).alias(f"iap_check_size_{d}") for d in shown],
+        *_names("iap", shown),
+        *_names("iap_count", shown),
+        *[F.expr(f"iap_{d} / (iap_count_{d} + {S.RATIO_EPS}D) as iap_check_size_{d}") for d in shown],
         S.zero_if_null(S.minutes_between(F.col("first_time"), start)).alias("time_to_first_iap_minutes"),
         S.zero_if_null(S.minutes_between(F.col("second_time"), F.col("first_time"))).alias(
             "time_first_and_second_iap_minutes"
         ),
         cum.alias("iap_cum_learn"),
         F.log1p(cum).alias("log1p_iap_cum_learn"),
-        S.row_count_positive(_cols("iap", learn)).alias("iap_days_with_purchase_learn"),
+        S.row_count_positive(_names("iap", learn)).alias("iap_days_with_purchase_learn"),
         count.alias("iap_purchase_count_learn"),
         S.zero_if_null(S.safe_ratio(cum, count)).alias("iap_avg_check_learn"),
-        d1.alias("rev_d1_iap"),
-        d3.alias("rev_d3_iap"),
-        window_check(early).alias("avg_check_d1_3_iap"),
-        window_check(late).alias("avg_check_d4_7_iap"),
-        S.eps_ratio(window_check(late), window_check(early)).alias("acceleration_iap"),
+        S.row_sum(_names("iap", [d for d in range(2) if d in horizon])).alias("rev_d1_iap"),
+        S.row_sum(_names("iap", [d for d in range(4) if d in horizon])).alias("rev_d3_iap"),
+        F.expr(f"{early} as avg_check_d1_3_iap"),
+        F.expr(f"{late} as avg_check_d4_7_iap"),
+        F.expr(f"{late} / ({early} + {S.RATIO_EPS}D) as acceleration_iap"),
         (count >= 2).cast("bigint").alias("has_second_iap"),
         S.zero_if_null(S.minutes_between(F.col("third_time"), F.col("second_time"))).alias("time_between_iap_2_3"),
     )
+    if stage is not None:
+        derived = stage(derived)
     share = S.eps_ratio(F.col("rev_d1_iap"), F.col("iap_cum_learn"))
     out = mean_per_date(derived, share, "d1_share_iap", F.col("_raw_rows"))
     return out.select(*[c for c in derived.columns if c != "_raw_rows"], "d1_share_iap")
 
 
-def ads_features(users: DataFrame, events: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Ad-revenue features at user grain."""
+def ads_features(users: DataFrame | None, events: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Ad-revenue features at user grain; without ``users`` only users with events come out."""
     learn = range(settings.learn_days + 1)
     last_day = settings.horizon if settings.predict_target == "ads" else settings.learn_days
-
-    facts = day_columns(events, "ads", last_day, settings)
-    base = user_rows(users).drop("_raw_rows")
-    joined = base.join(facts, list(USER_KEYS), "left")
-
-    cum = S.row_sum(_cols("ads", learn))
-    count = S.row_sum(_cols("ads_count", learn)).cast("bigint")
     horizon = range(settings.horizon + 1)
+
+    joined, passed = _attach(users, day_columns(events, "ads", last_day, settings))
+    cum = S.row_sum(_names("ads", learn))
+    count = S.row_sum(_names("ads_count", learn)).cast("bigint")
     return joined.select(
-        *base.columns,
-        *[f"ads_{d}" for d in range(last_day + 1)],
-        *[f"ads_count_{d}" for d in learn],
+        *USER_KEYS,
+        *passed,
+        *_names("ads", range(last_day + 1)),
+        *_names("ads_count", learn),
         cum.alias("ads_cum_learn"),
         F.log1p(cum).alias("log1p_ads_cum_learn"),
-        S.row_count_positive(_cols("ads", learn)).alias("ads_days_with_purchase_learn"),
+        S.row_count_positive(_names("ads", learn)).alias("ads_days_with_purchase_learn"),
         count.alias("ads_purchase_count_learn"),
         S.zero_if_null(S.safe_ratio(cum, count)).alias("ads_avg_check_learn"),
-        S.row_sum(_cols("ads", [d for d in (0, 1) if d in horizon])).alias("ads_rev_d1"),
-        S.row_sum(_cols("ads", [d for d in range(4) if d in horizon])).alias("ads_rev_d3"),
+        S.row_sum(_names("ads", [d for d in range(2) if d in horizon])).alias("ads_rev_d1"),
+        S.row_sum(_names("ads", [d for d in range(4) if d in horizon])).alias("ads_rev_d3"),
     )
 
 
-def build_iap(raw: DataFrame, settings: Settings = Settings(), dedupe_first: bool = False) -> DataFrame:
+def build_iap(
+    raw: DataFrame,
+    settings: Settings = Settings(),
+    dedupe_first: bool = False,
+    stage: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """IAP features from the raw list source. Lists of repeated keys are pooled unless ``dedupe_first``."""
     if dedupe_first:
         raw = first_per_key(raw, USER_KEYS)
@@ -225,6 +240,7 @@ def build_iap(raw: DataFrame, settings: Settings = Settings(), dedupe_first: boo
         explode_lists(raw, time_list, amount_list),
         settings,
         ranked_from=earliest_times(raw, time_list, settings.learn_days),
+        stage=stage,
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,38 +18,33 @@ def existing_days(columns, last_day: int) -> list[str]:
     return [f"sessions_{d}" for d in range(last_day + 1) if f"sessions_{d}" in columns]
 
 
-def slope_by_position(columns: list[Column]) -> Column:
+def slope_by_position(names: Sequence[str]) -> Column:
     """Least-squares slope over column positions 0..n-1; 0 for a single column."""
-    mean = (len(columns) - 1) / 2.0
-    spread = sum((i - mean) ** 2 for i in range(len(columns)))
+    mean = (len(names) - 1) / 2.0
+    spread = sum((i - mean) ** 2 for i in range(len(names)))
     if spread == 0:
         return F.lit(0.0)
-    weighted = F.lit(0.0)
-    for i, c in enumerate(columns):
-        weighted = weighted + S.zero_if_null(c) * (i - mean)
-    return weighted / spread
+    terms = " + ".join(f"coalesce(`{n}`, 0.0D) * ({i - mean}D)" for i, n in enumerate(names))
+    return F.expr(f"({terms}) / {spread}D")
 
 
-def last_positive_position(columns: list[Column]) -> Column:
+def last_positive_position(names: Sequence[str]) -> Column:
     """1-based position of the last positive column, 0 when none is."""
-    out = F.lit(0)
-    for i, c in enumerate(columns, start=1):
-        out = F.when(c > 0, i).otherwise(out)
-    return out.cast("bigint")
+    cases = " ".join(f"when `{n}` > 0 then {i}" for i, n in reversed(list(enumerate(names, start=1))))
+    return F.expr(f"bigint(case {cases} else 0 end)") if names else F.lit(0).cast("bigint")
 
 
 def build_sessions(raw: DataFrame, settings: Settings = Settings()) -> DataFrame:
     df = first_per_key(raw, USER_KEYS)
     names = existing_days(df.columns, WEEK)
-    cols = [F.col(c) for c in names]
     if "active_days_7d" in df.columns:
         idle = F.lit(WEEK) - F.col("active_days_7d")
     else:
-        idle = F.lit(WEEK) - S.row_count_positive(cols[:WEEK])
+        idle = F.lit(WEEK) - S.row_count_positive(names[:WEEK])
     derived = {
-        "sessions_d1": S.row_sum([F.col(c) for c in existing_days(df.columns, 1)]),
-        "session_velocity_slope": slope_by_position(cols) if cols else F.lit(0.0),
-        "last_active_day": last_positive_position(cols),
+        "sessions_d1": S.row_sum(existing_days(df.columns, 1)),
+        "session_velocity_slope": slope_by_position(names) if names else F.lit(0.0),
+        "last_active_day": last_positive_position(names),
         "zero_session_days": F.when(idle < 0, 0).otherwise(idle),
     }
     filled = {}

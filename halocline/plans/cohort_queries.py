@@ -41,13 +41,11 @@ def user_installs(spark: SparkSession, d: str, grain: str = "quarter") -> DataFr
 
 
 def user_iap(spark: SparkSession, d: str, grain: str = "quarter") -> DataFrame:
-    ev = star.events(spark, d, "R", grain)
-    return purchases.iap_features(ev.select(*USER_KEYS).distinct(), ev)
+    return purchases.iap_features(None, star.events(spark, d, "R", grain))
 
 
 def user_ads(spark: SparkSession, d: str, grain: str = "quarter") -> DataFrame:
-    ev = star.events(spark, d, "A", grain)
-    return purchases.ads_features(ev.select(*USER_KEYS).distinct(), ev)
+    return purchases.ads_features(None, star.events(spark, d, "A", grain))
 
 
 def user_table(spark: SparkSession, d: str, grain: str = "quarter") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +45,15 @@ def ingest(spark: SparkSession, datasets: Mapping[str, Mapping[str, str]], overw
             write_table(spark.read.parquet(entry["remote"]), entry["local"], overwrite=overwrite)
             copied.append(name)
     return copied
+
+
+def staged(path: str) -> Callable[[DataFrame], DataFrame]:
+    """A step for plans that read an intermediate table twice: write it, go on from the files.
+
+    ``path`` lies on shared storage, so the rows outlive any executor.
+    """
+
+    def step(df: DataFrame) -> DataFrame:
+        return df.sparkSession.read.parquet(write_table(df, path))
+
+    return step
