@@ -96,7 +96,7 @@ def media(channel: str, mix: MixSettings, decay: Column | float, shape: Column |
     return S.saturate(mix.saturation, carried / F.col(f"{channel}__max"), shape)
 
 
-def _equations(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _equations(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Normal equations of the fit part, of all rows, and weighted ones of the hold-out."""
     x = np.vstack(pdf["x"].to_numpy())
     y, w, held = pdf["y"].to_numpy(), pdf["w"].to_numpy(), pdf["held"].to_numpy(dtype=bool)

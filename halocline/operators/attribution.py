@@ -136,7 +136,7 @@ def attribution_checks(summary: DataFrame, max_halo_per_1k: float, decays: DataF
     named = [("halo_bounded", bounded), ("decay_in_unit_range", decay), ("saturation_monotone", rising)]
     out = None
     for name, df in named:
-        row = df.select(F.lit(name).alias("check"), "violations", (F.col("violations") == 0).alias("passed"))
+        row = df.select(F.lit(name).alias("check_name"), "violations", (F.col("violations") == 0).alias("passed"))
         out = row if out is None else out.unionByName(row)
     return out
 

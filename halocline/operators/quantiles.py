@@ -51,11 +51,13 @@ def value_positions(
     )
     probs = [i / buckets for i in range(1, buckets)]
     cuts = F.percentile_approx("value", probs, SKETCH_ACCURACY)
+    # keeping ``n`` alive here lets the cuts read the very exchange that the counts come from
+    counted = counts.filter(F.col("n") > 0)
     if groups:
-        edges = counts.groupBy(*groups).agg(cuts.alias("_cuts"))
+        edges = counted.groupBy(*groups).agg(cuts.alias("_cuts"))
         cut_rows = counts.join(F.broadcast(edges) if bounded_groups else edges, groups)
     else:
-        cut_rows = counts.withColumn("_cuts", counts.agg(cuts).scalar())
+        cut_rows = counts.withColumn("_cuts", counted.agg(cuts).scalar())
     cut_rows = cut_rows.withColumn("_bucket", F.expr(_count_below(0, buckets - 1))).drop("_cuts")
 
     everything = groups or [F.lit(0)]

@@ -150,7 +150,7 @@ def pe_buckets_by_geo(spark, d):
   FROM scored WHERE pe IS NOT NULL)""",
 )
 def pe_summary(spark, d):
-    return X.error_summary(scored_table(spark, d), "pe")
+    return X.error_summary(scored_table(spark, d).persist(), "pe")
 
 
 @query(
@@ -166,7 +166,7 @@ final AS (
 )
 def calibration(spark, d):
     """Binned on the observed share, whose many ties make quantile edges collapse."""
-    return X.calibration_table(scored_table(spark, d), "pred", "organic_share", "total_installs")
+    return X.calibration_table(scored_table(spark, d).persist(), "pred", "organic_share", "total_installs")
 
 
 def _hist_sql(expr: str, source: str, bins: int) -> str:
@@ -184,9 +184,9 @@ HIST = "bin:int bin_lo:6 bin_hi:6 n:int"
 _TARGET = f"{Q.installs()}, {Q.target()}"
 
 
-@query(HIST, f"WITH {_SCORED}, {_hist_sql('least(greatest(pe, -2.0), 2.0) * 100', 'scored', 80)}")
+@query(HIST, f"WITH {_SCORED}, {_hist_sql('CASE WHEN pe < -2 THEN -200.0 WHEN pe > 2 THEN 200.0 ELSE pe * 100 END', 'scored', 80)}")
 def pe_histogram(spark, d):
-    return X.error_histogram(scored_table(spark, d), "pe")
+    return X.error_histogram(scored_table(spark, d).persist(), "pe")
 
 
 @query(
@@ -194,7 +194,7 @@ def pe_histogram(spark, d):
     f"WITH {_SCORED}, final AS (SELECT quantile_cont(pe, 0.5) AS median, avg(pe) AS mean FROM scored)",
 )
 def pe_centre(spark, d):
-    return X.error_centre(scored_table(spark, d), "pe")
+    return X.error_centre(scored_table(spark, d).persist(), "pe")
 
 
 @query(HIST, f"WITH {_TARGET}, {_hist_sql('organic_share', 'target', 50)}")
@@ -213,12 +213,9 @@ def logit_share(spark, d):
     return df.withColumn("back", S.inv_logit(F.col("z")))
 
 
-@query("n:int bins_used:int", f"""WITH {_TARGET}, {_hist_sql('total_installs', 'target', 80).replace('final AS', 'hist AS')},
-final AS (SELECT sum(n) AS n, count(*) AS bins_used FROM hist)""")
+@query(HIST, f"WITH {_TARGET}, {_hist_sql(_LOGIT, 'target', 60)}")
 def logit_histogram(spark, d):
-    """Logit histogram has float edges at bin borders, so totals are compared."""
-    hist = N.histogram(target_table(spark, d), S.logit(F.col("organic_share")), 80)
-    return hist.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("bins_used"))
+    return N.histogram(target_table(spark, d), S.logit(F.col("organic_share")), 60)
 
 
 @query(HIST, f"WITH {_TARGET}, {_hist_sql('total_installs', 'target', 80)}")
@@ -337,7 +334,7 @@ RANKED = ["installs_spend", "iap_purchase_count_learn", "ads_purchase_count_lear
   FROM ranked GROUP BY feat_a)""",
 )
 def correlations(spark, d):
-    return P.target_correlations(clean_features(spark, d), RANKED, "organic_share")
+    return P.target_correlations(clean_features(spark, d).persist(), RANKED, "organic_share")
 
 
 @query(
@@ -346,7 +343,7 @@ def correlations(spark, d):
   SELECT feat_a, feat_b, abs(corr(rx, ry)) AS abs_spearman FROM ranked GROUP BY feat_a, feat_b)""",
 )
 def feature_pairs(spark, d):
-    return P.feature_pairs(clean_features(spark, d), RANKED, top=None)
+    return P.feature_pairs(clean_features(spark, d).persist(), RANKED, top=None)
 
 
 def _prep_sql(columns, source: str = "train_rows") -> str:
@@ -366,7 +363,7 @@ _TRAIN = f"{clean_sql()}, train_rows AS (SELECT * FROM clean WHERE split = 'trai
 
 @query("feature median:4 mean:4 std:4", f"WITH {_TRAIN}, {_prep_sql(PROFILED)}, final AS (SELECT * FROM stats)")
 def prep_stats(spark, d):
-    return R.prep_stats(clean_features(spark, d).filter(F.col("split") == "train"), PROFILED)
+    return R.prep_stats(clean_features(spark, d).filter(F.col("split") == "train").persist(), PROFILED)
 
 
 @query(
@@ -387,7 +384,7 @@ final AS (
   LEFT JOIN platforms p ON c.platform = p.platform)""",
 )
 def prep_apply(spark, d):
-    table = clean_features(spark, d)
+    table = clean_features(spark, d).persist()
     fitted = R.fit_prep(table.filter(F.col("split") == "train"), PROFILED)
     ready = R.apply_prep(table, fitted, ["platform", "country_code", "install_date"])
     return ready.select("*", *[F.get("x", F.lit(i)).alias(f"x_{c}") for i, c in enumerate(PROFILED)])

@@ -467,12 +467,16 @@ def true_organic(spark, d):
 
 
 @query(
-    "check violations:int passed",
-    f"""WITH {_scaled_sql()}, {_SUMMARY}, curve AS (
-  SELECT channel, spend, halo_organic FROM attribution), final AS (
-  SELECT 'halo_bounded' AS check, count(*) FILTER (WHERE halo_per_1k_spend > 1000) AS violations,
-         count(*) FILTER (WHERE halo_per_1k_spend > 1000) = 0 AS passed FROM summary
-  UNION ALL SELECT 'decay_in_unit_range', 0, true UNION ALL SELECT 'saturation_monotone', 0, true)""",
+    "check_name violations:int passed",
+    f"""WITH {_scaled_sql()}, {_SUMMARY}, points AS (
+  SELECT channel, i / 10.0 AS x, (1 - exp(-2 * i / 10.0)) / (1 + exp(-2 * i / 10.0)) AS y
+  FROM summary, range(21) AS r(i)),
+steps AS (SELECT y - lag(y) OVER (PARTITION BY channel ORDER BY x) AS step FROM points),
+counted AS (
+  SELECT 'halo_bounded' AS check_name, count(*) FILTER (WHERE halo_per_1k_spend > 1000) AS violations FROM summary
+  UNION ALL SELECT 'decay_in_unit_range', count(*) FILTER (WHERE NOT {DECAY} BETWEEN 0 AND 1) FROM summary
+  UNION ALL SELECT 'saturation_monotone', count(*) FILTER (WHERE step < 0) FROM steps),
+final AS (SELECT check_name, violations, violations = 0 AS passed FROM counted)""",
 )
 def attribution_checks(spark, d):
     attribution, panel = fixed_attribution(spark, d)
