@@ -109,7 +109,9 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """
     rows = pair_rows(df, pairs)
     key = ["feat_a", "feat_b"]
-    pearson = rows.groupBy(*key).agg(F.corr("x", "y").alias("pearson"))
+    # not corr(): it divides by a zero deviation, which is an error in ANSI mode
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    pearson = rows.groupBy(*key).agg(F.try_divide(F.covar_pop("x", "y"), spread).alias("pearson"))
 
     def ranks(side: str) -> DataFrame:
         pos = value_positions(rows, side, key, bounded_groups=True)
