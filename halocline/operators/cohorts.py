@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halocline.config import ORGANIC, Settings
 from halocline.functions.policy import cohort_aggregate
+from halocline.operators.keys import null_safe_match, without_collisions
 
 log = logging.getLogger(__name__)
 
@@ -74,6 +75,70 @@ def build_target(installs: DataFrame, keys: Sequence[str], *, train_start, test_
     )
 
 
+def roll_up_sources(
+    sources: Mapping[str, DataFrame],
+    on: Sequence[str],
+    keys: Sequence[str],
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Equal to ``roll_up(merge_on_keys(sources, on), keys)`` for sources with one row per user.
+
+    Sums and means ignore absent users, so each source is reduced on its own and the
+    small cohort tables are joined. No user row ever carries the columns of all
+    sources, and every aggregate stays narrow enough to be compiled well.
+    """
+    named = without_collisions(sources, on)
+    base_name = next(iter(named))
+    base = named.pop(base_name)
+    _require(base, keys, "Cohort keys")
+    owner = base.select(*dict.fromkeys([*on, *keys]))
+    out = roll_up(base, keys, columns)
+    for df in named.values():
+        values = {f.name: cohort_aggregate(f.name, f.dataType) for f in df.schema.fields if f.name not in on}
+        wanted = [c for c, kind in values.items() if kind and (columns is None or c in columns)]
+        if not wanted:
+            continue
+        part = roll_up(owner.join(df.select(*on, *wanted), list(on)), keys, wanted).select(*keys, *wanted)
+        joined = out.alias("l").join(part.alias("r"), null_safe_match("l", "r", keys), "left")
+        filled = [
+            F.expr(f"coalesce(r.`{c}`, 0) as `{c}`" if values[c] == "sum" else f"r.`{c}` as `{c}`") for c in wanted
+        ]
+        out = joined.select("l.*", *filled)
+    return out
+
+
+def target_roll_up(
+    sources: Mapping[str, DataFrame],
+    on: Sequence[str],
+    keys: Sequence[str],
+    *,
+    train_start,
+    test_start,
+    test_end,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Target and features together; the organic count is one more sum over the base source.
+
+    Equal to ``target_with_features`` of the two tables, without its second pass
+    over installs and its join.
+    """
+    name, base = next(iter(sources.items()))
+    _require(base, ["media_source"], "Source column")
+    organic = F.coalesce((F.col("media_source") == ORGANIC).cast("bigint"), F.lit(0))
+    flagged = {**sources, name: base.withColumn("_organic_count", organic)}
+    wanted = None if columns is None else [*columns, "_organic_count"]
+    rolled = roll_up_sources(flagged, on, keys, wanted)
+    rest = [c for c in rolled.columns if c not in keys and c != "_organic_count"]
+    return rolled.select(
+        *keys,
+        F.col("cohort_size").alias(SIZE_COLUMN),
+        F.col("_organic_count").alias("organic_installs"),
+        (F.col("_organic_count") / F.col("cohort_size")).alias("organic_share"),
+        split_label(F.col("install_date"), train_start, test_start, test_end).alias("split"),
+        *rest,
+    )
+
+
 def target_with_features(target: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
     return target.join(features, list(keys), "left")
 

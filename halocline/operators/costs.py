@@ -27,7 +27,7 @@ def cost_ratios(costs: DataFrame) -> DataFrame:
     )
 
 
-def build_costs(costs: DataFrame, installs: DataFrame, salts: int = 16) -> DataFrame:
+def build_costs(costs: DataFrame, installs: DataFrame, salts: int = 64) -> DataFrame:
     """Cost features per user, from raw costs and the install features.
 
     Costs are reduced to one row per key first, so the join cannot fan out and,

@@ -34,18 +34,25 @@ def merge_on_keys(sources: Mapping[str, DataFrame], on: Sequence[str], how: str
     """
     if not sources:
         raise ValueError("No datasets to merge")
-    (_, base), *others = sources.items()
-    out = base
-    for name, df in others:
-        taken = set(out.columns)
+    base, *others = without_collisions(sources, on).values()
+    for df in others:
+        base = base.join(df, on=list(on), how=how)
+    return base
+
+
+def without_collisions(sources: Mapping[str, DataFrame], on: Sequence[str]) -> dict[str, DataFrame]:
+    """The sources with every non-key name unique, as ``merge_on_keys`` names them."""
+    taken: set[str] = set()
+    out = {}
+    for name, df in sources.items():
         renames = {}
         for c in df.columns:
             if c in on or c not in taken:
                 continue
             new = f"{c}_right" if f"{c}_right" not in taken | set(df.columns) else f"{c}_{name}"
             renames[c] = new
-            taken.add(new)
-        out = out.join(df.withColumnsRenamed(renames), on=list(on), how=how)
+        out[name] = df.withColumnsRenamed(renames)
+        taken.update(out[name].columns)
     return out
 
 
@@ -55,22 +62,39 @@ def null_safe_match(left: str, right: str, keys: Sequence[str]) -> Column:
     )
 
 
+HOT_SHARE = 1000
+
+
+def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that own over a thousandth of the rows: by that definition under a thousand of them."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.filter(F.col("_n") * HOT_SHARE > total).select(*keys, F.lit(True).alias("_hot"))
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
     *,
     spread_by: Sequence[str],
-    salts: int = 16,
+    salts: int = 64,
 ) -> DataFrame:
     """Left join of many rows to a lookup that has one row per key; null keys match null keys.
 
     A single key may own a large part of ``rows`` (all organic installs of a big
-    market share one cost key), so each key is split over ``salts`` partitions by a
-    hash of ``spread_by`` and the lookup, much smaller, is repeated once per salt.
+    market share one cost key). Such keys are found by a map-side combined count and
+    broadcast, at most a thousand rows. Their rows are split over ``salts`` partitions
+    by a hash of ``spread_by`` and only their lookup rows are repeated; all other
+    keys join as they are.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    hot = F.broadcast(hot_keys(rows, keys))
+    left = rows.alias("l").join(hot.alias("h"), null_safe_match("l", "h", keys), "left").select("l.*", "h._hot")
+    right = lookup.alias("r").join(hot.alias("h"), null_safe_match("r", "h", keys), "left").select("r.*", "h._hot")
+    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    salted = left.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0))
+    last = F.when(F.col("_hot"), salts - 1).otherwise(0)
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
     joined = salted.alias("l").join(copies.alias("r"), null_safe_match("l", "r", [*keys, "_salt"]), "left")
     extra = [c for c in lookup.columns if c not in keys]
     return joined.select(*[F.col(f"l.`{c}`") for c in rows.columns], *[F.col(f"r.`{c}`") for c in extra])

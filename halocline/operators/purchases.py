@@ -94,7 +94,7 @@ def day_columns(
     aggs = [F.min("time").alias("first_time")]
     for d in range(max(last_day, settings.learn_days) + 1):
         aggs.append(F.expr(f"coalesce(sum(amount) filter (where day = {d}), 0.0D) as {prefix}_{d}"))
-        aggs.append(F.expr(f"count_if(day = {d}) as {prefix}_count_{d}"))
+        aggs.append(F.expr(f"count(case when day = {d} then 1 end) as {prefix}_count_{d}"))
     in_range = F.col("day").between(0, settings.max_event_day)
     return with_day(events).filter(in_range).groupBy(*keys).agg(*aggs)
 
@@ -113,18 +113,29 @@ def _names(prefix: str, days) -> list[str]:
     return [f"{prefix}_{d}" for d in days]
 
 
-def mean_per_date(users: DataFrame, ratio: Column, name: str, weight: Column) -> DataFrame:
+def mean_per_date(
+    users: DataFrame, ratio: Column, name: str, weight: Column, alive: Sequence[str] = ()
+) -> DataFrame:
     """Mean of a user ratio per install date, put back on the users.
 
     Dates are bounded by the calendar (under 4 million values), so the table of
     means is broadcast; a timestamp column has no such bound and joins by shuffle.
+    Naming the columns of an aggregate below in ``alive`` (counts, so a filter on
+    them holds) stops their pruning: both readers then share that aggregate's exchange.
     """
-    means = users.groupBy("install_date").agg(
+    rows = users
+    for c in alive:
+        rows = rows.filter(F.coalesce(F.col(c), F.lit(0)) >= 0)
+    means = rows.groupBy("install_date").agg(
         (F.sum(ratio * weight) / F.sum(F.when(ratio.isNotNull(), weight))).alias(name)
     )
     if isinstance(users.schema["install_date"].dataType, T.DateType):
         means = F.broadcast(means)
-    return users.join(means, "install_date", "left")
+    # null-safe, since a plain join would push "date is not null" into one reader's scan only
+    same_date = F.col("u.install_date").eqNullSafe(F.col("m.install_date"))
+    joined = users.alias("u").join(means.alias("m"), same_date, "left")
+    mean = F.when(F.col("u.install_date").isNotNull(), F.col(f"m.{name}"))
+    return joined.select("u.*", mean.alias(name))
 
 
 def _attach(users: DataFrame | None, facts: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -149,7 +160,7 @@ def iap_features(
     ``users`` only users with events come out. ``ranked_from`` may narrow the events
     that the second and third purchase are looked up in. The mean per install date
     reads the user rows a second time: ``stage`` may save them in between (see
-    ``sources.sinks.staged``), else the events are scanned twice.
+    ``sources.sinks.staged``), else both readers share the exchange of the day sums.
     """
     learn = range(settings.learn_days + 1)
     last_day = settings.horizon if settings.predict_target == "iap" else settings.learn_days
@@ -197,7 +208,8 @@ def iap_features(
     if stage is not None:
         derived = stage(derived)
     share = S.eps_ratio(F.col("rev_d1_iap"), F.col("iap_cum_learn"))
-    out = mean_per_date(derived, share, "d1_share_iap", F.col("_raw_rows"))
+    alive = [] if stage is not None else [*_names("iap_count", shown), "time_to_first_iap_minutes"]
+    out = mean_per_date(derived, share, "d1_share_iap", F.col("_raw_rows"), alive)
     return out.select(*[c for c in derived.columns if c != "_raw_rows"], "d1_share_iap")
 
 

@@ -48,21 +48,23 @@ def user_ads(spark: SparkSession, d: str, grain: str = "quarter") -> DataFrame:
     return purchases.ads_features(None, star.events(spark, d, "A", grain))
 
 
+def user_sources(spark: SparkSession, d: str, grain: str = "quarter") -> dict[str, DataFrame]:
+    """Features of all seven sources, installs first."""
+    installs = user_installs(spark, d, grain)
+    return {
+        "installs": installs,
+        "ads": user_ads(spark, d, grain),
+        "iap": user_iap(spark, d, grain),
+        "sessions": build_sessions(star.sessions(spark, d, grain)),
+        "personal": build_users(star.user_list(spark, d, grain)),
+        "costs": build_costs(star.costs(spark, d, grain), installs),
+        "devices": build_users(star.user_list(spark, d, grain)),
+    }
+
+
 def user_table(spark: SparkSession, d: str, grain: str = "quarter") -> DataFrame:
     """All seven sources joined at user grain."""
-    installs = user_installs(spark, d, grain)
-    return merge_on_keys(
-        {
-            "installs": installs,
-            "ads": user_ads(spark, d, grain),
-            "iap": user_iap(spark, d, grain),
-            "sessions": build_sessions(star.sessions(spark, d, grain)),
-            "personal": build_users(star.user_list(spark, d, grain)),
-            "costs": build_costs(star.costs(spark, d, grain), installs),
-            "devices": build_users(star.user_list(spark, d, grain)),
-        },
-        USER_KEYS,
-    )
+    return merge_on_keys(user_sources(spark, d, grain), USER_KEYS)
 
 
 def target_table(spark: SparkSession, d: str, grain: str = "quarter") -> DataFrame:
@@ -77,8 +79,14 @@ def target_table(spark: SparkSession, d: str, grain: str = "quarter") -> DataFra
 
 def feature_table(spark: SparkSession, d: str, grain: str = "quarter") -> DataFrame:
     """Target with the rolled-up features of every source."""
-    rolled = cohorts.roll_up(user_table(spark, d, grain), TARGET_KEYS)
-    return cohorts.target_with_features(target_table(spark, d, grain), rolled, TARGET_KEYS)
+    return cohorts.target_roll_up(
+        user_sources(spark, d, grain),
+        USER_KEYS,
+        TARGET_KEYS,
+        train_start=star.TRAIN_START,
+        test_start=star.TEST_START,
+        test_end=star.TEST_END,
+    )
 
 
 def clean_features(spark: SparkSession, d: str, grain: str = "quarter", min_size: int = 30) -> DataFrame:
@@ -285,7 +293,7 @@ def merge_sources(spark, d):
     f"WITH {Q.all_sources()}, {Q.roll_up('platform, media_source, country_code, install_date', 'final')}",
 )
 def cohort_rollup(spark, d):
-    return cohorts.roll_up(user_table(spark, d), list(Settings().cohort_keys))
+    return cohorts.roll_up_sources(user_sources(spark, d), USER_KEYS, list(Settings().cohort_keys))
 
 
 @query(
@@ -308,6 +316,25 @@ def target_with_features(spark, d):
     return feature_table(spark, d)
 
 
+@query(
+    "platform country_code install_date total_installs:int organic_share:6 split cohort_size:int spend:3 cpi:9",
+    f"""WITH {Q.installs()}, {Q.costs()}, {Q.cost_ratios()}, {Q.cost_features()}, {Q.target()}, rolled AS (
+  SELECT platform, country_code, i.install_date, count(*) AS cohort_size, coalesce(sum(spend), 0) AS spend,
+         avg(cpi) AS cpi
+  FROM installs i JOIN cost_features c ON i.match_id = c.match_id AND i.install_date = c.install_date
+  GROUP BY platform, country_code, i.install_date),
+final AS (
+  SELECT t.*, r.cohort_size, r.spend, r.cpi FROM target t LEFT JOIN rolled r ON t.platform = r.platform
+   AND t.country_code = r.country_code AND t.install_date = r.install_date)""",
+)
+def target_join_features(spark, d):
+    """The two tables built apart and joined on the target keys."""
+    installs = user_installs(spark, d)
+    users = merge_on_keys({"installs": installs, "costs": build_costs(star.costs(spark, d), installs)}, USER_KEYS)
+    rolled = cohorts.roll_up(users, TARGET_KEYS, ["spend", "cpi"])
+    return cohorts.target_with_features(target_table(spark, d), rolled, TARGET_KEYS)
+
+
 _CLEAN = [c for c in Settings().features if c in Q.SUMMED or c in Q.AVERAGED]
 
 

@@ -27,7 +27,6 @@ from halocline.operators import panel as P
 from halocline.operators import profile as O
 from halocline.operators import quantiles as N
 from halocline.operators.cleaning_report import cleaning_report
-from halocline.operators.keys import merge_on_keys
 from halocline.operators.purchases import build_iap
 from halocline.sources import readers, sinks
 
@@ -73,26 +72,27 @@ def build_features(spark: SparkSession, paths: Paths, settings: Settings = Setti
     return done
 
 
-def _users(spark: SparkSession, paths: Paths) -> DataFrame:
+def _users(spark: SparkSession, paths: Paths) -> dict[str, DataFrame]:
     names = [n for n in E.BUILDERS if readers.path_exists(spark, paths.feature(n))]
-    scans = readers.ordered_feature_scans(spark, {n: paths.feature(n) for n in names})
-    return merge_on_keys(scans, USER_KEYS)
+    return readers.ordered_feature_scans(spark, {n: paths.feature(n) for n in names})
 
 
 def build_cohorts(spark: SparkSession, paths: Paths, settings: Settings = Settings()) -> str:
     """Cohort table on all cohort keys."""
-    rolled = C.roll_up(_users(spark, paths), settings.cohort_keys)
+    rolled = C.roll_up_sources(_users(spark, paths), USER_KEYS, settings.cohort_keys)
     return sinks.write_table(rolled, paths.table("cohort_level"))
 
 
 def build_targets(spark: SparkSession, paths: Paths, settings: Settings = Settings()) -> dict[str, DataFrame]:
     """Target with features, written once and partitioned by split."""
-    keys = list(settings.target_keys)
-    installs = readers.scan(spark, paths.feature("installs"), [*keys, "media_source"])
-    target = C.build_target(
-        installs, keys, train_start=settings.train_start, test_start=settings.test_start, test_end=settings.test_end
+    full = C.target_roll_up(
+        _users(spark, paths),
+        USER_KEYS,
+        list(settings.target_keys),
+        train_start=settings.train_start,
+        test_start=settings.test_start,
+        test_end=settings.test_end,
     )
-    full = C.target_with_features(target, C.roll_up(_users(spark, paths), keys), keys)
     return sinks.write_split(full, paths.table("targets"))
 
 
