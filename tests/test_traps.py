@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from halocline.config import MixSettings, Settings, load_settings
@@ -68,7 +67,7 @@ def test_null_amount_counts(spark):
 
 
 def test_unequal_lists_raise(spark):
-    with pytest.raises(SparkRuntimeException, match="differ in length"):
+    with pytest.raises(Exception, match="differ in length"):
         build_iap(spark.createDataFrame([("a", DAY, [at(0), at(1)], [1.0])], IAP)).collect()
 
 
