@@ -69,7 +69,8 @@ def fit_prep(
     df: DataFrame, features: Sequence[str], country: str | None = "country_code", platform: str | None = "platform"
 ) -> Prep:
     by_name = {r["feature"]: r for r in prep_stats(df, features).collect()}
-    rows = [by_name[f] for f in features]
+    no_rows = {"median": 0.0, "mean": 0.0, "std": 1.0}
+    rows = [by_name.get(f, no_rows) for f in features]
     return Prep(
         features=tuple(features),
         medians=tuple(r["median"] for r in rows),
@@ -91,7 +92,8 @@ def scaled(prep: Prep) -> dict[str, Column]:
 def category_index(column: str, values: Sequence[str], strict: bool = False) -> Column:
     """Position of the value in the fitted list; an unknown one gets index 0, or raises when ``strict``."""
     name = F.coalesce(F.col(column).cast("string"), F.lit("None"))
-    place = F.array_position(F.array(*[F.lit(v) for v in values]), name) - 1
+    known = F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    place = F.array_position(known, name) - 1
     if strict:
         unseen = F.raise_error(F.concat(F.lit(f"unknown {column}: "), name)).cast("bigint")
         return F.when(place < 0, unseen).otherwise(place)
