@@ -89,8 +89,9 @@ class BinomialSettings:
     chains: int = 2
     draws: int = 500
     random_seed: int = 42
-    max_iter: int = 25
-    tol: float = 1e-7
+    max_iter: int = 100
+    tol: float = 3e-4
+    spread_tol: float = 1e-3
 
 
 @dataclass(frozen=True)

@@ -3,8 +3,10 @@
 ``organic ~ Binomial(total, p)``, ``logit p = alpha + x.beta + u_country + u_platform``
 with normal priors. Every iteration is one distributed pass: tasks reduce their rows
 to the blocks of the weighted normal equations, Spark adds the blocks up, and the
-driver solves one system in the coefficients (features, countries, platforms). The
-two spreads follow from an expectation step on the same system.
+driver solves for the coefficients. The country block of the system is diagonal, so it is
+eliminated first (Schur complement): what is solved densely has the size of features and platforms,
+and everything that grows with the countries is linear in them. The two spreads follow from an
+expectation step on the same system.
 """
 
 from __future__ import annotations
@@ -23,6 +25,26 @@ from halocline.config import BinomialSettings
 from halocline.models.prep import Prep, apply_prep, fit_prep
 
 
+@dataclass(frozen=True)
+class Curvature:
+    """Inverse of the penalised information, in blocks.
+
+    ``core`` is the covariance of the dense part (intercept, features, platforms), ``diagonal`` the
+    information of each country given the rest, ``cross`` the information between countries and dense part.
+    """
+
+    core: np.ndarray
+    diagonal: np.ndarray
+    cross: np.ndarray
+
+    def core_sd(self) -> np.ndarray:
+        return np.sqrt(np.diag(self.core))
+
+    def country_variance(self) -> np.ndarray:
+        lean = self.cross / self.diagonal[:, None]
+        return 1.0 / self.diagonal + np.einsum("ij,jk,ik->i", lean, self.core, lean)
+
+
 @dataclass(frozen=True)
 class BinomialModel:
     prep: Prep
@@ -32,8 +54,9 @@ class BinomialModel:
     u_platform: tuple[float, ...]
     sigma_country: float
     sigma_platform: float
-    covariance: np.ndarray
+    curvature: Curvature
     iterations: int
+    converged: bool
 
 
 def _blocks(theta: np.ndarray, n_fixed: int, n_country: int):
@@ -62,9 +85,10 @@ def _blocks(theta: np.ndarray, n_fixed: int, n_country: int):
             p = pdf["platform_idx"].to_numpy()
             k = pdf["k"].to_numpy(dtype=float)
             n = pdf["n"].to_numpy(dtype=float)
-            eta = np.clip(x @ beta + u_c[c] + u_p[p], -30.0, 30.0)
-            prob = 1.0 / (1.0 + np.exp(-eta))
-            w = n * prob * (1.0 - prob)
+            eta = x @ beta + u_c[c] + u_p[p]
+            small = np.exp(-np.abs(eta))  # never overflows, whatever the row
+            prob = np.where(eta >= 0, 1.0, small) / (1.0 + small)
+            w = n * small / (1.0 + small) ** 2
             score = k - n * prob
             loglik += float(np.sum(k * eta - n * np.logaddexp(0.0, eta)))
             hot = np.zeros((len(pdf), n_p))
@@ -89,32 +113,60 @@ def _blocks(theta: np.ndarray, n_fixed: int, n_country: int):
     return reduce_task
 
 
-def _normal_equations(matrix: DataFrame, theta: np.ndarray, n_fixed: int, n_c: int, n_p: int):
-    """Information matrix, score and log-likelihood at ``theta``; collects a bounded number of sums."""
+@dataclass
+class Equations:
+    """Information and score at some coefficients: dense part first, then one entry or row per country."""
+
+    info: np.ndarray
+    score: np.ndarray
+    diagonal: np.ndarray
+    cross: np.ndarray
+    country_score: np.ndarray
+    loglik: float
+
+
+def _normal_equations(matrix: DataFrame, theta: np.ndarray, n_fixed: int, n_c: int, n_p: int) -> Equations:
+    """Sums of one pass; what is collected is linear in the countries."""
     parts = matrix.mapInPandas(_blocks(theta, n_fixed, n_c), "kind string, i int, v array<double>")
     sums = (
         parts.select("kind", "i", F.posexplode("v").alias("j", "v")).groupBy("kind", "i", "j").agg(F.sum("v")).collect()
     )
-    size = n_fixed + n_c + n_p
-    info, score, loglik = np.zeros((size, size)), np.zeros(size), 0.0
-    at = list(range(n_fixed)) + list(range(n_fixed + n_c, size))
-    start = {"x": 0, "c": n_fixed, "p": n_fixed + n_c}
+    size = n_fixed + n_p
+    out = Equations(np.zeros((size, size)), np.zeros(size), np.zeros(n_c), np.zeros((n_c, size)), np.zeros(n_c), 0.0)
     for kind, i, j, v in sums:
         if kind == "l":
-            loglik = v
-        elif j == len(at):
-            score[start[kind] + i] = v
+            out.loglik = v
+        elif kind == "c":
+            if j == size:
+                out.country_score[i] = v
+            else:
+                out.cross[i, j] = v
         else:
-            info[start[kind] + i, at[j]] = v
-            info[at[j], start[kind] + i] = v
-            if kind == "c" and j == 0:
-                info[n_fixed + i, n_fixed + i] = v
-    return info, score, loglik
-
-
-def _spread(u: np.ndarray, cov: np.ndarray, prior: float) -> float:
+            row = i if kind == "x" else n_fixed + i
+            if j == size:
+                out.score[row] = v
+            else:
+                out.info[row, j] = out.info[j, row] = v
+    out.diagonal[:] = out.cross[:, 0]  # the intercept's column sums a country's weights
+    return out
+
+
+def _solve(eq: Equations, core_precision: np.ndarray, country_precision: float, core: np.ndarray, country: np.ndarray):
+    """Newton step of the penalised likelihood for the dense part and the countries, and the curvature."""
+    diagonal = eq.diagonal + country_precision
+    g_core = eq.score - core_precision * core
+    g_country = eq.country_score - country_precision * country
+    lean = eq.cross / diagonal[:, None]
+    inverse = np.linalg.inv(eq.info + np.diag(core_precision) - eq.cross.T @ lean)
+    step = inverse @ (g_core - lean.T @ g_country)
+    return step, (g_country - eq.cross @ step) / diagonal, Curvature(inverse, diagonal, eq.cross)
+
+
+def _spread(u: np.ndarray, variances: np.ndarray, prior: float) -> float:
     """Expectation step for a group spread under a half-normal prior."""
-    n, s = len(u), float(u @ u + np.trace(cov))
+    n, s = len(u), float(u @ u + variances.sum())
+    if not n:
+        return prior
     var = prior**2 * (-n + math.sqrt(n * n + 4.0 * s / prior**2)) / 2.0
     return math.sqrt(max(var, 1e-8))
 
@@ -130,68 +182,89 @@ def fit_binomial(
     learn_spread: bool = True,
     spreads: tuple[float, float] = (0.5, 0.5),
 ) -> BinomialModel:
-    """Posterior mode and curvature. The prepared matrix is kept across the passes."""
+    """Posterior mode and curvature. The prepared matrix is kept across the passes.
+
+    A step that lowers the penalised likelihood is halved and tried again. ``converged`` says whether the
+    last step stayed below ``tol`` and the spreads moved less than ``spread_tol`` (relative).
+    """
     prep = prep or fit_prep(train, features)
     counts = [F.col(organic).cast("double").alias("k"), F.col(total).cast("double").alias("n")]
     matrix = apply_prep(train.withColumns({"k": counts[0], "n": counts[1]}), prep, ["k", "n"])
     matrix = matrix.persist(StorageLevel.MEMORY_AND_DISK)
+    n_fixed, n_c, n_p = 1 + len(features), len(prep.countries), len(prep.platforms)
+    core, country = np.zeros(n_fixed + n_p), np.zeros(n_c)
+    step, country_step = np.zeros_like(core), np.zeros_like(country)
+    sigma_c, sigma_p = spreads
+    best, largest, converged, steps = -math.inf, 0.0, False, 0
+
+    def equations() -> Equations:
+        return _normal_equations(matrix, np.concatenate([core[:n_fixed], country, core[n_fixed:]]), n_fixed, n_c, n_p)
+
+    def penalty(core: np.ndarray, country: np.ndarray, core_precision: np.ndarray) -> float:
+        return 0.5 * float(core_precision @ core**2 + country @ country / sigma_c**2)
+
     try:
-        n_fixed, n_c, n_p = 1 + len(features), len(prep.countries), len(prep.platforms)
-        theta = np.zeros(n_fixed + n_c + n_p)
-        sigma_c, sigma_p = spreads
-        c_at = slice(n_fixed, n_fixed + n_c)
-        p_at = slice(n_fixed + n_c, None)
-        steps = 0
         for steps in range(1, settings.max_iter + 1):
-            info, score, _ = _normal_equations(matrix, theta, n_fixed, n_c, n_p)
-            precision = np.concatenate(
+            core_precision = np.concatenate(
                 [
                     [settings.alpha_prior_sigma**-2],
                     np.full(len(features), settings.beta_prior_sigma**-2),
-                    np.full(n_c, sigma_c**-2),
                     np.full(n_p, sigma_p**-2),
                 ]
             )
-            cov = np.linalg.inv(info + np.diag(precision))
-            step = cov @ (score - precision * theta)
-            theta = theta + step
-            old = (sigma_c, sigma_p)
+            eq = equations()
+            while eq.loglik - penalty(core, country, core_precision) < best - 1e-9 * abs(best) and largest > settings.tol:
+                step, country_step, largest = step / 2, country_step / 2, largest / 2
+                core, country = core - step, country - country_step
+                eq = equations()
+            step, country_step, curvature = _solve(eq, core_precision, sigma_c**-2, core, country)
+            core, country = core + step, country + country_step
+            moved = 0.0
             if learn_spread:
-                sigma_c = _spread(theta[c_at], cov[c_at, c_at], settings.spread_prior_sigma)
-                sigma_p = _spread(theta[p_at], cov[p_at, p_at], settings.spread_prior_sigma)
-            moved = max(abs(sigma_c - old[0]) / old[0], abs(sigma_p - old[1]) / old[1])
-            if np.max(np.abs(step)) < settings.tol ** 0.5 and moved < 1e-3:
+                old = (sigma_c, sigma_p)
+                sigma_c = _spread(country, curvature.country_variance(), settings.spread_prior_sigma)
+                sigma_p = _spread(core[n_fixed:], np.diag(curvature.core)[n_fixed:], settings.spread_prior_sigma)
+                moved = max(abs(sigma_c / old[0] - 1.0), abs(sigma_p / old[1] - 1.0))
+            # the value to beat, under the spreads that the next pass will use
+            before, prior = core - step, country - country_step
+            core_precision[n_fixed:] = sigma_p**-2
+            best = eq.loglik - penalty(before, prior, core_precision)
+            largest = max(np.abs(step).max(initial=0.0), np.abs(country_step).max(initial=0.0))
+            if largest < settings.tol and moved < settings.spread_tol:
+                converged = True
                 break
     finally:
         matrix.unpersist()
     return BinomialModel(
         prep=prep,
-        alpha=float(theta[0]),
-        beta=tuple(theta[1:n_fixed]),
-        u_country=tuple(theta[c_at]),
-        u_platform=tuple(theta[p_at]),
+        alpha=float(core[0]),
+        beta=tuple(core[1:n_fixed]),
+        u_country=tuple(country),
+        u_platform=tuple(core[n_fixed:]),
         sigma_country=sigma_c,
         sigma_platform=sigma_p,
-        covariance=cov,
+        curvature=curvature,
         iterations=steps,
+        converged=converged,
     )
 
 
 def predict_binomial(model: BinomialModel, df: DataFrame) -> DataFrame:
-    """Add ``pred``, the share at the fitted coefficients. A projection."""
+    """Add ``pred``, the share at the fitted coefficients. Effects are joined by name as a small table; unknown names get the first one's."""
     from halocline.functions.scalar import inv_logit
-    from halocline.models.prep import category_index, scaled
+    from halocline.models.prep import with_category, scaled
 
     z = F.lit(model.alpha)
     for b, column in zip(model.beta, scaled(model.prep).values()):
         z = z + column * F.lit(float(b))
+    out = df
     for column, values, effects in (
         ("country_code", model.prep.countries, model.u_country),
         ("platform", model.prep.platforms, model.u_platform),
     ):
-        table = F.array(*[F.lit(float(u)) for u in effects])
-        z = z + F.get(table, category_index(column, values))
-    return df.withColumn("pred", inv_logit(z))
+        out = with_category(out, column, values, f"_u_{column}", [float(u) for u in effects])
+        z = z + F.col(f"_u_{column}")
+    return out.withColumn("pred", inv_logit(z)).drop("_u_country_code", "_u_platform")
 
 
 def counts_from_share(df: DataFrame, share: str, total: str) -> DataFrame:
@@ -211,36 +284,46 @@ def parameter_names(model: BinomialModel) -> list[str]:
 def effects_table(model: BinomialModel, spark: SparkSession) -> DataFrame:
     """Every coefficient with its posterior deviation."""
     values = [model.alpha, *model.beta, *model.u_country, *model.u_platform]
-    sds = np.sqrt(np.diag(model.covariance))
+    core, n = model.curvature.core_sd(), 1 + len(model.beta)
+    sds = [*core[:n], *np.sqrt(model.curvature.country_variance()), *core[n:]]
     rows = [(n, float(v), float(s)) for n, v, s in zip(parameter_names(model), values, sds)]
     return spark.createDataFrame(rows, "param string, value double, sd double")
 
 
+def fit_table(model: BinomialModel, spark: SparkSession) -> DataFrame:
+    """One row about the fit itself."""
+    row = (model.iterations, model.converged, model.sigma_country, model.sigma_platform)
+    return spark.createDataFrame([row], "iterations int, converged boolean, sigma_country double, sigma_platform double")
+
+
 def posterior_draws(
     model: BinomialModel, spark: SparkSession, settings: BinomialSettings = BinomialSettings()
 ) -> DataFrame:
     """Laplace draws as a long table ``(chain, draw, param, value)``, made on the executors.
 
-    Each draw is seeded by its own number, so a lost task gives the same rows again.
+    The dense part is drawn from its covariance, the countries given it. Each draw is seeded by its own number, so
+    a lost task gives the same rows again.
     """
-    names = parameter_names(model)
-    centre = np.array([model.alpha, *model.beta, *model.u_country, *model.u_platform])
-    root = np.linalg.cholesky(model.covariance + 1e-12 * np.eye(len(centre)))
+    names, n = parameter_names(model), 1 + len(model.beta)
+    core = np.array([model.alpha, *model.beta, *model.u_platform])
+    country = np.array(model.u_country)
+    bend = model.curvature
+    root = np.linalg.cholesky(bend.core + 1e-12 * np.eye(len(core)))
+    lean, spread = bend.cross / bend.diagonal[:, None], 1.0 / np.sqrt(bend.diagonal)
     per_chain, seed = settings.draws, settings.random_seed
 
+    def one(number: int) -> np.ndarray:
+        rng = np.random.default_rng([seed, number])
+        off = root @ rng.standard_normal(len(core))
+        own = country - lean @ off + spread * rng.standard_normal(len(country))
+        return np.concatenate([(core + off)[:n], own, (core + off)[n:]])
+
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids = pdf["id"].to_numpy()
-            z = np.vstack([np.random.default_rng([seed, int(i)]).standard_normal(len(centre)) for i in ids])
-            values = centre + z @ root.T
-            yield pd.DataFrame(
-                {
-                    "chain": np.repeat(ids // per_chain, len(names)),
-                    "draw": np.repeat(ids % per_chain, len(names)),
-                    "param": np.tile(names, len(ids)),
-                    "value": values.ravel(),
-                }
-            )
+            for number in pdf["id"].tolist():
+                yield pd.DataFrame(
+                    {"chain": number // per_chain, "draw": number % per_chain, "param": names, "value": one(number)}
+                )
 
     ids = spark.range(settings.chains * per_chain)
     return ids.mapInPandas(draw, "chain int, draw int, param string, value double")

@@ -25,6 +25,8 @@ from halocline.functions import scalar as S
 from halocline.operators.adstock import complete_buckets, geometric_weights, lag_columns, with_warmup
 
 POOLED_RIDGE = 1e-3
+#: Sweeps of coordinate descent; a fit that needs more raises.
+MAX_SWEEPS = 100_000
 
 
 @dataclass(frozen=True)
@@ -123,14 +125,14 @@ def solve(equations: np.ndarray, centre: np.ndarray, pull: float, free: int) ->
     a = equations[:n, :n] + pull * np.eye(n)
     b = equations[:n, n] + pull * centre
     coef = centre.copy()
-    for _ in range(500):
+    for _ in range(MAX_SWEEPS):
         before = coef.copy()
         for j in range(n):
             step = (b[j] - a[j] @ coef) / a[j, j]
             coef[j] = coef[j] + step if j < free else max(0.0, coef[j] + step)
-        if np.max(np.abs(coef - before)) < 1e-10:
-            break
-    return coef
+        if np.max(np.abs(coef - before)) < 1e-10 * max(1.0, np.max(np.abs(coef))):
+            return coef
+    raise ArithmeticError(f"coefficients still moved after {MAX_SWEEPS} sweeps")
 
 
 def _solver(pooled: dict[int, np.ndarray], n: int, pull: float, free: int, final: bool):
@@ -141,11 +143,15 @@ def _solver(pooled: dict[int, np.ndarray], n: int, pull: float, free: int, final
                 (fit, every, held), weight = _unpack(stats, n)
                 coef = solve(every if final else fit, pooled[int(grid)], pull, free)
                 gap = np.append(coef, -1.0)
-                noise = float(gap @ every @ gap) / max(int(count) - 1, 1)
-                curve = np.linalg.inv(every[:n, :n] + pull * np.eye(n))
-                root = np.linalg.cholesky(curve * max(noise, 0.0) + 1e-12 * np.eye(n)) if final else np.zeros(0)
-                rows.append((grid, geo, coef.tolist(), root.ravel().tolist(), float(gap @ held @ gap), weight))
-            yield pd.DataFrame(rows, columns=["grid", "geo", "coef", "root", "sse", "weight"])
+                root, centre = np.zeros(0), np.zeros(0)
+                if final:
+                    ridge = every[:n, :n] + pull * np.eye(n)
+                    centre = np.linalg.solve(ridge, every[:n, n] + pull * pooled[int(grid)])
+                    noise = float(gap @ every @ gap) / max(int(count) - 1, 1)
+                    curve = np.linalg.inv(ridge)
+                    root = np.linalg.cholesky(curve * max(noise, 0.0) + 1e-12 * np.eye(n))
+                rows.append((grid, geo, coef.tolist(), centre.tolist(), root.ravel().tolist(), float(gap @ held @ gap), weight))
+            yield pd.DataFrame(rows, columns=["grid", "geo", "coef", "centre", "root", "sse", "weight"])
 
     return run
 
@@ -197,10 +203,12 @@ def fit_mix(train: DataFrame, mix: MixSettings = MixSettings()) -> MixModel:
         pooled_fit[g] = solve(fit, np.zeros(n), POOLED_RIDGE, free)
         pooled_all[g] = solve(every, np.zeros(n), POOLED_RIDGE, free)
 
-    schema = "grid int, geo string, coef array<double>, root array<double>, sse double, weight double"
+    schema = "grid int, geo string, coef array<double>, centre array<double>, root array<double>, sse double, weight double"
     scored = stats.mapInPandas(_solver(pooled_fit, n, mix.shrinkage, free, final=False), schema)
     rows = scored.groupBy("grid").agg(F.sqrt(F.try_divide(F.sum("sse"), F.sum("weight"))).alias("rmse")).collect()
-    score = {r["grid"]: r["rmse"] if r["rmse"] is not None else float("inf") for r in rows}
+    score = {r["grid"]: r["rmse"] for r in rows if r["rmse"] is not None}
+    if not score:
+        raise ValueError("no hold-out row carries weight; enlarge 'holdout_share' or the calendar")
     best = min(range(len(grid)), key=lambda g: (score.get(g, float("inf")), g))
     decay, shape = grid[best]
     coefficients = stats.filter(F.col("grid") == best).mapInPandas(
@@ -214,7 +222,7 @@ def fit_mix(train: DataFrame, mix: MixSettings = MixSettings()) -> MixModel:
         decay=decay,
         shape=shape,
         pooled=tuple(pooled_all[best]),
-        coefficients=coefficients.select("geo", "coef", "root"),
+        coefficients=coefficients.select("geo", "coef", "centre", "root"),
         scales=scales,
         grid_scores=spark.createDataFrame(scores, "grid int, decay double, shape double, holdout_rmse_w double"),
     )
@@ -231,7 +239,7 @@ def contributions(model: MixModel, panel: DataFrame) -> DataFrame:
     """``(geo, install_date, part, contribution)`` in installs for every observed panel row."""
     mix = model.mix
     ready = model_panel(panel, mix)
-    rows = lagged_panel(ready, model.scales, model.channels, mix).filter("observed").join(model.coefficients.drop("root"), "geo")
+    rows = lagged_panel(ready, model.scales, model.channels, mix).filter("observed").join(model.coefficients.select("geo", "coef"), "geo")
     inputs = [F.lit(1.0), *[F.col(c).cast("double") for c in model.controls]]
     inputs += [media(c, mix, model.decay, model.shape) for c in model.channels]
     parts = [
@@ -255,12 +263,19 @@ def predict_mix(model: MixModel, panel: DataFrame) -> DataFrame:
 
 
 def predict_test(model: MixModel, train: DataFrame, test: DataFrame) -> DataFrame:
-    """Test predictions with carry-over from the end of the training rows."""
-    both = with_warmup(train, test).drop("is_test")
-    dates = test.select("geo", "install_date")
+    """Test predictions with carry-over from the end of the training rows, at the grain of the model."""
+    dates = model_panel(test, model.mix).select("geo", "install_date")
+    tail = train.filter(F.col("install_date") >= _warmup_start(train, model.mix))
+    both = with_warmup(tail, test).drop("is_test")
     return predict_mix(model, both).join(dates, ["geo", "install_date"], "left_semi")
 
 
+def _warmup_start(train: DataFrame, mix: MixSettings) -> Column:
+    """First date that the adstock of a test row can reach back to; earlier training rows are not needed."""
+    reach = (mix.adstock_l_max - 1) * max(mix.cadence_days, 1)
+    return F.date_sub(train.agg(F.max("install_date")).scalar(), reach)
+
+
 def response_curve(model: MixModel, points: int = 21) -> DataFrame:
     """Fitted saturation at a few spend levels (0..1 of the largest) per channel."""
     spark = model.coefficients.sparkSession
@@ -271,11 +286,12 @@ def response_curve(model: MixModel, points: int = 21) -> DataFrame:
     )
 
 
-def coefficient_draws(model: MixModel, draws: int = 500, seed: int = 42) -> DataFrame:
-    """Draws ``(chain, draw, geo, channel, value)`` of the channel coefficients.
+def coefficient_draws(model: MixModel, draws: int = 500, seed: int = 42, chains: int = 2) -> DataFrame:
+    """Draws ``(chain, draw, geo, channel, value)`` of the channel coefficients, ``draws`` in each chain.
 
-    Normal around each geo's solution with its curvature, cut at zero as in the fit.
-    Every geo seeds its own generator, so a rerun task repeats its rows.
+    Normal around each geo's unconstrained solution with its curvature, cut to non-negative channels, as in
+    the fit: every coefficient in turn is drawn from its truncated conditional (Gibbs steps). A geo and
+    chain seed their own generator, so a rerun task repeats its rows.
     """
     n, first = len(model.parts), 1 + len(model.controls)
     channels = list(model.channels)
@@ -284,37 +300,75 @@ def coefficient_draws(model: MixModel, draws: int = 500, seed: int = 42) -> Data
         import zlib
 
         for pdf in batches:
-            for geo, coef, root in zip(pdf["geo"], pdf["coef"], pdf["root"]):
-                rng = np.random.default_rng([seed, zlib.crc32(str(geo).encode())])
-                noise = rng.standard_normal((draws, n)) @ np.asarray(root).reshape(n, n).T
-                values = np.maximum(0.0, np.asarray(coef) + noise)[:, first:]
-                yield pd.DataFrame(
-                    {
-                        "chain": 0,
-                        "draw": np.repeat(np.arange(draws), len(channels)),
-                        "geo": geo,
-                        "channel": np.tile(channels, draws),
-                        "value": values.ravel(),
-                    }
-                )
-
-    return model.coefficients.select("geo", "coef", "root").mapInPandas(
+            for geo, coef, centre, root in zip(pdf["geo"], pdf["coef"], pdf["centre"], pdf["root"]):
+                for chain in range(chains):
+                    rng = np.random.default_rng([seed, zlib.crc32(str(geo).encode()), chain])
+                    values = truncated_draws(
+                        np.asarray(centre), np.asarray(root).reshape(n, n), np.asarray(coef), first, draws, rng
+                    )[:, first:]
+                    yield pd.DataFrame(
+                        {
+                            "chain": chain,
+                            "draw": np.repeat(np.arange(draws), len(channels)),
+                            "geo": geo,
+                            "channel": np.tile(channels, draws),
+                            "value": values.ravel(),
+                        }
+                    )
+
+    return model.coefficients.select("geo", "coef", "centre", "root").mapInPandas(
         draw, "chain int, draw int, geo string, channel string, value double"
     )
 
 
-def halo_draws(model: MixModel, panel: DataFrame, draws: int = 500, seed: int = 42) -> DataFrame:
-    """Draws ``(draw, channel, value)`` of each channel's total contribution in installs.
+def truncated_draws(
+    centre: np.ndarray, root: np.ndarray, start: np.ndarray, free: int, draws: int, rng, burn_in: int = 50
+) -> np.ndarray:
+    """Gibbs draws of a normal (mean, Cholesky root of the covariance) with coefficients from ``free`` on kept >= 0."""
+    precision = np.linalg.inv(root @ root.T)
+    spread = 1.0 / np.sqrt(np.diag(precision))
+    state, out = start.copy(), np.empty((draws, len(centre)))
+    for i in range(-burn_in, draws):
+        for j in range(len(centre)):
+            off = precision[j] @ (state - centre) - precision[j, j] * (state[j] - centre[j])
+            mean = centre[j] - off / precision[j, j]
+            state[j] = _draw_above(mean, spread[j], rng) if j >= free else mean + spread[j] * rng.standard_normal()
+        if i >= 0:
+            out[i] = state
+    return out
+
+
+def _draw_above(mean: float, sd: float, rng) -> float:
+    """A normal value of at least 0; by an exponential proposal where 0 lies in the upper tail."""
+    low = -mean / sd
+    if low < 0.5:
+        while (z := rng.standard_normal()) < low:
+            pass
+        return mean + sd * z
+    rate = (low + np.sqrt(low * low + 4.0)) / 2.0
+    while True:
+        z = low + rng.exponential(1.0 / rate)
+        if rng.random() <= np.exp(-((z - rate) ** 2) / 2.0):
+            return mean + sd * z
+
+
+def halo_draws(
+    model: MixModel, panel: DataFrame, draws: int = 500, seed: int = 42, scale: DataFrame | None = None
+) -> DataFrame:
+    """Draws ``(chain, draw, channel, value)`` of each channel's total contribution in installs.
 
     A total is linear in the coefficient, so the panel is reduced to one exposure
-    per geo and channel before it meets the draws.
+    per geo and channel before it meets the draws. ``scale`` (``geo, scale``) is the
+    factor that attribution applies, so that both speak of the same installs.
     """
     mix = model.mix
     rows = lagged_panel(model_panel(panel, mix), model.scales, model.channels, mix).filter("observed")
     sums = [F.sum(media(c, mix, model.decay, model.shape) * F.col("target_max")).alias(c) for c in model.channels]
     exposure = rows.groupBy("geo").agg(*sums).unpivot(["geo"], list(model.channels), "channel", "exposure")
+    if scale is not None:
+        exposure = exposure.join(scale, "geo").withColumn("exposure", F.col("exposure") * F.col("scale")).drop("scale")
     joined = coefficient_draws(model, draws, seed).join(exposure, ["geo", "channel"])
-    return joined.groupBy("draw", "channel").agg(F.sum(F.col("value") * F.col("exposure")).alias("value"))
+    return joined.groupBy("chain", "draw", "channel").agg(F.sum(F.col("value") * F.col("exposure")).alias("value"))
 
 
 def roas_table(draws: DataFrame, spend: DataFrame) -> DataFrame:

@@ -12,11 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halocline.functions import scalar as S
 from halocline.operators.quantiles import exact_quantiles, long_columns
 
-MAX_CATEGORIES = 10_000
-
 
 @dataclass(frozen=True)
 class Prep:
@@ -58,10 +55,8 @@ def prep_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def categories(df: DataFrame, column: str) -> tuple[str, ...]:
-    """Sorted distinct values; refuses lists too long for a driver-side model."""
-    rows = df.select(F.col(column).cast("string")).distinct().limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"'{column}' has over {MAX_CATEGORIES} values; pool the rare ones first")
+    """Sorted distinct values; one short name each on the driver."""
+    rows = df.select(F.col(column).cast("string")).distinct().collect()
     return tuple(sorted(str(r[0]) for r in rows))
 
 
@@ -89,24 +84,36 @@ def scaled(prep: Prep) -> dict[str, Column]:
     return out
 
 
-def category_index(column: str, values: Sequence[str], strict: bool = False) -> Column:
-    """Position of the value in the fitted list; an unknown one gets index 0, or raises when ``strict``."""
-    name = F.coalesce(F.col(column).cast("string"), F.lit("None"))
-    known = F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
-    place = F.array_position(known, name) - 1
+def with_category(
+    df: DataFrame, column: str, values: Sequence[str], name: str, content: Sequence, strict: bool = False
+) -> DataFrame:
+    """Add ``name``: the entry of ``content`` that stands at the value's place in ``values``.
+
+    An unknown value gets the first entry, or raises when ``strict``. The fitted names are a small table that is joined,
+    so neither the plan nor a row's work grows with their number.
+    """
+    kind = "bigint" if all(isinstance(c, int) for c in content) else "double"
+    table = df.sparkSession.createDataFrame(list(zip(values, content)), f"_name string, _content {kind}")
+    key = F.coalesce(F.col(column).cast("string"), F.lit("None"))
+    other = F.lit(content[0] if content else 0).cast(kind)
     if strict:
-        unseen = F.raise_error(F.concat(F.lit(f"unknown {column}: "), name)).cast("bigint")
-        return F.when(place < 0, unseen).otherwise(place)
-    return F.greatest(place, F.lit(0)).cast("bigint")
+        other = F.raise_error(F.concat(F.lit(f"unknown {column}: "), key)).cast(kind)
+    joined = df.join(table, key == F.col("_name"), "left")
+    found = F.when(F.col("_name").isNull(), other).otherwise(F.col("_content"))
+    return joined.withColumn(name, found).drop("_name", "_content")
 
 
 def apply_prep(df: DataFrame, prep: Prep, keep: Sequence[str], strict: bool = False) -> DataFrame:
     """``keep`` columns, the scaled features as one array, and the two category indexes."""
+    for column, values, name in (
+        ("country_code", prep.countries, "_country_idx"), ("platform", prep.platforms, "_platform_idx"),
+    ):
+        df = with_category(df, column, values, name, list(range(len(values))), strict)
     return df.select(
         *keep,
         F.array(*scaled(prep).values()).alias("x"),
-        category_index("country_code", prep.countries, strict).alias("country_idx"),
-        category_index("platform", prep.platforms, strict).alias("platform_idx"),
+        F.col("_country_idx").alias("country_idx"),
+        F.col("_platform_idx").alias("platform_idx"),
     )
 
 
@@ -122,11 +129,3 @@ def target_encoding(df: DataFrame, target: str, weight: str, column: str = "coun
 
 def weighted_mean(df: DataFrame, target: str, weight: str) -> float:
     return df.agg(F.sum(F.col(target) * F.col(weight)) / F.sum(weight)).first()[0]
-
-
-def literal_lookup(column: Column, table: dict[str, float], fallback: float) -> Column:
-    """Map lookup from a small fitted table, with a fallback for unknown keys."""
-    if not table:
-        return F.lit(fallback)
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return S.zero_if_null(F.try_element_at(F.create_map(*pairs), column), fallback)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halocline.functions import scalar as S
-from halocline.models.prep import MAX_CATEGORIES, Prep, categories, fit_prep, literal_lookup, scaled, target_encoding, weighted_mean
+from halocline.models.prep import Prep, categories, fit_prep, scaled, target_encoding, weighted_mean
 
 ENCODED = "country_te"
 
@@ -31,7 +31,10 @@ class RidgeModel:
 
 
 def _encode(df: DataFrame, table: dict[str, float], global_mean: float) -> DataFrame:
-    return df.withColumn(ENCODED, literal_lookup(F.col("country_code"), table, global_mean))
+    """Join the fitted table by name; a country without a mean gets the global one."""
+    means = df.sparkSession.createDataFrame(list(table.items()), f"_name string, {ENCODED} double")
+    joined = df.join(means, F.col("country_code").cast("string") == F.col("_name"), "left").drop("_name")
+    return joined.withColumn(ENCODED, F.coalesce(ENCODED, F.lit(global_mean)))
 
 
 def _inputs(prep: Prep, platforms: Sequence[str]) -> dict[str, Column]:
@@ -49,10 +52,7 @@ def fit_ridge(
     to unit deviation, so the penalty of a textbook ridge (``alpha`` on the sum of
     weighted squares) is ``alpha / sum(w) * std(y)``.
     """
-    rows = target_encoding(train, target, weight).limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError("too many countries for a target encoding held by the driver")
-    table = {r[0]: r[1] for r in rows}
+    table = {str(r[0]): r[1] for r in target_encoding(train, target, weight).collect()}
     global_mean = weighted_mean(train, target, weight)
     encoded = _encode(train, table, global_mean)
     prep = fit_prep(encoded, [*features, ENCODED], country=None, platform=None)

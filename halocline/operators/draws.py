@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -125,13 +125,24 @@ def _rhat(chains: np.ndarray) -> float:
     return float(np.sqrt(((n - 1) / n * within + chains.mean(axis=1).var(ddof=1)) / within))
 
 
+def _even_chains(rows: pd.DataFrame) -> np.ndarray:
+    """Chains as rows. Every chain has to hold the same draws, without gaps, repeats or undefined values."""
+    wide = rows.pivot(index="chain", columns="draw", values="value").to_numpy(dtype=float)
+    if not np.isfinite(wide).all():
+        raise ValueError(f"chains of '{rows['param'].iloc[0]}' differ in their draws or hold undefined values")
+    return wide
+
+
 def _diagnose(rows: pd.DataFrame) -> pd.DataFrame:
-    wide = rows.pivot(index="chain", columns="draw", values="value").to_numpy()
+    wide = _even_chains(rows)
     halves = _halves(wide)
     scores = _normal_scores(halves)
     folded = _normal_scores(np.abs(halves - np.median(halves)))
     tails = [_ess((halves <= np.quantile(halves, q)).astype(float)) for q in (0.05, 0.95)]
     sd, ess_mean = wide.std(ddof=1), _ess(halves)
+    # the error of a standard deviation follows from that of the mean square
+    square = (halves - halves.mean()) ** 2
+    error_square = square.std(ddof=1) / np.sqrt(_ess(square))
     return pd.DataFrame(
         {
             "param": [rows["param"].iloc[0]],
@@ -139,31 +150,45 @@ def _diagnose(rows: pd.DataFrame) -> pd.DataFrame:
             "ess_bulk": [_ess(scores)],
             "ess_tail": [min(tails)],
             "mcse_mean": [sd / np.sqrt(ess_mean)],
+            "mcse_sd": [error_square / (2.0 * sd) if sd > 0 else 0.0],
         }
     )
 
 
 def diagnostics(draws: DataFrame) -> DataFrame:
-    """Mean, sd, interval, rank-normalised R-hat, bulk and tail sample size, and error of the mean."""
+    """Mean, sd, interval, rank-normalised R-hat, bulk and tail sample size, and errors of mean and sd.
+
+    Raises where a parameter's chains do not hold the same draws.
+    """
     series = draws.groupBy("param").applyInPandas(
-        _diagnose, "param string, r_hat double, ess_bulk double, ess_tail double, mcse_mean double"
+        _diagnose, "param string, r_hat double, ess_bulk double, ess_tail double, mcse_mean double, mcse_sd double"
     )
     return summary(draws, sample_sd=True).join(series, "param")
 
 
 def convergence_overview(diag: DataFrame) -> DataFrame:
-    """How many parameters miss the R-hat and sample-size limits, and the extremes."""
+    """How many parameters miss the R-hat and sample-size limits, and the extremes; an undefined statistic misses its limit."""
     n = F.count(F.lit(1))
-    bad_rhat = F.count_if(F.col("r_hat") > RHAT_LIMIT)
-    bad_ess = F.count_if(F.col("ess_bulk") < ESS_LIMIT)
+
+    def bad(column: str, over) -> Column:
+        undefined = F.col(column).isNull() | F.isnan(column)
+        return F.count_if(undefined | over)
+
+    def defined(column: str) -> Column:
+        return F.nanvl(F.col(column), F.lit(None).cast("double"))
+
+    bad_rhat = bad("r_hat", F.col("r_hat") > RHAT_LIMIT)
+    bad_ess = bad("ess_bulk", F.col("ess_bulk") < ESS_LIMIT)
+    either = defined("r_hat").isNull() | defined("ess_bulk").isNull()
     return diag.agg(
         n.alias("n_params"),
         bad_rhat.alias("n_bad_rhat"),
         (bad_rhat / n).alias("share_bad_rhat"),
         bad_ess.alias("n_bad_ess"),
         (bad_ess / n).alias("share_bad_ess"),
-        F.max("r_hat").alias("max_rhat"),
-        F.min("ess_bulk").alias("min_ess_bulk"),
+        F.max(defined("r_hat")).alias("max_rhat"),
+        F.min(defined("ess_bulk")).alias("min_ess_bulk"),
+        F.count_if(either).alias("n_undefined"),
     )
 
 

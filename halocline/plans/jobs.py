@@ -153,6 +153,7 @@ def run_binomial(spark: SparkSession, paths: Paths, settings: Settings = Setting
     scored = {"train": B.predict_binomial(model, train), "test": B.predict_binomial(model, test)}
     return _score_tables(scored, paths, "binomial", settings) | {
         "effects": B.effects_table(model, spark),
+        "fit": B.fit_table(model, spark),
         "coefficients": D.top_coefficients(draws.filter(F.col("param").startswith("beta"))),
         "diagnostics": D.diagnostics(draws),
     }
@@ -202,7 +203,7 @@ def run_mix(
     in_sample = X.with_errors(
         T.match_test(ready, fitted.withColumnRenamed("pred_scaled", "pred")), target, "pred"
     ).withColumn("one", F.lit(1.0))
-    halo = M.halo_draws(model, train, draws)
+    halo = M.halo_draws(model, train, draws, scale=scale)
     return {
         "grid": model.grid_scores,
         "coefficients": M.coefficient_rows(model),

@@ -21,7 +21,7 @@ from halocline.operators import quantiles as N
 from halocline.operators.panel import spend_totals
 from halocline.plans import star_sql as Q
 from halocline.plans.cohort_queries import CLEAN_FEATURES, clean_features, clean_sql, target_table
-from halocline.plans.panel_queries import _split, series_draws, weekly_panel
+from halocline.plans.panel_queries import _split, weekly_panel
 from halocline.plans.registry import query
 from halocline.sources import star
 
@@ -153,20 +153,35 @@ def pe_summary(spark, d):
     return X.error_summary(scored_table(spark, d).persist(), "pe")
 
 
-@query(
-    "bin:int pred_mean:8 true_mean:8 total_w:2 n:int",
-    f"""WITH {_SCORED}, edges AS (
-  SELECT DISTINCT unnest(quantile_cont(organic_share, [{", ".join(str(i / 20) for i in range(21))}])) AS e FROM scored),
-binned AS (
-  SELECT *, greatest((SELECT count(*) FROM edges WHERE e < organic_share), 1) AS bin FROM scored),
+def _calibration_sql(binned: str, other: str) -> str:
+    """Twenty quantile bins of ``binned``; values are rounded so that both engines see the same ties."""
+    return f"""WITH {_SCORED}, rounded AS (
+  SELECT total_installs, round({binned}, 9) AS b, round({other}, 9) AS o FROM scored), edges AS (
+  SELECT DISTINCT unnest(quantile_cont(b, [{", ".join(str(i / 20) for i in range(21))}])) AS e FROM rounded),
+binned AS (SELECT *, greatest((SELECT count(*) FROM edges WHERE e < b), 1) AS bin FROM rounded),
 final AS (
-  SELECT bin, sum(organic_share * total_installs) / sum(total_installs) AS pred_mean,
-         sum(pred * total_installs) / sum(total_installs) AS true_mean, sum(total_installs) AS total_w, count(*) AS n
-  FROM binned GROUP BY bin)""",
-)
+  SELECT bin, sum(b * total_installs) / sum(total_installs) AS pred_mean,
+         sum(o * total_installs) / sum(total_installs) AS true_mean, sum(total_installs) AS total_w, count(*) AS n
+  FROM binned GROUP BY bin)"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in ("organic_share", "pred")}).persist()
+
+
+CALIBRATION = "bin:int pred_mean:8 true_mean:8 total_w:2 n:int"
+
+
+@query(CALIBRATION, _calibration_sql("pred", "organic_share"))
 def calibration(spark, d):
+    """Binned on the prediction."""
+    return X.calibration_table(_rounded(scored_table(spark, d)), "organic_share", "pred", "total_installs")
+
+
+@query(CALIBRATION, _calibration_sql("organic_share", "pred"))
+def calibration_ties(spark, d):
     """Binned on the observed share, whose many ties make quantile edges collapse."""
-    return X.calibration_table(scored_table(spark, d).persist(), "pred", "organic_share", "total_installs")
+    return X.calibration_table(_rounded(scored_table(spark, d)), "pred", "organic_share", "total_installs")
 
 
 def _hist_sql(expr: str, source: str, bins: int) -> str:
@@ -441,23 +456,26 @@ def binomial_summary(spark, d):
     return D.top_coefficients(B.posterior_draws(model, spark, replace(BinomialSettings(), draws=200)))
 
 
-@query("param mean:4 sd:4 hdi_lo:4 hdi_hi:4 r_hat:4 ess_bulk:2 ess_tail:2 mcse_mean:6")
+def _binomial_draws(spark: SparkSession, d: str) -> DataFrame:
+    return B.posterior_draws(_binomial(spark, d)[1], spark, replace(BinomialSettings(), draws=200))
+
+
+@query("param mean:4 sd:4 hdi_lo:4 hdi_hi:4 r_hat:4 ess_bulk:2 ess_tail:2 mcse_mean:6 mcse_sd:6")
 def sampler_diagnostics(spark, d):
-    """Rank-normalised diagnostics of the weekly series."""
-    return D.diagnostics(_even_chains(spark, d))
+    """Rank-normalised diagnostics of the draws of the binomial model."""
+    return D.diagnostics(_binomial_draws(spark, d))
 
 
-@query("n_params:int n_bad_rhat:int share_bad_rhat:4 n_bad_ess:int share_bad_ess:4 max_rhat:4 min_ess_bulk:2")
+@query("n_params:int n_bad_rhat:int share_bad_rhat:4 n_bad_ess:int share_bad_ess:4 max_rhat:4 min_ess_bulk:2 n_undefined:int")
 def convergence_overview(spark, d):
-    return D.convergence_overview(D.diagnostics(_even_chains(spark, d)))
+    return D.convergence_overview(D.diagnostics(_binomial_draws(spark, d)))
 
 
-def _even_chains(spark: SparkSession, d: str) -> DataFrame:
-    """Series with two chains of equal length per geo: the even and odd buckets."""
-    rows = series_draws(spark, d).withColumn("_b", F.floor(F.col("draw") / 7))
-    return rows.groupBy("param", (F.col("_b") % 2).cast("int").alias("chain"), F.floor(F.col("_b") / 2).cast("int").alias("draw")).agg(
-        F.sum("value").alias("value")
-    )
+@query("param mean:4 sd:4 hdi_lo:4 hdi_hi:4 r_hat:4 ess_bulk:2 ess_tail:2 mcse_mean:6 mcse_sd:6")
+def mmm_diagnostics(spark, d):
+    """The same for the channel coefficients of the mix model, per geo."""
+    draws = M.coefficient_draws(_mix(spark, d)[2], 200)
+    return D.diagnostics(draws.withColumn("param", F.concat_ws("|", "geo", "channel")))
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, M.MixModel]:
@@ -501,7 +519,8 @@ def mmm_evaluation(spark, d):
 @query("channel total_spend:2 roas_mean:4 roas_hdi_lo:4 roas_hdi_hi:4")
 def mmm_roas(spark, d):
     train, _, model = _mix(spark, d)
-    return M.roas_table(M.halo_draws(model, train, 200), spend_totals(train))
+    scale = T.geo_scale(train, M.predict_mix(model, train))
+    return M.roas_table(M.halo_draws(model, train, 200, scale=scale), spend_totals(train))
 
 
 @query("channel mean:6 hdi_lo:6 hdi_hi:6")

@@ -71,8 +71,7 @@ def test_unseen_categories(table, spark):
     with pytest.raises(Exception, match="unknown country_code"):
         R.apply_prep(new, prep, [], strict=True).collect()
     model = G.fit_ridge(table, target="organic_share", weight="total_installs", features=FEATURES)
-    te = R.literal_lookup(F.col("country_code"), model.country_te, model.global_mean)
-    assert new.select(te.alias("te")).first()["te"] == pytest.approx(model.global_mean)
+    assert G._encode(new, model.country_te, model.global_mean).first()["country_te"] == pytest.approx(model.global_mean)
 
 
 def test_ridge_equals_closed_form(table):
@@ -115,25 +114,50 @@ def test_binomial_equals_newton(table):
         theta = theta + np.linalg.solve(h, z.T @ (k - n * q) - lam * theta)
     got = np.r_[model.alpha, model.beta, model.u_country, model.u_platform]
     assert np.allclose(got, theta, atol=1e-5)
-    assert np.allclose(model.covariance, np.linalg.inv(h), rtol=1e-3, atol=1e-6)
-    assert model.iterations < 15
+    cov = np.linalg.inv(h)
+    at = [0, 1, 2, 3, 10, 11]
+    assert np.allclose(model.curvature.core, cov[np.ix_(at, at)], rtol=1e-3, atol=1e-6)
+    assert np.allclose(model.curvature.country_variance(), np.diag(cov)[4:10], rtol=1e-3, atol=1e-6)
+    assert model.converged and model.iterations < 15
 
 
 def test_binomial_learns_spread_and_predicts(table, spark):
     model = B.fit_binomial(table, features=FEATURES)
-    assert 0.15 < model.sigma_country < 1.2 and model.iterations <= 25
+    assert 0.15 < model.sigma_country < 1.2 and model.converged
     scored = B.predict_binomial(model, table)
     (r,) = rows(X.regression_report(scored, "organic_share", "pred", "total_installs"))
     assert r["r2_w"] > 0.8
     draws = B.posterior_draws(model, spark, BinomialSettings(draws=400))
     got = {s["param"]: s for s in rows(D.summary(draws))}
-    sd = np.sqrt(model.covariance[1, 1])
+    sd = model.curvature.core_sd()[1]
+    table_sd = {r["param"]: r["sd"] for r in rows(B.effects_table(model, spark))}
+    assert got["u_country[C3]"]["sd"] == pytest.approx(table_sd["u_country[C3]"], rel=0.15)
     assert got["beta[a]"]["mean"] == pytest.approx(model.beta[0], abs=4 * sd / np.sqrt(800))
     assert got["beta[a]"]["sd"] == pytest.approx(sd, rel=0.15)
     again = B.posterior_draws(model, spark, BinomialSettings(draws=400)).filter("param = 'alpha' and draw = 7")
     assert rows(again, "chain") == rows(draws.filter("param = 'alpha' and draw = 7"), "chain")
 
 
+def test_binomial_with_extreme_rows_and_an_early_stop(table):
+    """Far-out features neither overflow nor are clipped, and a fit that is cut short says so."""
+    wild = table.withColumn("a", F.when(F.rand(1) < 0.01, F.lit(1e4)).otherwise(F.col("a")))
+    assert all(np.isfinite(B.fit_binomial(wild, features=FEATURES, learn_spread=False).beta))
+    short = B.fit_binomial(table, features=FEATURES, settings=BinomialSettings(max_iter=1))
+    assert not short.converged and short.iterations == 1
+
+
+def test_fits_with_twenty_thousand_countries(spark):
+    many = spark.range(20_000).select(
+        F.concat(F.lit("C"), "id").alias("country_code"), F.lit("ios").alias("platform"), (F.col("id") % 7).cast("double").alias("a"),
+        (5 + F.col("id") % 5).alias("organic_installs"), F.lit(20).alias("total_installs"),
+    ).withColumn("organic_share", F.col("organic_installs") / 20)
+    model = B.fit_binomial(many, features=["a"], learn_spread=False)
+    assert model.converged and len(model.u_country) == 20_000 and model.curvature.core.shape == (3, 3)
+    assert B.predict_binomial(model, many.limit(50)).filter("pred between 0.2 and 0.5").count() == 50
+    ridge = G.fit_ridge(many, target="organic_share", weight="total_installs", features=["a"])
+    assert G.predict_ridge(ridge, many.limit(50)).filter("pred is not null").count() == 50
+
+
 def test_counts_from_share_round_half_even(spark):
     df = spark.createDataFrame([(0.5, 5), (0.5, 7), (0.25, 4)], "s double, n bigint")
     assert sorted(r["organic_installs"] for r in rows(B.counts_from_share(df, "s", "n"))) == [1, 2, 4]
@@ -200,13 +224,37 @@ def test_mix_predicts_out_of_sample(fitted):
 
 
 def test_intervals_hold_the_estimate(fitted):
+    """Draws and attribution speak of the same installs, with and without a scale."""
     train, _, model = fitted
-    draws = M.halo_draws(model, train, 200)
     parts = M.contributions(model, train)
-    total = {r["channel"]: r["v"] for r in rows(M.channel_contributions(model, parts).groupBy("channel").agg(F.sum("contribution").alias("v")))}
-    for r in rows(D.summary(draws, ("channel",))):
-        if r["channel"] != "spend_none":
-            assert r["hdi_lo"] < total[r["channel"]] < r["hdi_hi"]
+    channels = M.channel_contributions(model, parts)
+    twice = train.select("geo").distinct().withColumn("scale", F.lit(2.0))
+    for scale, factor in ((None, 1.0), (twice, 2.0)):
+        total = {r["channel"]: factor * r["v"] for r in rows(channels.groupBy("channel").agg(F.sum("contribution").alias("v")))}
+        for r in rows(D.summary(M.halo_draws(model, train, 300, scale=scale), ("channel",))):
+            if r["channel"] != "spend_none":
+                assert r["hdi_lo"] < total[r["channel"]] < r["hdi_hi"]
+                assert abs(r["mean"] - total[r["channel"]]) < 3 * r["sd"]
+
+
+def test_truncated_draws_have_the_moments_of_a_half_normal():
+    rng = np.random.default_rng(0)
+    got = M.truncated_draws(np.array([0.0, 3.0, -6.0]), np.eye(3), np.array([0.0, 3.0, 0.0]), 0, 6000, rng)
+    assert (got >= 0).all()
+    assert got[:, 0].mean() == pytest.approx(np.sqrt(2 / np.pi), abs=0.03)
+    assert got[:, 1].mean() == pytest.approx(3.0, abs=0.06)
+    assert got[:, 2].mean() == pytest.approx(0.158, abs=0.02)  # inverse Mills ratio at 6, less 6
+
+
+def test_diagnostics_refuse_ragged_chains_and_count_undefined_ones(spark):
+    even = spark.range(400).selectExpr("cast(id % 2 as int) chain", "cast(id / 2 as int) draw", "'a' param", "sin(id * id) value")
+    (r,) = rows(D.diagnostics(even))
+    assert all(np.isfinite(r[c]) for c in ("r_hat", "ess_bulk", "ess_tail", "mcse_mean", "mcse_sd"))
+    with pytest.raises(Exception, match="differ in their draws"):
+        D.diagnostics(even.filter("not (chain = 1 and draw > 150)")).collect()
+    diag = spark.createDataFrame([("a", 1.0, 900.0), ("b", None, None), ("c", float("nan"), 900.0)], "param string, r_hat double, ess_bulk double")
+    (o,) = rows(D.convergence_overview(diag))
+    assert (o["n_bad_rhat"], o["n_bad_ess"], o["n_undefined"], o["max_rhat"]) == (2, 1, 2, 1.0)
 
 
 def test_single_series_and_yearly_terms(fitted):
@@ -216,3 +264,11 @@ def test_single_series_and_yearly_terms(fitted):
     assert model.controls == ("year_sin_1", "year_cos_1")
     assert {r["geo"] for r in rows(M.coefficient_rows(model).select("geo").distinct())} == {"all"}
     assert M.predict_mix(model, train).count() == train.select("install_date").distinct().count()
+    test = fitted[1]
+    assert M.predict_test(model, train, test).count() == test.select("install_date").distinct().count()
+
+
+def test_mix_without_hold_out_says_so(fitted):
+    train, _, _ = fitted
+    with pytest.raises(ValueError, match="hold-out"):
+        M.fit_mix(train, MixSettings(holdout_share=0.0, decay_grid=(0.5,), shape_grid=(2.0,)))
