@@ -13,14 +13,26 @@ SHARE_EPS = 1e-3
 ERROR_EPS = 1e-6
 
 
-def coerce_timestamps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Cast the named columns to timestamps; unknown columns are skipped and bad values become null."""
+def coerce_timestamps(df: DataFrame, columns: Sequence[str], utc: bool = False) -> DataFrame:
+    """Cast the named columns to timestamps; unknown columns are skipped and bad values become null.
+
+    Numbers count nanoseconds since 1970 in UTC. With ``utc`` the result is an instant (a text without a zone counts as
+    UTC), otherwise a wall-clock time. Columns that are temporal already stay.
+    """
     temporal = (T.DateType, T.TimestampType, T.TimestampNTZType)
     changes = {}
     for name in columns:
         if name not in df.columns or isinstance(df.schema[name].dataType, temporal):
             continue
-        changes[name] = F.col(name).try_cast("timestamp_ntz")
+        if isinstance(df.schema[name].dataType, T.NumericType):
+            micros = F.floor(F.col(name) / 1000)
+            wall = F.timestamp_add("MICROSECOND", micros.cast("bigint"), F.lit("1970-01-01").cast("timestamp_ntz"))
+        else:
+            wall = F.col(name).try_cast("timestamp_ntz")
+        changes[name] = wall
+        if utc:
+            # shown in the session's zone, the instant is what the wall clock of UTC says
+            changes[name] = F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall).cast("timestamp")
     return df.withColumns(changes) if changes else df
 
 
@@ -125,4 +137,4 @@ def saturate(kind: str, x: Column, shape: Column | float, slope: float = 2.0, ce
         return F.lit(float(ceiling)) * x / (s + x)
     if kind == "hill":
         return F.pow(x, F.lit(slope)) / (F.pow(s, F.lit(slope)) + F.pow(x, F.lit(slope)))
-    raise ValueError(f"Unknown saturation '{kind}'; choose logistic, michaelis_menten or hill")
+    raise ValueError(f"no saturation curve is named '{kind}'")

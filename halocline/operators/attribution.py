@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from halocline.operators.keys import lookup_join
 from halocline.operators.panel import spend_long
 
 MIN_PREDICTED = 1e-9
@@ -148,5 +149,6 @@ def pool_rare(df: DataFrame, column: str, min_rows: int, label: str = "other") -
     """
     keep = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows)
     kept = keep.select(F.col(column), F.lit(True).alias("_keep"))
-    joined = df.join(kept, column, "left")
+    spread = [c for c in df.columns if c != column][:1] or [column]
+    joined = lookup_join(df, kept, [column], spread_by=spread)
     return joined.withColumn(column, F.when(F.col("_keep"), F.col(column)).otherwise(label)).select(*df.columns)

@@ -27,7 +27,7 @@ def cost_ratios(costs: DataFrame) -> DataFrame:
     )
 
 
-def build_costs(costs: DataFrame, installs: DataFrame, salts: int = 64) -> DataFrame:
+def build_costs(costs: DataFrame, installs: DataFrame) -> DataFrame:
     """Cost features per user, from raw costs and the install features.
 
     Costs are reduced to one row per key first, so the join cannot fan out and,
@@ -37,5 +37,5 @@ def build_costs(costs: DataFrame, installs: DataFrame, salts: int = 64) -> DataF
     rows = installs.select(*USER_KEYS, *[k for k in COST_KEYS if k not in USER_KEYS])
     date_type = rows.schema["install_date"].dataType
     lookup = first_per_key(costs.withColumn("install_date", F.col("install_date").cast(date_type)), COST_KEYS)
-    joined = lookup_join(rows, cost_ratios(lookup), COST_KEYS, spread_by=["match_id"], salts=salts)
+    joined = lookup_join(rows, cost_ratios(lookup), COST_KEYS, spread_by=["match_id"])
     return joined.drop(*[k for k in COST_KEYS if k not in USER_KEYS])

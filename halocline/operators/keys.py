@@ -33,7 +33,7 @@ def merge_on_keys(sources: Mapping[str, DataFrame], on: Sequence[str], how: str
     that already exists gets ``_right``, then ``_<source>``.
     """
     if not sources:
-        raise ValueError("No datasets to merge")
+        raise ValueError("'sources' is empty: at least the base table is needed")
     base, *others = without_collisions(sources, on).values()
     for df in others:
         base = base.join(df, on=list(on), how=how)
@@ -62,39 +62,34 @@ def null_safe_match(left: str, right: str, keys: Sequence[str]) -> Column:
     )
 
 
-HOT_SHARE = 1000
-
-
 def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that own over a thousandth of the rows: by that definition under a thousand of them."""
+    """Keys that own more than one shuffle partition's even share of the rows, and over how many partitions each is spread.
+
+    By that definition there are fewer of them than shuffle partitions. ``_salts`` is the key's size in such shares.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.filter(F.col("_n") * HOT_SHARE > total).select(*keys, F.lit(True).alias("_hot"))
+    shares = F.col("_n") * parts / counts.agg(F.sum("_n")).scalar()
+    return counts.filter(shares > 1).select(*keys, F.ceil(shares).cast("int").alias("_salts"))
 
 
 def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    *,
-    spread_by: Sequence[str],
-    salts: int = 64,
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], *, spread_by: Sequence[str]
 ) -> DataFrame:
     """Left join of many rows to a lookup that has one row per key; null keys match null keys.
 
     A single key may own a large part of ``rows`` (all organic installs of a big
     market share one cost key). Such keys are found by a map-side combined count and
-    broadcast, at most a thousand rows. Their rows are split over ``salts`` partitions
-    by a hash of ``spread_by`` and only their lookup rows are repeated; all other
+    broadcast, fewer than shuffle partitions. Their rows are split by a hash of ``spread_by`` over as
+    many partitions as their size asks for, and only their lookup rows are repeated; all other
     keys join as they are.
     """
     hot = F.broadcast(hot_keys(rows, keys))
-    left = rows.alias("l").join(hot.alias("h"), null_safe_match("l", "h", keys), "left").select("l.*", "h._hot")
-    right = lookup.alias("r").join(hot.alias("h"), null_safe_match("r", "h", keys), "left").select("r.*", "h._hot")
-    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted = left.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0))
-    last = F.when(F.col("_hot"), salts - 1).otherwise(0)
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    left = rows.alias("l").join(hot.alias("h"), null_safe_match("l", "h", keys), "left").select("l.*", "h._salts")
+    right = lookup.alias("r").join(hot.alias("h"), null_safe_match("r", "h", keys), "left").select("r.*", "h._salts")
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     joined = salted.alias("l").join(copies.alias("r"), null_safe_match("l", "r", [*keys, "_salt"]), "left")
     extra = [c for c in lookup.columns if c not in keys]
     return joined.select(*[F.col(f"l.`{c}`") for c in rows.columns], *[F.col(f"r.`{c}`") for c in extra])

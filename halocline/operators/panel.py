@@ -169,6 +169,12 @@ def build_panel(
     return panel.withColumn("geo", geo_name())
 
 
+def ordered(panel: DataFrame) -> DataFrame:
+    """The panel in the order of its keys, for a sink: ranges of geos over tasks, sorted inside."""
+    order = ["geo", "platform", "country_code", "install_date"]
+    return panel.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def panel_facts(panel: DataFrame) -> DataFrame:
     """Rows, geos and date range of a panel."""
     return panel.agg(

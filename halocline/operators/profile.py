@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halocline.functions.policy import NUMERIC_TYPES
+from halocline.operators.keys import lookup_join
 from halocline.operators.quantiles import exact_quantiles, quantile_of_positions, value_positions
 
 
@@ -75,7 +76,7 @@ def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     )
     v, reach = F.col("value"), (F.col("q3") - F.col("q1")) * 1.5
     return (
-        pos.join(quart, group)
+        lookup_join(pos, quart, [group], spread_by=["value"])
         .groupBy(group)
         .agg(
             F.max("q1").alias("q1"),

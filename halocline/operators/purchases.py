@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from halocline.config import USER_KEYS, Settings
 from halocline.functions import scalar as S
-from halocline.operators.keys import first_per_key
+from halocline.operators.keys import first_per_key, lookup_join
 
 # List columns of the raw sources, unused once exploded.
 IAP_LISTS = ("purchase_time_list", "purchase_iap_list")
@@ -119,7 +119,8 @@ def mean_per_date(
     """Mean of a user ratio per install date, put back on the users.
 
     Dates are bounded by the calendar (under 4 million values), so the table of
-    means is broadcast; a timestamp column has no such bound and joins by shuffle.
+    means is broadcast; a timestamp column has no such bound and joins by shuffle, where the
+    users of a hot date are spread over several tasks.
     Naming the columns of an aggregate below in ``alive`` (counts, so a filter on
     them holds) stops their pruning: both readers then share that aggregate's exchange.
     """
@@ -129,8 +130,11 @@ def mean_per_date(
     means = rows.groupBy("install_date").agg(
         (F.sum(ratio * weight) / F.sum(F.when(ratio.isNotNull(), weight))).alias(name)
     )
-    if isinstance(users.schema["install_date"].dataType, T.DateType):
-        means = F.broadcast(means)
+    if not isinstance(users.schema["install_date"].dataType, T.DateType):
+        spread = [c for c in users.columns if c != "install_date"][:1] or ["install_date"]
+        found = lookup_join(users, means, ["install_date"], spread_by=spread)
+        return found.withColumn(name, F.when(F.col("install_date").isNotNull(), F.col(name)))
+    means = F.broadcast(means)
     # null-safe, since a plain join would push "date is not null" into one reader's scan only
     same_date = F.col("u.install_date").eqNullSafe(F.col("m.install_date"))
     joined = users.alias("u").join(means.alias("m"), same_date, "left")

@@ -15,16 +15,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 64
-SKETCH_ACCURACY = 500
+from halocline.operators.keys import lookup_join
 
+FAN_OUT = 64
 
-def _count_below(low: int, high: int) -> str:
+
+def _count_below(cut: str, low: int, high: int) -> str:
     """SQL for the number of sorted cuts below ``value``: a binary search that compiles to nested ifs."""
     if low == high:
         return str(low)
     mid = (low + high) // 2
-    return f"if(get(_cuts, {mid}) < value, {_count_below(mid + 1, high)}, {_count_below(low, mid)})"
+    return f"if(get(_cuts, {cut.format(mid)}) < value, {_count_below(cut, mid + 1, high)}, {_count_below(cut, low, mid)})"
+
+
+def bucket_count(df: DataFrame) -> int:
+    """A multiple of ``FAN_OUT``: at least one bucket for each shuffle partition."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return FAN_OUT * max(1, min(FAN_OUT, math.ceil(parts / FAN_OUT)))
+
+
+def _with_bucket(df: DataFrame, buckets: int) -> DataFrame:
+    """The number of cuts below the value, by every ``buckets / FAN_OUT``-th cut first and then by those between."""
+    step = buckets // FAN_OUT
+    outer = _count_below(f"({{}} + 1) * {step} - 1", 0, FAN_OUT - 1)
+    found = df.withColumn("_outer", F.expr(outer))
+    inner = _count_below(f"_outer * {step} + {{}}", 0, step - 1)
+    return found.withColumn("_bucket", F.col("_outer") * step + F.expr(inner)).drop("_cuts", "_outer")
 
 
 def value_positions(
@@ -33,7 +49,7 @@ def value_positions(
     groups: Sequence[str] = (),
     *,
     bounded_groups: bool = False,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per distinct non-null value: ``value, n, before, total`` within its group.
 
@@ -42,7 +58,7 @@ def value_positions(
     columns): their cut points are then broadcast instead of joined by shuffle.
     """
     value = F.col(value) if isinstance(value, str) else value
-    groups = list(groups)
+    groups, buckets = list(groups), buckets or bucket_count(df)
     counts = (
         df.select(*groups, value.cast("double").alias("value"))
         .filter(F.col("value").isNotNull())
@@ -50,15 +66,16 @@ def value_positions(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = F.percentile_approx("value", probs, SKETCH_ACCURACY)
+    cuts = F.percentile_approx("value", probs, 8 * buckets)
     # keeping ``n`` alive here lets the cuts read the very exchange that the counts come from
     counted = counts.filter(F.col("n") > 0)
     if groups:
         edges = counted.groupBy(*groups).agg(cuts.alias("_cuts"))
-        cut_rows = counts.join(F.broadcast(edges) if bounded_groups else edges, groups)
+        # a group may own most of the values, so its rows are spread over several tasks
+        cut_rows = counts.join(F.broadcast(edges), groups) if bounded_groups else lookup_join(counts, edges, groups, spread_by=["value"])
     else:
         cut_rows = counts.withColumn("_cuts", counted.agg(cuts).scalar())
-    cut_rows = cut_rows.withColumn("_bucket", F.expr(_count_below(0, buckets - 1))).drop("_cuts")
+    cut_rows = _with_bucket(cut_rows, buckets)
 
     everything = groups or [F.lit(0)]
     sizes = cut_rows.groupBy(*groups, "_bucket").agg(F.sum("n").alias("_size"))

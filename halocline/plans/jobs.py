@@ -170,7 +170,7 @@ def build_mix_panel(spark: SparkSession, paths: Paths, settings: Settings = Sett
         installs, costs, date_from=settings.train_start, date_to=settings.test_end, mix=settings.mix
     )
     label = F.when(F.col("install_date") < F.lit(settings.test_start), "train").otherwise("test")
-    return sinks.write_split(panel.withColumn("split", label), paths.table("mmm_panel"))
+    return sinks.write_split(P.ordered(panel.withColumn("split", label)), paths.table("mmm_panel"))
 
 
 def _panel(spark: SparkSession, paths: Paths) -> tuple[DataFrame, DataFrame]:

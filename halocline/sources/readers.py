@@ -44,9 +44,9 @@ def ordered_feature_scans(
 ) -> dict[str, DataFrame]:
     """Feature tables by name with the join base first; a missing path or base raises."""
     if base not in paths:
-        raise KeyError(f"Base dataset '{base}' is missing")
+        raise KeyError(f"no path is given for the join base '{base}'")
     for name, path in paths.items():
         if not path_exists(spark, path):
-            raise FileNotFoundError(f"Feature table not found for {name}: {path}")
+            raise FileNotFoundError(f"'{path}', the table of source '{name}', does not exist")
     order = [base, *[n for n in paths if n != base]]
     return {name: spark.read.parquet(paths[name]) for name in order}

@@ -18,8 +18,8 @@ def write_table(df: DataFrame, path: str, overwrite: bool = True, partition_by:
 
 
 def write_summary_csv(df: DataFrame, path: str) -> str:
-    """CSV with a header, one file. For summary tables of a few rows only."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header, one file, for summary tables. The table is made by many tasks and only written by one."""
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 

@@ -10,22 +10,14 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-TRAIN_START, TEST_START, TEST_END = "1995-01-01", "2000-07-01", "2001-07-01"
-
-COST_KEYS = ("install_date", "platform", "media_source", "country_code", "campaign", "af_adset", "af_ad")
+from halocline.operators.costs import COST_KEYS
 
-
-_SCHEMAS: dict[str, T.StructType] = {}
+TRAIN_START, TEST_START, TEST_END = "1995-01-01", "2000-07-01", "2001-07-01"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan with a remembered schema: footers are read for it once per path, not once per use."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _orders(spark: SparkSession, sf_dir: str, grain: str) -> DataFrame:

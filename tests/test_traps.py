@@ -249,7 +249,7 @@ def test_merge_renames_collisions_and_needs_input(spark):
 def test_lookup_join_keeps_every_row_of_a_hot_key(spark):
     hot = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, "h").alias("k"))
     lookup = spark.createDataFrame([("h", 1), (None, 2)], "k string, v int")
-    got = lookup_join(hot, lookup, ["k"], spread_by=["id"], salts=8)
+    got = lookup_join(hot, lookup, ["k"], spread_by=["id"])
     counts = {r["v"]: r["n"] for r in rows(got.groupBy("v").agg(F.count(F.lit(1)).alias("n")))}
     assert counts == {1: 3333, 2: 1667}
 
@@ -356,6 +356,19 @@ def test_bad_timestamps_become_null(spark):
     assert got == [dt.datetime(2025, 1, 1, 10), None]
 
 
+def test_numbers_and_utc_instants(spark):
+    df = spark.createDataFrame([("2025-01-01 10:00:00", 1_735_725_600_000_000_000)], "t string, n bigint")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        (r,) = rows(S.coerce_timestamps(df, ["t", "n"], utc=True).selectExpr("unix_micros(t) t", "unix_micros(n) n"))
+        (w,) = rows(S.coerce_timestamps(df, ["t", "n"]))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert r == {"t": 1_735_725_600_000_000, "n": 1_735_725_600_000_000}
+    assert w["t"] == w["n"] == dt.datetime(2025, 1, 1, 10)
+
+
 def test_minutes_keep_fractions(spark):
     df = spark.createDataFrame([(T0, T0 + dt.timedelta(hours=24, minutes=1, seconds=30.5))], "a timestamp_ntz, b timestamp_ntz")
     (r,) = rows(df.select(S.minutes_between(F.col("b"), F.col("a")).alias("m")))
