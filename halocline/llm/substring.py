@@ -270,8 +270,8 @@ def repeated_windows(
 
     ``buckets``: by default four for each shuffle partition.
     """
-    spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 4 * parts
     k, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = docs.select(k.alias("k"), t.alias("t"), F.xxhash64(k.isNull(), k, t).alias("r1"), F.xxhash64(t, F.lit(1), k).alias("r2"))
 
@@ -299,7 +299,9 @@ def repeated_windows(
             )
 
     packed = rows.select("r1", "r2", "t").mapInArrow(pack, PACKED)
-    dealt = packed.repartition(F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("r1")))
+    # every partition takes the same number of buckets; known ranges only pass through
+    place = F.when(F.col("bucket") >= 0, F.col("bucket") % parts).otherwise(F.pmod(F.xxhash64("r1"), F.lit(parts)))
+    dealt = packed.repartitionById(parts, place.cast("int"))
     ranges = dealt.sortWithinPartitions("bucket").mapInArrow(count, RANGES).distinct()
     of = ranges.groupBy("r1", "r2").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     schema = f"k {id_type(docs, id_col)}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
