@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from halocline.llm.common import Batches, batch_of, id_type, raw_texts
 
-MER = 5
+MER = 4
+#: Packed strings are compressed by the tasks, at this level of zstd.
+LEVEL = 3
 #: Bytes of text that are cut into strings at a time.
 BLOCK_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -190,7 +192,7 @@ class Bucket:
 
 def pack_blocks(batches: Batches, window: int, buckets: int) -> Batches:
     """Rows (bucket, blob, refs) of a task's input; bucket -1 has ranges that are known to be repeated already."""
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=LEVEL).compress
 
     def block(texts: list[bytes], r1: list[int], r2: list[int]) -> pa.RecordBatch:
         joined, text, first, count, minimiser, bounds = super_kmers(texts, window)
