@@ -92,6 +92,7 @@ class BinomialSettings:
     max_iter: int = 100
     tol: float = 3e-4
     spread_tol: float = 1e-3
+    spread_rounds: int = 1000
 
 
 @dataclass(frozen=True)

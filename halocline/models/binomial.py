@@ -185,7 +185,7 @@ def fit_binomial(
     """Posterior mode and curvature. The prepared matrix is kept across the passes.
 
     A step that lowers the penalised likelihood is halved and tried again. ``converged`` says whether the
-    last step stayed below ``tol`` and the spreads moved less than ``spread_tol`` (relative).
+    last step stayed below ``tol`` and the spreads moved less than ``spread_tol`` (relative) in the last pass.
     """
     prep = prep or fit_prep(train, features)
     counts = [F.col(organic).cast("double").alias("k"), F.col(total).cast("double").alias("n")]
@@ -195,7 +195,7 @@ def fit_binomial(
     core, country = np.zeros(n_fixed + n_p), np.zeros(n_c)
     step, country_step = np.zeros_like(core), np.zeros_like(country)
     sigma_c, sigma_p = spreads
-    best, largest, converged, steps = -math.inf, 0.0, False, 0
+    best, largest, converged, steps = -math.inf, math.inf, False, 0
 
     def equations() -> Equations:
         return _normal_equations(matrix, np.concatenate([core[:n_fixed], country, core[n_fixed:]]), n_fixed, n_c, n_p)
@@ -203,32 +203,34 @@ def fit_binomial(
     def penalty(core: np.ndarray, country: np.ndarray, core_precision: np.ndarray) -> float:
         return 0.5 * float(core_precision @ core**2 + country @ country / sigma_c**2)
 
+    def precision() -> np.ndarray:
+        fixed = [[settings.alpha_prior_sigma**-2], np.full(len(features), settings.beta_prior_sigma**-2)]
+        return np.concatenate([*fixed, np.full(n_p, sigma_p**-2)])
+
     try:
         for steps in range(1, settings.max_iter + 1):
-            core_precision = np.concatenate(
-                [
-                    [settings.alpha_prior_sigma**-2],
-                    np.full(len(features), settings.beta_prior_sigma**-2),
-                    np.full(n_p, sigma_p**-2),
-                ]
-            )
+            core_precision = precision()
             eq = equations()
             while eq.loglik - penalty(core, country, core_precision) < best - 1e-9 * abs(best) and largest > settings.tol:
                 step, country_step, largest = step / 2, country_step / 2, largest / 2
                 core, country = core - step, country - country_step
                 eq = equations()
-            step, country_step, curvature = _solve(eq, core_precision, sigma_c**-2, core, country)
-            core, country = core + step, country + country_step
-            moved = 0.0
-            if learn_spread:
-                old = (sigma_c, sigma_p)
+            old, at, at_country = (sigma_c, sigma_p), core, country
+            # near the mode the spreads settle on the equations of this pass, without reading the rows again
+            rounds = settings.spread_rounds if largest < 0.1 else 1
+            for _ in range(rounds if learn_spread else 1):
+                step, country_step, curvature = _solve(eq, precision(), sigma_c**-2, at, at_country)
+                core, country = at + step, at_country + country_step
+                if not learn_spread:
+                    break
+                last = (sigma_c, sigma_p)
                 sigma_c = _spread(country, curvature.country_variance(), settings.spread_prior_sigma)
                 sigma_p = _spread(core[n_fixed:], np.diag(curvature.core)[n_fixed:], settings.spread_prior_sigma)
-                moved = max(abs(sigma_c / old[0] - 1.0), abs(sigma_p / old[1] - 1.0))
+                if max(abs(sigma_c / last[0] - 1.0), abs(sigma_p / last[1] - 1.0)) < settings.spread_tol:
+                    break
+            moved = max(abs(sigma_c / old[0] - 1.0), abs(sigma_p / old[1] - 1.0))
             # the value to beat, under the spreads that the next pass will use
-            before, prior = core - step, country - country_step
-            core_precision[n_fixed:] = sigma_p**-2
-            best = eq.loglik - penalty(before, prior, core_precision)
+            best = eq.loglik - penalty(at, at_country, precision())
             largest = max(np.abs(step).max(initial=0.0), np.abs(country_step).max(initial=0.0))
             if largest < settings.tol and moved < settings.spread_tol:
                 converged = True
