@@ -264,10 +264,16 @@ def predict_mix(model: MixModel, panel: DataFrame) -> DataFrame:
 
 def predict_test(model: MixModel, train: DataFrame, test: DataFrame) -> DataFrame:
     """Test predictions with carry-over from the end of the training rows, at the grain of the model."""
+    parts = test_contributions(model, train, test)
+    return parts.groupBy("geo", "install_date").agg(F.sum("contribution").alias("pred_scaled"))
+
+
+def test_contributions(model: MixModel, train: DataFrame, test: DataFrame) -> DataFrame:
+    """``contributions`` of the test rows; of the training rows only those that carry over are read."""
     dates = model_panel(test, model.mix).select("geo", "install_date")
     tail = train.filter(F.col("install_date") >= _warmup_start(train, model.mix))
     both = with_warmup(tail, test).drop("is_test")
-    return predict_mix(model, both).join(dates, ["geo", "install_date"], "left_semi")
+    return contributions(model, both).join(dates, ["geo", "install_date"], "left_semi")
 
 
 def _warmup_start(train: DataFrame, mix: MixSettings) -> Column:
@@ -276,6 +282,13 @@ def _warmup_start(train: DataFrame, mix: MixSettings) -> Column:
     return F.date_sub(train.agg(F.max("install_date")).scalar(), reach)
 
 
+def grid_edges(model: MixModel) -> DataFrame:
+    """Checks in the form of ``attribution_checks``: a best point at the edge of its grid asks for a wider grid."""
+    found = (("decay_inside_grid", model.decay, model.mix.decay_grid), ("shape_inside_grid", model.shape, model.mix.shape_grid))
+    rows = [(name, hit := int(len(grid) > 1 and value in (min(grid), max(grid))), not hit) for name, value, grid in found]
+    return model.coefficients.sparkSession.createDataFrame(rows, "check_name string, violations bigint, passed boolean")
+
+
 def response_curve(model: MixModel, points: int = 21) -> DataFrame:
     """Fitted saturation at a few spend levels (0..1 of the largest) per channel."""
     spark = model.coefficients.sparkSession

@@ -110,17 +110,19 @@ def true_organic(shares: DataFrame, attribution: DataFrame) -> DataFrame:
     """Organic installs left after the halo: share times installs minus all channels, per geo and date.
 
     ``shares`` holds ``geo, install_date, organic_share, total_installs``, where the
-    share may be observed or predicted.
+    share may be observed or predicted. Where no halo was estimated (a geo or date outside of the
+    attribution) what is left is unknown: null, with ``halo_known`` false.
     """
     halo = attribution.groupBy("geo", "install_date").agg(F.sum("halo_organic").alias("halo_organic"))
     organic = F.col("organic_share") * F.col("total_installs")
-    paid_part = F.coalesce("halo_organic", F.lit(0.0))
+    paid_part = F.col("halo_organic")
     return shares.join(halo, ["geo", "install_date"], "left").select(
         "geo",
         "install_date",
         organic.alias("organic"),
         paid_part.alias("paid_induced"),
         (organic - paid_part).alias("true_organic"),
+        paid_part.isNotNull().alias("halo_known"),
     )
 
 

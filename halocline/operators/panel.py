@@ -96,9 +96,9 @@ def join_spend(installs: DataFrame, spend: DataFrame, how: str = "left") -> Data
     )
 
 
-def keep_countries(panel: DataFrame, min_installs: int) -> DataFrame:
-    """Rows of countries with at least ``min_installs`` installs."""
-    if min_installs <= 0:
+def keep_countries(panel: DataFrame, min_installs: int | Column) -> DataFrame:
+    """Rows of countries with at least ``min_installs`` installs, a number or a scalar subquery."""
+    if isinstance(min_installs, int) and min_installs <= 0:
         return panel
     keep = panel.groupBy("country_code").agg(F.sum("total_installs").alias("_n")).filter(F.col("_n") >= min_installs)
     return panel.join(keep.select("country_code"), "country_code", "left_semi")

@@ -133,6 +133,13 @@ def _score_tables(scored: Mapping[str, DataFrame], paths: Paths, model: str, set
     return out
 
 
+def _score_every(spark: SparkSession, paths: Paths, model: str, settings: Settings, predict) -> None:
+    """Predictions of all cohorts of the two windows, small ones included, for the combination with the halo."""
+    full = spark.read.parquet(paths.table("targets")).filter(F.col("split").isin("train", "test"))
+    scored = predict(full).select(*settings.keep_keys, settings.target, settings.weight, "pred")
+    sinks.write_table(scored, paths.result(f"{model}_all"))
+
+
 def run_baseline(spark: SparkSession, paths: Paths, settings: Settings = Settings()) -> dict[str, DataFrame]:
     """Ridge fit, predictions and report."""
     train, test, features = _clean(spark, paths, settings)
@@ -140,6 +147,7 @@ def run_baseline(spark: SparkSession, paths: Paths, settings: Settings = Setting
         train, target=settings.target, weight=settings.weight, features=features, alpha=settings.ridge_alpha
     )
     scored = {"train": G.predict_ridge(model, train), "test": G.predict_ridge(model, test)}
+    _score_every(spark, paths, "baseline", settings, lambda df: G.predict_ridge(model, df))
     return _score_tables(scored, paths, "baseline", settings) | {"coefficients": G.coefficient_table(model, train)}
 
 
@@ -151,6 +159,7 @@ def run_binomial(spark: SparkSession, paths: Paths, settings: Settings = Setting
     sinks.write_table(B.posterior_draws(model, spark, settings.binomial), paths.result("binomial_draws"))
     draws = spark.read.parquet(paths.result("binomial_draws"))
     scored = {"train": B.predict_binomial(model, train), "test": B.predict_binomial(model, test)}
+    _score_every(spark, paths, "binomial", settings, lambda df: B.predict_binomial(model, df))
     return _score_tables(scored, paths, "binomial", settings) | {
         "effects": B.effects_table(model, spark),
         "fit": B.fit_table(model, spark),
@@ -196,8 +205,13 @@ def run_mix(
     summary = T.channel_summary(attribution, ready, target)
     sinks.write_summary_csv(summary, paths.result("mmm_attribution_summary"))
 
-    predicted = T.calibrated(M.predict_test(model, train, test), scale)
-    matched = T.match_test(M.model_panel(test, settings.mix), predicted)
+    sinks.write_table(M.test_contributions(model, train, test), paths.result("mmm_contributions_test"))
+    test_parts = spark.read.parquet(paths.result("mmm_contributions_test"))
+    test_ready = M.model_panel(test, settings.mix)
+    later = T.attribute(M.channel_contributions(model, test_parts), scale, test_ready)
+    sinks.write_table(later, paths.result("mmm_attribution_test"))
+    predicted = T.calibrated(T.predictions_from_contributions(test_parts), scale)
+    matched = T.match_test(test_ready, predicted)
     sinks.write_table(X.with_errors(matched, target, "pred"), paths.result("mmm_test"))
     tested = spark.read.parquet(paths.result("mmm_test"))
     in_sample = X.with_errors(
@@ -218,7 +232,10 @@ def run_mix(
         "test_buckets": X.error_bins(tested, "pe", "total_installs"),
         "roas": M.roas_table(halo, P.spend_totals(ready)),
         "checks": T.attribution_checks(
-            summary, 1000.0, model.grid_scores.select("decay"), M.response_curve(model)
+            summary, 1000.0, spark.createDataFrame([(model.decay,)], "decay double"), M.response_curve(model)
+        ).unionByName(M.grid_edges(model)),
+        "diagnostics": D.diagnostics(
+            M.coefficient_draws(model, draws).withColumn("param", F.concat_ws("|", "geo", "channel"))
         ),
     }
 
@@ -232,9 +249,13 @@ def analyse_draws(draws: DataFrame, path: str) -> dict[str, DataFrame]:
 
 
 def combine(spark: SparkSession, paths: Paths, settings: Settings = Settings(), model: str = "binomial") -> DataFrame:
-    """True organic installs: predicted share times installs minus the attributed halo, per geo and bucket."""
-    shares = spark.read.parquet(paths.result(f"{model}_train"), paths.result(f"{model}_test"))
-    attribution = spark.read.parquet(paths.result("mmm_attribution"))
+    """True organic installs: predicted share times installs minus the attributed halo, per geo and bucket.
+
+    Shares are those of all cohorts, as the halo was fitted on all installs, and the halo is that of training and test
+    buckets. A geo or bucket that the mix model does not know has no halo and no result (``halo_known`` false).
+    """
+    shares = spark.read.parquet(paths.result(f"{model}_all"))
+    attribution = spark.read.parquet(paths.result("mmm_attribution"), paths.result("mmm_attribution_test"))
     named = shares.withColumn("geo", P.geo_name()).withColumn("install_date", F.to_date("install_date"))
     anchor = spark.read.parquet(paths.table("mmm_panel")).agg(F.min("install_date")).scalar()
     step = max(settings.mix.cadence_days, 1)

@@ -173,8 +173,7 @@ final AS (SELECT * FROM daily WHERE country_code IN (SELECT country_code FROM ke
 def country_filter(spark, d):
     """Countries with at least a fifth of all installs, the threshold read from the data."""
     panel = daily_panel(spark, d).filter(P.in_window(F.col("install_date"), *WINDOW.values()))
-    total = panel.agg(F.sum("total_installs")).first()[0]
-    return P.keep_countries(panel, -(-total // 5))
+    return P.keep_countries(panel, F.ceil(panel.agg(F.sum("total_installs")).scalar() / 5))
 
 
 @query(
@@ -545,7 +544,7 @@ final AS (
 def pool_countries(spark, d):
     """All but the largest country pooled, the threshold read from the data."""
     rows = star.installs(spark, d, "day").select("platform", "country_code")
-    largest = rows.groupBy("country_code").count().agg(F.max("count")).first()[0]
+    largest = rows.groupBy("country_code").count().agg(F.max("count")).scalar()
     pooled = T.pool_rare(
         rows.withColumn("country_pooled", F.col("country_code")), "country_pooled", largest, "country_other"
     )

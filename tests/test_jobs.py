@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from halocline.config import MixSettings, Settings
+from halocline.operators import attribution as T
 from halocline.plans import jobs as J
 from halocline.sources import readers, sinks
 from tests.conftest import rows
@@ -15,7 +16,7 @@ from tests.conftest import rows
 RNG = np.random.default_rng(3)
 SETTINGS = dataclasses.replace(
     Settings(),
-    min_total_installs=3,
+    min_total_installs=6,
     train_start=dt.date(2025, 1, 1),
     test_start=dt.date(2025, 3, 1),
     test_end=dt.date(2025, 4, 1),
@@ -81,7 +82,10 @@ def test_pipeline(spark, paths):
     split = J.build_mix_panel(spark, paths, SETTINGS)
     assert split["full"].filter("geo = 'ios_US'").count() >= 12
     mix = J.run_mix(spark, paths, SETTINGS, draws=50)
-    assert all(c["passed"] for c in rows(mix["checks"]))
+    checks = {c["check_name"]: c["passed"] for c in rows(mix["checks"])}
+    assert all(checks[c] for c in ("halo_bounded", "decay_in_unit_range", "saturation_monotone"))
+    assert {"decay_inside_grid", "shape_inside_grid"} <= set(checks)
+    assert mix["diagnostics"].filter("r_hat is null").count() == 0 and rows(binom["fit"])[0]["converged"]
     (tot,) = rows(mix["totals"])
     assert tot["observed"] == split["train"].agg(F.sum("organic_installs")).first()[0]
     assert rows(mix["in_sample"])[0]["n"] == split["train"].count()
@@ -92,6 +96,19 @@ def test_pipeline(spark, paths):
     combined = J.combine(spark, paths, SETTINGS)
     bad = combined.filter(F.abs(F.col("organic") - F.col("paid_induced") - F.col("true_organic")) > 1e-9)
     assert combined.count() > 0 and bad.count() == 0
+    # all cohorts are in it, the small ones too, and test buckets have a halo of their own
+    full = spark.read.parquet(paths.table("targets")).filter("split in ('train', 'test')")
+    small = full.filter(f"total_installs < {SETTINGS.min_total_installs}").count()
+    every = spark.read.parquet(paths.result("binomial_all"))
+    assert small > 0 and every.count() == full.count()
+    want = every.agg(F.sum(F.col("pred") * F.col("total_installs"))).first()[0]
+    assert combined.agg(F.sum("organic")).first()[0] == pytest.approx(want)
+    later = combined.filter(F.col("install_date") >= F.lit(SETTINGS.test_start))
+    assert later.filter("halo_known and paid_induced > 0").count() > 0
+    # a geo that the panel does not hold has no result rather than a halo of zero
+    part = spark.read.parquet(paths.result("mmm_attribution")).filter("geo <> 'ios_US'")
+    gone = T.true_organic(combined.withColumns({"organic_share": F.lit(0.5), "total_installs": F.lit(10)}), part).filter("geo = 'ios_US'")
+    assert gone.count() > 0 and gone.filter("halo_known or true_organic is not null").count() == 0
     views = J.explore(spark, paths, SETTINGS)
     assert views["pairs"].count() <= 30 and views["daily"].count() > 0
     draws = spark.read.parquet(paths.result("binomial_draws")).filter("param in ('alpha', 'beta[spend]')")
