@@ -22,6 +22,7 @@ smallest id; null ids count in it but name it only if there is no other. Repeate
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -30,29 +31,36 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halocline.llm.common import Batches, batch_of, id_type, keyed_text, raw_texts, written
+from halocline.llm.common import SPACE, Batches, batch_of, id_type, keyed_text, raw_texts, written
 from halocline.llm.components import components
 
 SEED, MAX_BITS = 42, 3
 HALF = 32
-#: Shingles hashed and counted at a time.
-BLOCK = 200_000
+#: Bytes of a text that are cut into shingles at a time; a block ends before white space.
+BLOCK_BYTES = 1 << 20
+GAP = re.compile(SPACE)
 
 
 def fingerprint(raw: bytes, shingle: int = 3) -> int:
-    words = raw.lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        pieces = [b" ".join(words)]
-    else:
-        pieces = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for lo in range(0, len(pieces), BLOCK):
-        h = np.array([digest(p, SEED) for p in pieces[lo : lo + BLOCK]], ">u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(pieces)).tobytes(), "big")
+    """Fingerprint of a whole text, read a block at a time; a block starts with the words that its last shingles lack."""
+    counts, n = np.zeros(64, np.int64), 0
+    words: list[bytes] = []
+
+    def add(pieces: list[bytes]) -> int:
+        h = np.array([xxhash.xxh64_intdigest(p, SEED) for p in pieces], ">u8")
+        counts[:] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        return len(pieces)
+
+    at = 0
+    while at < len(raw):
+        cut = GAP.search(raw, at + BLOCK_BYTES)
+        end = cut.start() if cut else len(raw)
+        words += raw[at:end].lower().split()
+        done = add(list(map(b" ".join, zip(*(words[i:] for i in range(shingle))))))
+        words, n, at = words[done:], n + done, end
+    if not n and words:
+        n = add([b" ".join(words)])
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

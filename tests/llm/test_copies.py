@@ -72,6 +72,15 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_fingerprint_of_a_text_in_many_blocks(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(["ab", "C", " ", "\n\t ", "xyz", "é", "q" * 30], k=k)) for k in range(120)]
+    want = [plain_fingerprint(t) for t in texts]
+    for size in (1, 7, 40):
+        monkeypatch.setattr("halocline.llm.simhash.BLOCK_BYTES", size)
+        assert [fingerprint(t.encode()) for t in texts] == want
+
+
 def plain_components(nodes):
     """Smallest member of each node's group, linked at three bits or fewer."""
     parent = {n: n for n in nodes}
