@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from halocline.operators.quantiles import exact_quantiles, long_columns
 
+#: Deviations below this share of the mean are rounding of a constant.
+ROUNDING = 1e-9
+
 
 @dataclass(frozen=True)
 class Prep:
@@ -30,7 +33,7 @@ def prep_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
     The moments of the filled column follow from those of the present values, so
     the table is read once for medians and once for moments and never filled. A
-    deviation of 0 becomes 1; a feature without any value counts as constant 0.
+    deviation of 0 or no more than rounding leaves becomes 1; a feature without any value counts as constant 0.
     """
     rows = long_columns(df, features)
     v = F.col("value")
@@ -50,7 +53,7 @@ def prep_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     )
     std = F.sqrt(ss / F.col("_all"))
     return with_mean.select(
-        F.col("column").alias("feature"), "median", "mean", F.when(std == 0, 1.0).otherwise(std).alias("std")
+        F.col("column").alias("feature"), "median", "mean", F.when(std <= ROUNDING * F.abs("mean"), 1.0).otherwise(std).alias("std")
     )
 
 

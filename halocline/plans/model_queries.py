@@ -370,7 +370,7 @@ def _prep_sql(columns, source: str = "train_rows") -> str:
     return f"""long_rows AS ({parts}), filled AS (SELECT feature, median, coalesce(v, median) AS v FROM long_rows),
 stats AS (
   SELECT feature, max(median) AS median, avg(v) AS mean,
-         CASE WHEN stddev_pop(v) = 0 THEN 1.0 ELSE stddev_pop(v) END AS std FROM filled GROUP BY feature)"""
+         CASE WHEN stddev_pop(v) <= 1e-9 * abs(avg(v)) THEN 1.0 ELSE stddev_pop(v) END AS std FROM filled GROUP BY feature)"""
 
 
 _TRAIN = f"{clean_sql()}, train_rows AS (SELECT * FROM clean WHERE split = 'train')"
@@ -416,19 +416,71 @@ def _ridge(spark: SparkSession, d: str) -> tuple[DataFrame, G.RidgeModel]:
     return table, G.fit_ridge(train, target="organic_share", weight="total_installs", features=FEATURES)
 
 
-@query("platform country_code install_date split organic_share:6 total_installs:int pred:6 abs_err:6 pe:6")
+# Ridge in SQL: normal equations of the long design, solved by elimination. The penalty leaves out the intercept.
+_RIDGE = f"""RECURSIVE {_TRAIN},
+te AS (
+  SELECT country_code, sum(organic_share * total_installs) / sum(total_installs) AS country_te
+  FROM train_rows WHERE country_code IS NOT NULL GROUP BY country_code),
+encoded AS MATERIALIZED (
+  SELECT c.*, concat(c.platform, '|', c.country_code, '|', c.install_date) AS rid,
+         coalesce(te.country_te, (SELECT sum(organic_share * total_installs) / sum(total_installs) FROM train_rows)) AS country_te
+  FROM clean c LEFT JOIN te ON c.country_code = te.country_code),
+train_encoded AS (SELECT * FROM encoded WHERE split = 'train'),
+{_prep_sql([*FEATURES, "country_te"], "train_encoded")},
+kinds AS (SELECT DISTINCT platform FROM train_rows WHERE platform IS NOT NULL),
+design AS MATERIALIZED (
+  SELECT rid, 'intercept' AS feature, 1.0::DOUBLE AS v FROM encoded
+  UNION ALL {" UNION ALL ".join(
+      f"SELECT rid, '{c}', (coalesce(CAST({c} AS DOUBLE), median) - mean) / std FROM encoded, stats WHERE feature = '{c}'"
+      for c in [*FEATURES, "country_te"])}
+  UNION ALL SELECT rid, 'platform_' || k.platform, CASE WHEN e.platform = k.platform THEN 1.0 ELSE 0.0 END FROM encoded e, kinds k),
+places AS MATERIALIZED (
+  SELECT feature, row_number() OVER (ORDER BY feature <> 'intercept', feature) - 1 AS i FROM (SELECT DISTINCT feature FROM design)),
+weighted AS MATERIALIZED (
+  SELECT rid, i, v, total_installs AS w, {_LOGIT} AS y
+  FROM design JOIN places USING (feature) JOIN train_encoded USING (rid)),
+equations AS MATERIALIZED (
+  SELECT a.i, b.i AS j, sum(a.w * a.v * b.v) + CASE WHEN a.i = b.i AND a.i > 0 THEN 1.0 ELSE 0.0 END AS v
+  FROM weighted a JOIN weighted b USING (rid) GROUP BY a.i, b.i
+  UNION ALL SELECT i, (SELECT count(*) FROM places), sum(w * v * y) FROM weighted GROUP BY i),
+reduced AS (
+  SELECT 0 AS k, i, j, v FROM equations
+  UNION ALL
+  SELECT a.k + 1, a.i, a.j, CASE WHEN a.i = a.k THEN a.v / p.v ELSE a.v - c.v * r.v / p.v END
+  FROM reduced a JOIN reduced r ON r.i = a.k AND r.j = a.j JOIN reduced c ON c.i = a.i AND c.j = a.k
+  JOIN reduced p ON p.i = a.k AND p.j = a.k WHERE a.k < (SELECT count(*) FROM places)),
+solved AS (
+  SELECT feature, v AS coef FROM reduced JOIN places USING (i)
+  WHERE k = (SELECT count(*) FROM places) AND j = (SELECT count(*) FROM places)),
+fitted AS (
+  SELECT rid, 1 / (1 + exp(-sum(coef * v))) AS pred FROM design JOIN solved USING (feature) GROUP BY rid),
+predicted AS (
+  SELECT e.*, pred, abs(organic_share - pred) AS abs_err,
+         CASE WHEN abs(organic_share) > 1e-6 THEN (pred - organic_share) / organic_share END AS pe
+  FROM encoded e JOIN fitted USING (rid))"""
+
+
+@query(
+    "platform country_code install_date split organic_share:6 total_installs:int pred:6 abs_err:6 pe:6",
+    f"WITH {_RIDGE}, final AS (SELECT * FROM predicted)",
+)
 def ridge_predictions(spark, d):
     table, model = _ridge(spark, d)
     return X.with_errors(G.predict_ridge(model, table), "organic_share", "pred")
 
 
-@query("feature coef:6 abs_coef:6")
+@query(
+    "feature coef:6 abs_coef:6",
+    f"""WITH {_RIDGE}, final AS (
+  SELECT feature, coef, abs(coef) AS abs_coef FROM solved WHERE feature <> 'intercept'
+  ORDER BY abs(coef) DESC, feature LIMIT 20)""",
+)
 def ridge_coefficients(spark, d):
     table, model = _ridge(spark, d)
     return G.coefficient_table(model, table)
 
 
-@query(f"split {METRICS}")
+@query(f"split {METRICS}", f"WITH {_RIDGE}, {_metric_sql('split', 'predicted')}")
 def ridge_metrics(spark, d):
     table, model = _ridge(spark, d)
     return X.regression_report(G.predict_ridge(model, table), "organic_share", "pred", "total_installs", ["split"])
