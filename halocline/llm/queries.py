@@ -7,18 +7,22 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from halocline.llm import (
+    conversation_trie,
     decontaminate,
     exact_dedup,
     licenses,
     packing,
+    periodic_runs,
     quality,
     secret_scan,
     sharding,
     simhash,
     substring,
     token_count,
+    warc,
 )
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -73,6 +77,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    borrowed = F.crc32(conv.cast("string").cast("binary")) % 9
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_trie.prefix_trie(turns, lender=conv - conv % 5, borrowed=borrowed, most=8)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(table(spark, sf_dir, "documents"), change=periodic_runs.loop_words)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +102,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_simhash, op3_quality, op4_exact_dedup, op5_token_counts, op6_substring_dedup,
-        op7_license_scan, op8_packing, op9_decontamination, op10_sharding, pipeline,
+        op7_license_scan, op8_packing, op9_decontamination, op10_sharding, op11_conversation_trie,
+        op12_warc, op13_periodic_runs, pipeline,
     )
 }
 
@@ -150,9 +170,67 @@ SELECT doc_id, n_bytes, depth || '-' || up AS shard, CAST(depth AS INTEGER) AS d
        shard_bytes <= {SHARD_BYTES} AS fits FROM leaf
 """
 
+#: CRC-32 by its table, the rebuilt conversations as lists of turns, and the nodes as their distinct beginnings.
+CONVERSATION_TRIE = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))
+), ids AS (
+  SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL
+), borrowed AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS lender, xor(4294967295, list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+           lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 9 AS h
+  FROM ids, crc_table
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place,
+         {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x FROM conversations
+), rebuilt AS (
+  SELECT conv_id, 0 AS part, place, x FROM borrowed JOIN (SELECT conv_id AS lender, place, x FROM turns) USING (lender) WHERE place < h
+  UNION ALL SELECT conv_id, 1, place, x FROM turns JOIN borrowed USING (conv_id) WHERE place >= h
+), sequences AS (
+  SELECT conv_id, coalesce(list(x ORDER BY part, place) FILTER (x IS NOT NULL), []) AS s FROM ids LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+), prefixes AS (
+  SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM sequences
+), members AS (
+  SELECT conv_id, depth, len(s) AS n, CAST(s[1:depth] AS VARCHAR) AS node, CAST(s[1:depth - 1] AS VARCHAR) AS up,
+         CASE WHEN depth > 0 THEN strlen(s[depth].t) ELSE 0 END AS size FROM prefixes
+), nodes AS (
+  SELECT node, depth, any_value(CASE WHEN depth > 0 THEN up END) AS up, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM members GROUP BY node, depth
+), children AS (
+  SELECT up AS node, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), below AS (
+  SELECT DISTINCT a.node, a.depth, b.node AS low, b.depth AS low_depth FROM members a JOIN members b USING (conv_id) WHERE b.depth >= a.depth
+), sums AS (
+  SELECT below.node, below.depth, count(*) FILTER (children.n IS NULL) AS n_leaves, CAST(sum((v.n_convs - 1) * v.size) AS BIGINT) AS saved_tokens
+  FROM below JOIN nodes v ON v.node = low AND v.depth = low_depth LEFT JOIN children ON children.node = low AND children.depth = low_depth
+  GROUP BY 1, 2
+)
+SELECT nodes.conv_id, CAST(depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, nodes.n_convs, coalesce(children.n, 0) AS n_children,
+       n_leaves, saved_tokens, nodes.ends_sha256
+FROM nodes JOIN sums USING (node, depth) LEFT JOIN children USING (node, depth)
+LEFT JOIN (SELECT node AS up, depth + 1 AS depth, conv_id FROM nodes) p USING (up, depth)
+"""
+
+WARC = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisit THEN first_id END AS refers_to
+FROM (SELECT *, payload_bytes >= 100 AND page_id <> first_id AS revisit FROM firsts)
+"""
+
 SQL = {
     "op4_exact_dedup": EXACT_DEDUP,
     "op6_substring_dedup": SUBSTRING_DEDUP,
     "op9_decontamination": DECONTAMINATION,
     "op10_sharding": SHARDING,
+    "op11_conversation_trie": CONVERSATION_TRIE,
+    "op12_warc": WARC,
 }
