@@ -36,6 +36,7 @@ READ_BYTES = 1 << 18
 HEAD_BYTES = 1 << 14
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/\d\.\d\r\n")
+FIELD = re.compile(rb"[!-9;-~]+[ \t]*:|[ \t]")  # a name and its colon, or the continuation of the line before
 CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
 CANDIDATE_BYTES = 10
 PREFIX, NO_ID = "<urn:halocline:page:", "<urn:halocline:no-page>"
@@ -192,7 +193,10 @@ def record_at(data: Bytes, at: int) -> tuple[Found, int]:
         start = data.read(at, 2 * len(start))
     if stop < 0:
         raise Broken("header without end")
-    fields = fields_of(start[start.index(b"\r\n") + 2 : stop])
+    head = start[start.index(b"\r\n") + 2 : stop]
+    if not all(FIELD.match(line) for line in head.split(b"\r\n")):
+        raise Broken("header line without a field")
+    fields = fields_of(head)
     length = fields.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise Broken("no length")
