@@ -6,16 +6,42 @@ and is kept on the driver as plain Python, so that applying it is a projection.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from halocline.operators.quantiles import exact_quantiles, long_columns
 
 #: Deviations below this share of the mean are rounding of a constant.
 ROUNDING = 1e-9
+#: A fitted table of up to this many names is joined by broadcast, a larger one by shuffle.
+BROADCAST_NAMES = 200_000
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """A fitted value per name: a stored table and its measured size. Nothing of it is on the driver."""
+
+    rows: DataFrame
+    size: int
+
+    def attach(self, df: DataFrame, column: str, value: str, other: Column) -> DataFrame:
+        """Add ``value`` by the name in ``column``; an unknown or null name gets ``other``."""
+        rows = self.rows.select(F.col("name").alias("_name"), F.col("value").alias("_value"))
+        if self.size <= BROADCAST_NAMES:
+            rows = F.broadcast(rows)
+        joined = df.join(rows, F.col(column).cast("string") == F.col("_name"), "left")
+        return joined.withColumn(value, F.coalesce("_value", other)).drop("_name", "_value")
+
+
+def lookup(df: DataFrame, name: str, value: str, stage: Callable[[DataFrame], DataFrame] | None = None) -> Lookup:
+    """Store a fitted table, by ``stage`` (see ``sources.sinks.staged``) or on the executors' disks, and count it."""
+    rows = df.select(F.col(name).cast("string").alias("name"), F.col(value).alias("value"))
+    rows = stage(rows) if stage else rows.persist(StorageLevel.MEMORY_AND_DISK)
+    return Lookup(rows, rows.count())
 
 
 @dataclass(frozen=True)
@@ -128,7 +154,3 @@ def target_encoding(df: DataFrame, target: str, weight: str, column: str = "coun
         .groupBy(column)
         .agg(F.try_divide(F.sum(F.col(target) * w), F.sum(w)).alias(f"{column.split('_')[0]}_te"))
     )
-
-
-def weighted_mean(df: DataFrame, target: str, weight: str) -> float:
-    return df.agg(F.sum(F.col(target) * F.col(weight)) / F.sum(weight)).first()[0]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
@@ -11,18 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halocline.functions import scalar as S
-from halocline.models.prep import Prep, categories, fit_prep, scaled, target_encoding, weighted_mean
+from halocline.models.prep import Lookup, Prep, fit_prep, lookup, scaled, target_encoding
 
 ENCODED = "country_te"
 
 
 @dataclass(frozen=True)
 class RidgeModel:
+    """A fit without training rows knows nothing: it has no coefficients and predicts null."""
+
     prep: Prep
-    country_te: dict[str, float]
-    global_mean: float
+    country_te: Lookup | None
+    global_mean: float | None
     platforms: tuple[str, ...]
-    intercept: float
+    intercept: float | None
     coefficients: tuple[float, ...]
 
     @property
@@ -30,11 +33,12 @@ class RidgeModel:
         return [*self.prep.features, *[f"platform_{p}" for p in self.platforms]]
 
 
-def _encode(df: DataFrame, table: dict[str, float], global_mean: float) -> DataFrame:
-    """Join the fitted table by name; a country without a mean gets the global one."""
-    means = df.sparkSession.createDataFrame(list(table.items()), f"_name string, {ENCODED} double")
-    joined = df.join(means, F.col("country_code").cast("string") == F.col("_name"), "left").drop("_name")
-    return joined.withColumn(ENCODED, F.coalesce(ENCODED, F.lit(global_mean)))
+NO_FIT = RidgeModel(Prep((), (), (), ()), None, None, (), None, ())
+
+
+def _encode(df: DataFrame, table: Lookup, global_mean: float) -> DataFrame:
+    """Join the fitted means by name; a country without one gets the global mean."""
+    return table.attach(df, "country_code", ENCODED, F.lit(global_mean))
 
 
 def _inputs(prep: Prep, platforms: Sequence[str]) -> dict[str, Column]:
@@ -44,45 +48,40 @@ def _inputs(prep: Prep, platforms: Sequence[str]) -> dict[str, Column]:
 
 
 def fit_ridge(
-    train: DataFrame, *, target: str, weight: str, features: Sequence[str], alpha: float = 1.0
-) -> RidgeModel:
-    """Fit on the cluster: target encoding, preparation, then one pass for the normal equations.
+    train: DataFrame, *, target: str, weight: str, features: Sequence[str], alpha: float = 1.0,
+    stage: Callable[[DataFrame], DataFrame] | None = None,
+) -> RidgeModel:
+    """Fit on the cluster: one pass for totals, then target encoding, preparation, and one pass for the normal equations.
 
     The solver minimises mean squared error plus its own penalty on a target scaled
     to unit deviation, so the penalty of a textbook ridge (``alpha`` on the sum of
-    weighted squares) is ``alpha / sum(w) * std(y)``.
+    weighted squares) is ``alpha / sum(w) * std(y)``. ``stage`` stores the countries' means.
     """
-    table = {str(r[0]): r[1] for r in target_encoding(train, target, weight).collect()}
-    global_mean = weighted_mean(train, target, weight)
+    w, share, y = F.col(weight).cast("double"), F.col(target), S.logit(F.col(target))
+    sums = [F.sum(w), F.sum(w * share), F.sum(w * y), F.sum(w * y * y), F.array_sort(F.collect_set(F.col("platform").cast("string")))]
+    total, of_share, of_y, of_square, platforms = train.agg(*sums).first()
+    if not total:
+        return NO_FIT
+    global_mean, spread = of_share / total, math.sqrt(max(of_square / total - (of_y / total) ** 2, 0.0))
+    table = lookup(target_encoding(train, target, weight), "country_code", ENCODED, stage)
     encoded = _encode(train, table, global_mean)
     prep = fit_prep(encoded, [*features, ENCODED], country=None, platform=None)
-    platforms = categories(train.filter(F.col("platform").isNotNull()), "platform")
 
     inputs = _inputs(prep, platforms)
-    matrix = encoded.select(
-        *[c.alias(f"f{i}") for i, c in enumerate(inputs.values())],
-        S.logit(F.col(target)).alias("label"),
-        F.col(weight).cast("double").alias("w"),
-    )
+    matrix = encoded.select(*[c.alias(f"f{i}") for i, c in enumerate(inputs.values())], y.alias("label"), w.alias("w"))
     assembled = VectorAssembler(inputCols=[f"f{i}" for i in range(len(inputs))], outputCol="features")
-    data = assembled.transform(matrix).select("features", "label", "w")
-    w, y = F.col("w"), F.col("label")
-    mean = matrix.agg((F.sum(w * y) / F.sum(w)).alias("m")).scalar()
-    total, spread = (
-        matrix.withColumn("_d", y - mean).agg(F.sum(w), F.sqrt(F.sum(w * F.col("_d") * F.col("_d")) / F.sum(w))).first()
-    )
     model = LinearRegression(
         weightCol="w",
         regParam=alpha / total * spread,
         elasticNetParam=0.0,
         standardization=False,
         solver="normal",
-    ).fit(data)
+    ).fit(assembled.transform(matrix).select("features", "label", "w"))
     return RidgeModel(
         prep=prep,
         country_te=table,
         global_mean=global_mean,
-        platforms=platforms,
+        platforms=tuple(platforms),
         intercept=float(model.intercept),
         coefficients=tuple(float(c) for c in model.coefficients),
     )
@@ -90,6 +89,8 @@ def fit_ridge(
 
 def predict_ridge(model: RidgeModel, df: DataFrame) -> DataFrame:
     """Add ``pred``, the predicted share. A projection: coefficients are literals."""
+    if model.intercept is None:
+        return df.withColumn("pred", F.lit(None).cast("double"))
     encoded = _encode(df, model.country_te, model.global_mean)
     z = F.lit(model.intercept)
     for c, column in zip(model.coefficients, _inputs(model.prep, model.platforms).values()):

@@ -1,9 +1,8 @@
-"""Exploration of a cohort table: null map, describe, group profiles, correlations."""
+"""Exploration of a cohort table: null map, describe, group profiles."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,64 +85,3 @@ def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
             F.max(F.when(v <= F.col("q3") + reach, v)).alias("whisker_hi"),
         )
     )
-
-
-def pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows ``(feat_a, feat_b, x, y)`` for the given column pairs, complete values only."""
-    structs = [
-        F.struct(
-            F.lit(a).alias("feat_a"),
-            F.lit(b).alias("feat_b"),
-            F.col(f"`{a}`").cast("double").alias("x"),
-            F.col(f"`{b}`").cast("double").alias("y"),
-        )
-        for a, b in pairs
-    ]
-    return df.select(F.inline(F.array(*structs))).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-
-
-def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson and Spearman coefficient per column pair over its complete rows.
-
-    Equal ``(x, y)`` rows are reduced to counts before ranks are attached. Ranks
-    are averages over ties; their mean is known, so the coefficient needs one pass.
-    """
-    rows = pair_rows(df, pairs)
-    key = ["feat_a", "feat_b"]
-    # not corr(): it divides by a zero deviation, which is an error in ANSI mode
-    spread = F.stddev_pop("x") * F.stddev_pop("y")
-    pearson = rows.groupBy(*key).agg(F.try_divide(F.covar_pop("x", "y"), spread).alias("pearson"))
-
-    def ranks(side: str) -> DataFrame:
-        pos = value_positions(rows, side, key, bounded_groups=True)
-        mid = F.col("before") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2
-        return pos.select(*key, F.col("value").alias(side), mid.alias(f"r{side}"))
-
-    counted = rows.groupBy(*key, "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.join(ranks("x"), [*key, "x"]).join(ranks("y"), [*key, "y"])
-    n, rx, ry = F.col("n"), F.col("rx"), F.col("ry")
-    spearman = ranked.groupBy(*key).agg(
-        F.try_divide(F.sum(n * rx * ry), F.sqrt(F.sum(n * rx * rx) * F.sum(n * ry * ry))).alias("spearman")
-    )
-    return pearson.join(spearman, key)
-
-
-def target_correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Each feature against the target, with ``abs_spearman`` to rank by."""
-    table = correlations(df, [(f, target) for f in features])
-    return table.select(
-        F.col("feat_a").alias("feature"), "pearson", "spearman", F.abs("spearman").alias("abs_spearman")
-    )
-
-
-def top_correlated(df: DataFrame, features: Sequence[str], target: str, n: int = 25) -> DataFrame:
-    return target_correlations(df, features, target).orderBy(F.desc_nulls_last("abs_spearman"), "feature").limit(n)
-
-
-def feature_pairs(df: DataFrame, features: Sequence[str], top: int | None = 30) -> DataFrame:
-    """Absolute Spearman of every feature pair (upper triangle), strongest first."""
-    table = correlations(df, list(combinations(features, 2)))
-    table = table.select("feat_a", "feat_b", F.abs("spearman").alias("abs_spearman"))
-    if top is None:
-        return table
-    return table.orderBy(F.desc_nulls_last("abs_spearman"), "feat_a", "feat_b").limit(top)

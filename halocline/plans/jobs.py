@@ -20,6 +20,7 @@ from halocline.models import mix as M
 from halocline.models import ridge as G
 from halocline.operators import attribution as T
 from halocline.operators import cohorts as C
+from halocline.operators import correlation as K
 from halocline.operators import draws as D
 from halocline.operators import features as E
 from halocline.operators import metrics as X
@@ -144,8 +145,9 @@ def run_baseline(spark: SparkSession, paths: Paths, settings: Settings = Setting
     """Ridge fit, predictions and report."""
     train, test, features = _clean(spark, paths, settings)
     model = G.fit_ridge(
-        train, target=settings.target, weight=settings.weight, features=features, alpha=settings.ridge_alpha
-    )
+        train, target=settings.target, weight=settings.weight, features=features, alpha=settings.ridge_alpha,
+        stage=sinks.staged(paths.result("baseline_country_means")),
+    )
     scored = {"train": G.predict_ridge(model, train), "test": G.predict_ridge(model, test)}
     _score_every(spark, paths, "baseline", settings, lambda df: G.predict_ridge(model, df))
     return _score_tables(scored, paths, "baseline", settings) | {"coefficients": G.coefficient_table(model, train)}
@@ -274,8 +276,7 @@ def explore(spark: SparkSession, paths: Paths, settings: Settings = Settings())
     """Tables behind the exploration charts of the cleaned training rows."""
     train, _, features = _clean(spark, paths, settings)
     share, size = settings.target, settings.weight
-    ranked = O.target_correlations(train, features, share)
-    top = [r[0] for r in ranked.orderBy(F.desc_nulls_last("abs_spearman"), "feature").limit(20).collect()]
+    ranked = K.correlation_table(train, [*features, share], list(settings.keep_keys))
     return {
         "null_map": O.null_map(train),
         "describe": N.describe(train, [size], [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]),
@@ -286,7 +287,7 @@ def explore(spark: SparkSession, paths: Paths, settings: Settings = Settings())
         "platforms": O.group_profile(train, share, "platform"),
         "boxes": O.box_stats(train, share, "platform"),
         "countries": O.top_countries(train),
-        "correlations": ranked,
-        "pairs": O.feature_pairs(train, top),
+        "correlations": K.with_target(ranked, share),
+        "pairs": K.strongest_pairs(K.among_best(ranked, share, 20), 30),
         "daily": O.daily_profile(train, share, size),
     }

@@ -14,13 +14,14 @@ from halocline.models import mix as M
 from halocline.models import prep as R
 from halocline.models import ridge as G
 from halocline.operators import attribution as T
+from halocline.operators import correlation as C
 from halocline.operators import draws as D
 from halocline.operators import metrics as X
 from halocline.operators import profile as P
 from halocline.operators import quantiles as N
 from halocline.operators.panel import spend_totals
 from halocline.plans import star_sql as Q
-from halocline.plans.cohort_queries import CLEAN_FEATURES, clean_features, clean_sql, target_table
+from halocline.plans.cohort_queries import CLEAN_FEATURES, TARGET_KEYS, clean_features, clean_sql, target_table
 from halocline.plans.panel_queries import _split, weekly_panel
 from halocline.plans.registry import query
 from halocline.sources import star
@@ -153,10 +154,14 @@ def pe_summary(spark, d):
     return X.error_summary(scored_table(spark, d).persist(), "pe")
 
 
+FINE = 1 << 30
+
+
 def _calibration_sql(binned: str, other: str) -> str:
-    """Twenty quantile bins of ``binned``; values are rounded so that both engines see the same ties."""
+    """Twenty quantile bins of ``binned``; on a binary grid both engines see the same ties and their sums are exact."""
     return f"""WITH {_SCORED}, rounded AS (
-  SELECT total_installs, round({binned}, 9) AS b, round({other}, 9) AS o FROM scored), edges AS (
+  SELECT total_installs, floor({binned} * {FINE} + 0.5) / {FINE} AS b, floor({other} * {FINE} + 0.5) / {FINE} AS o
+  FROM scored), edges AS (
   SELECT DISTINCT unnest(quantile_cont(b, [{", ".join(str(i / 20) for i in range(21))}])) AS e FROM rounded),
 binned AS (SELECT *, greatest((SELECT count(*) FROM edges WHERE e < b), 1) AS bin FROM rounded),
 final AS (
@@ -166,7 +171,7 @@ final AS (
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(c, 9) for c in ("organic_share", "pred")}).persist()
+    return df.withColumns({c: F.floor(F.col(c) * FINE + 0.5) / FINE for c in ("organic_share", "pred")}).persist()
 
 
 CALIBRATION = "bin:int pred_mean:8 true_mean:8 total_w:2 n:int"
@@ -323,42 +328,81 @@ def daily_profile(spark, d):
     return P.daily_profile(target_table(spark, d))
 
 
-def _rank_sql(pairs) -> str:
-    """Pearson and Spearman of column pairs of ``clean`` over complete rows, average ranks on ties."""
-    rows = " UNION ALL ".join(
-        f"SELECT '{a}' AS feat_a, '{b}' AS feat_b, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y "
-        f"FROM clean WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
-        for a, b in pairs
-    )
-    return f"""pairs AS ({rows}), ranked AS (
+# Sums of floats differ in their last digits with the order of summation. Ranks must not see that, so both engines put the
+# values on a grid that no mean or sum of cents falls half-way between.
+GRID = 1 << 20
+CORRELATED = [*FEATURES, "organic_share"]
+
+
+def on_grid(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({c: F.floor(F.col(c).cast("double") * GRID + 0.5) / GRID for c in columns})
+
+
+def correlated_table(spark: SparkSession, d: str) -> DataFrame:
+    return on_grid(clean_features(spark, d), CORRELATED).persist()
+
+
+_GRID = ", ".join(f"floor(CAST({c} AS DOUBLE) * {GRID} + 0.5) / {GRID} AS {c}" for c in CORRELATED)
+# Pearson and Spearman of all pairs over complete rows, average ranks on ties.
+_PAIRS = f"""{clean_sql()},
+grid AS (SELECT concat(platform, '|', country_code, '|', install_date) AS rid, {_GRID} FROM clean),
+cells AS MATERIALIZED (SELECT rid, feature, v FROM grid UNPIVOT (v FOR feature IN ({", ".join(CORRELATED)}))),
+names AS (SELECT unnest({CORRELATED}) AS feature, unnest(range({len(CORRELATED)})) AS i),
+placed AS MATERIALIZED (SELECT rid, feature, i, v FROM cells JOIN names USING (feature)),
+met AS (
+  SELECT a.feature AS feat_a, b.feature AS feat_b, a.v AS x, b.v AS y FROM placed a JOIN placed b ON a.rid = b.rid AND a.i < b.i),
+ranked AS (
   SELECT *, rank() OVER (PARTITION BY feat_a, feat_b ORDER BY x)
            + (count(*) OVER (PARTITION BY feat_a, feat_b, x) - 1) / 2.0 AS rx,
          rank() OVER (PARTITION BY feat_a, feat_b ORDER BY y)
            + (count(*) OVER (PARTITION BY feat_a, feat_b, y) - 1) / 2.0 AS ry
-  FROM pairs)"""
-
-
-# Columns without near-equal floating sums, whose ranks do not depend on summation order.
-RANKED = ["installs_spend", "iap_purchase_count_learn", "ads_purchase_count_learn", "rev_d1_iap"]
+  FROM met),
+coefficients AS (
+  SELECT feat_a, feat_b, count(*) AS n,
+         CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS pearson,
+         CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(rx, ry) END AS spearman FROM ranked GROUP BY feat_a, feat_b),
+every_pair AS (
+  SELECT a.feature AS feat_a, b.feature AS feat_b, coalesce(n, 0) AS n, pearson, spearman, abs(spearman) AS abs_spearman
+  FROM names a JOIN names b ON a.i < b.i LEFT JOIN coefficients c ON c.feat_a = a.feature AND c.feat_b = b.feature)"""
 
 
 @query(
     "feature pearson:6 spearman:6 abs_spearman:6",
-    f"""WITH {clean_sql()}, {_rank_sql([(f, "organic_share") for f in RANKED])}, final AS (
-  SELECT feat_a AS feature, corr(x, y) AS pearson, corr(rx, ry) AS spearman, abs(corr(rx, ry)) AS abs_spearman
-  FROM ranked GROUP BY feat_a)""",
+    f"WITH {_PAIRS}, final AS (SELECT feat_a AS feature, * FROM every_pair WHERE feat_b = 'organic_share')",
 )
 def correlations(spark, d):
-    return P.target_correlations(clean_features(spark, d).persist(), RANKED, "organic_share")
+    """Every feature of the clean table against the target."""
+    return C.target_correlations(correlated_table(spark, d), FEATURES, "organic_share", TARGET_KEYS)
+
+
+@query(
+    "feat_a feat_b n:int pearson:6 spearman:6",
+    f"WITH {_PAIRS}, final AS (SELECT * FROM every_pair)",
+)
+def correlation_matrix(spark, d):
+    return C.correlation_table(correlated_table(spark, d), CORRELATED, TARGET_KEYS)
 
 
 @query(
     "feat_a feat_b abs_spearman:6",
-    f"""WITH {clean_sql()}, {_rank_sql([(a, b) for i, a in enumerate(RANKED) for b in RANKED[i + 1:]])}, final AS (
-  SELECT feat_a, feat_b, abs(corr(rx, ry)) AS abs_spearman FROM ranked GROUP BY feat_a, feat_b)""",
+    f"WITH {_PAIRS}, final AS (SELECT * FROM every_pair WHERE feat_b <> 'organic_share')",
 )
 def feature_pairs(spark, d):
-    return P.feature_pairs(clean_features(spark, d).persist(), RANKED, top=None)
+    return C.feature_pairs(correlated_table(spark, d), FEATURES, TARGET_KEYS, top=None)
+
+
+@query(
+    "feat_a feat_b abs_spearman:6",
+    f"""WITH {_PAIRS}, best AS (
+  SELECT feat_a AS feature FROM every_pair WHERE feat_b = 'organic_share'
+  ORDER BY round(abs_spearman, 9) DESC NULLS LAST, feat_a LIMIT 20),
+final AS (
+  SELECT * FROM every_pair WHERE feat_a IN (SELECT feature FROM best) AND feat_b IN (SELECT feature FROM best)
+  ORDER BY round(abs_spearman, 9) DESC NULLS LAST, feat_a, feat_b LIMIT 30)""",
+)
+def top_feature_pairs(spark, d):
+    """The 30 strongest pairs among the 20 features that correlate most with the target."""
+    return C.top_pairs(correlated_table(spark, d), FEATURES, "organic_share", TARGET_KEYS)
 
 
 def _prep_sql(columns, source: str = "train_rows") -> str:

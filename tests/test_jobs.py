@@ -116,6 +116,21 @@ def test_pipeline(spark, paths):
     assert [r["param"] for r in rows(table["scalars"])] == ["alpha"]
 
 
+def test_baseline_without_training_rows(spark, tmp_path):
+    """An empty training window gives a report without predictions."""
+    p = J.Paths(str(tmp_path))
+    row = [("ios", "US", dt.date(2025, 3, 2), 40, 10, 0.25, "test", 3.0)]
+    full = spark.createDataFrame(row, "platform string, country_code string, install_date date, total_installs bigint, "
+                                 "organic_installs bigint, organic_share double, split string, spend double")
+    sinks.write_table(full, p.table("targets"))
+    J.clean_targets(spark, p, SETTINGS)
+    out = J.run_baseline(spark, p, SETTINGS)
+    assert out["coefficients"].count() == 0 and out["train_metrics"].count() == 1
+    (r,) = spark.read.parquet(p.result("baseline_test")).collect()
+    assert r["pred"] is None and r["pe"] is None
+    assert rows(out["test_summary"])[0]["n"] == 0 and out["calibration"].count() == 0
+
+
 def test_sinks_and_scans(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.write_table(spark.range(3), path)

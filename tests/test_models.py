@@ -98,6 +98,25 @@ def test_ridge_equals_closed_form(table):
     assert rows(G.coefficient_table(model, table, 2))[0]["abs_coef"] == pytest.approx(max(abs(coef)))
 
 
+def test_ridge_on_no_row_and_on_one(table):
+    fit = {"target": "organic_share", "weight": "total_installs", "features": FEATURES}
+    model = G.fit_ridge(table.limit(0), **fit)
+    assert model.intercept is None and model.coefficients == () and G.coefficient_table(model, table).count() == 0
+    assert G.predict_ridge(model, table).filter("pred is not null").count() == 0
+    one = table.orderBy("total_installs", "a").limit(1).persist()
+    model = G.fit_ridge(one, **fit)
+    assert model.coefficients == (0.0,) * 5
+    (r,) = rows(G.predict_ridge(model, one))
+    assert r["pred"] == pytest.approx(min(max(r["organic_share"], 1e-3), 1 - 1e-3))
+
+
+def test_a_lookup_is_joined_either_way(table, monkeypatch):
+    fit = {"target": "organic_share", "weight": "total_installs", "features": FEATURES}
+    want = sorted(r["pred"] for r in rows(G.predict_ridge(G.fit_ridge(table, **fit), table)))
+    monkeypatch.setattr(R, "BROADCAST_NAMES", 0)
+    assert np.allclose(sorted(r["pred"] for r in rows(G.predict_ridge(G.fit_ridge(table, **fit), table))), want)
+
+
 def test_binomial_equals_newton(table):
     settings = BinomialSettings()
     model = B.fit_binomial(table, features=FEATURES, learn_spread=False, spreads=(0.7, 0.9))

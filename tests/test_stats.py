@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from halocline.operators import correlation as C
 from halocline.operators import draws as D
 from halocline.operators import metrics as X
 from halocline.operators import profile as P
@@ -119,16 +120,36 @@ def test_calibration_equals_qcut(sample, pred):
         assert r["total_w"] == b.w.sum() and r["true_mean"] == pytest.approx(np.average(b.y, weights=b.w))
 
 
-def test_correlations_skip_nulls_pairwise(sample):
-    df, pdf = sample
-    got = {(r["feat_a"], r["feat_b"]): r for r in rows(P.correlations(df, [("x", "y"), ("y", "p"), ("x", "w")]))}
+def test_correlations_skip_nulls_pairwise(sample, spark):
+    _, pdf = sample
+    wide = pdf.assign(
+        id=np.arange(len(pdf)), flat=3.7, z=pdf.y.where(RNG.random(len(pdf)) > 0.2), z2=pdf.w, gone=np.nan,
+        far=(pdf.w + 1e9).where(pdf.index % 50 == 0), once=pdf.y.where(pdf.index == 7),
+    )
+    wide.loc[wide.z.isna(), "z2"] = np.nan  # the same rows are missing as in z
+    names = ["x", "y", "z", "w", "p", "z2", "flat", "gone", "far", "once"]
+    df = spark.createDataFrame(wide.drop(columns="g"))
+    df = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in names})
+    got = {(r["feat_a"], r["feat_b"]): r for r in rows(C.correlation_table(df, names, ["id"]))}
+    assert list(got) == [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     for (a, b), r in got.items():
-        both = pdf[[a, b]].dropna()
-        assert r["pearson"] == pytest.approx(both[a].corr(both[b]))
-        ranks = both.rank()
-        assert r["spearman"] == pytest.approx(ranks[a].corr(ranks[b]))
-    top = rows(P.feature_pairs(df, ["x", "y", "p", "w"], top=1))
-    assert (top[0]["feat_a"], top[0]["feat_b"]) == ("y", "p")
+        both = wide[[a, b]].dropna()
+        assert r["n"] == len(both)
+        for name, pair in (("pearson", both), ("spearman", both.rank())):
+            varies = len(pair) > 1 and (pair.nunique() > 1).all()
+            assert r[name] == (pytest.approx(np.corrcoef(pair[a], pair[b])[0, 1], abs=1e-9) if varies else None)
+    (top,) = rows(C.feature_pairs(df, ["x", "y", "w", "p"], ["id"], top=1))
+    assert (top["feat_a"], top["feat_b"]) == ("y", "p")
+    best = C.top_pairs(df, ["x", "y", "w", "far"], "p", ["id"], n=2, top=None)
+    assert [(r["feat_a"], r["feat_b"]) for r in best.collect()] == [("y", "far")] or best.count() == 1
+    assert {r["n"] for r in C.correlation_table(df.limit(0), names, ["id"]).collect()} == {0}
+
+
+def test_ranks_are_shared_by_columns_that_miss_the_same_rows():
+    counts = np.array([[9, 7, 7], [7, 7, 7], [7, 7, 7]])
+    slots, of_pair = C.rank_slots(counts)
+    assert slots == [(0, -1), (1, -1), (2, -1), (0, 1)]
+    assert of_pair[0, 1] == of_pair[0, 2] == 3 and of_pair[1, 0] == 1 and of_pair[2, 1] == 2
 
 
 def test_null_map(sample):
