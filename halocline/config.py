@@ -77,6 +77,8 @@ class MixSettings:
     shape_grid: tuple[float, ...] = (0.5, 1.0, 2.0, 4.0)
     shrinkage: float = 0.5
     holdout_share: float = 0.2
+    learn_pooling: bool = True
+    refine_steps: int = 4
 
 
 @dataclass(frozen=True)
@@ -93,6 +95,8 @@ class BinomialSettings:
     tol: float = 3e-4
     spread_tol: float = 1e-3
     spread_rounds: int = 1000
+    quadrature_nodes: int = 15
+    quadrature_rounds: int = 10
 
 
 @dataclass(frozen=True)

@@ -138,3 +138,19 @@ def saturate(kind: str, x: Column, shape: Column | float, slope: float = 2.0, ce
     if kind == "hill":
         return F.pow(x, F.lit(slope)) / (F.pow(s, F.lit(slope)) + F.pow(x, F.lit(slope)))
     raise ValueError(f"no saturation curve is named '{kind}'")
+
+
+def saturation_slopes(kind: str, x: Column, shape: float, slope: float = 2.0, ceiling: float = 1.0) -> tuple[Column, Column]:
+    """Derivatives of ``saturate`` by its input and by its shape."""
+    s = float(shape)
+    if kind == "logistic":
+        rest = F.lit(1.0) - F.pow(saturate(kind, x, s), F.lit(2.0))
+        return rest * (s / 2.0), rest * x / 2.0
+    if kind == "michaelis_menten":
+        below = F.pow(x + s, F.lit(2.0))
+        return F.lit(ceiling * s) / below, -x * float(ceiling) / below
+    if kind == "hill":
+        below = F.pow(F.pow(x, F.lit(slope)) + s**slope, F.lit(2.0))
+        rise = F.when(x > 0, F.pow(x, F.lit(slope - 1.0))).otherwise(1.0 if slope == 1 else 0.0)
+        return rise * (slope * s**slope) / below, -F.pow(x, F.lit(slope)) * (slope * s ** (slope - 1.0)) / below
+    raise ValueError(f"no saturation curve is named '{kind}'")

@@ -5,14 +5,15 @@ grid point and geo the panel is reduced to normal equations (a geo has one row p
 time bucket, so the calendar bounds the group). Pooled coefficients come from the
 summed equations; each geo then solves its own small non-negative ridge pulled
 towards them, on the executors. The grid point with the smallest weighted error on
-the last part of the calendar wins. Spend and target are scaled per geo and scaled
+the last part of the calendar wins. From there Gauss-Newton steps leave the grid, and an
+empirical Bayes fit learns how strongly each coefficient is pooled. Spend and target are scaled per geo and scaled
 back explicitly, so predictions are in installs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -31,12 +32,15 @@ MAX_SWEEPS = 100_000
 
 @dataclass(frozen=True)
 class MixModel:
+    """``pull`` is what ties each coefficient of a geo to the pooled one, in units of its normal equations."""
+
     mix: MixSettings
     channels: tuple[str, ...]
     controls: tuple[str, ...]
     decay: float
     shape: float
     pooled: tuple[float, ...]
+    pull: tuple[float, ...]
     coefficients: DataFrame
     scales: DataFrame
     grid_scores: DataFrame
@@ -116,13 +120,18 @@ def _unpack(stats: np.ndarray, n: int):
     return parts, float(stats[3 * size])
 
 
-def solve(equations: np.ndarray, centre: np.ndarray, pull: float, free: int) -> np.ndarray:
+def pulls(pull: float | np.ndarray, n: int) -> np.ndarray:
+    return np.broadcast_to(np.asarray(pull, float), (n,))
+
+
+def solve(equations: np.ndarray, centre: np.ndarray, pull: float | np.ndarray, free: int) -> np.ndarray:
     """Ridge towards ``centre``; coefficients after the first ``free`` are kept non-negative.
 
     Coordinate descent on the normal equations, a convex problem of a few unknowns.
     """
     n = len(centre)
-    a = equations[:n, :n] + pull * np.eye(n)
+    pull = pulls(pull, n)
+    a = equations[:n, :n] + np.diag(pull)
     b = equations[:n, n] + pull * centre
     coef = centre.copy()
     for _ in range(MAX_SWEEPS):
@@ -135,7 +144,7 @@ def solve(equations: np.ndarray, centre: np.ndarray, pull: float, free: int) ->
     raise ArithmeticError(f"coefficients still moved after {MAX_SWEEPS} sweeps")
 
 
-def _solver(pooled: dict[int, np.ndarray], n: int, pull: float, free: int, final: bool):
+def _solver(pooled: dict[int, np.ndarray], n: int, pull: float | np.ndarray, free: int, final: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -145,7 +154,7 @@ def _solver(pooled: dict[int, np.ndarray], n: int, pull: float, free: int, final
                 gap = np.append(coef, -1.0)
                 root, centre = np.zeros(0), np.zeros(0)
                 if final:
-                    ridge = every[:n, :n] + pull * np.eye(n)
+                    ridge = every[:n, :n] + np.diag(pulls(pull, n))
                     centre = np.linalg.solve(ridge, every[:n, n] + pull * pooled[int(grid)])
                     noise = float(gap @ every @ gap) / max(int(count) - 1, 1)
                     curve = np.linalg.inv(ridge)
@@ -156,11 +165,67 @@ def _solver(pooled: dict[int, np.ndarray], n: int, pull: float, free: int, final
     return run
 
 
-def fit_mix(train: DataFrame, mix: MixSettings = MixSettings()) -> MixModel:
-    """Fit on a training panel with ``geo, install_date``, spend columns, target and total installs."""
+@dataclass(frozen=True)
+class _Rows:
+    """Observed panel rows with lags and scales, and what a design of them is made of."""
+
+    table: DataFrame
+    mix: MixSettings
+    channels: tuple[str, ...]
+    controls: tuple[str, ...]
+
+    @property
+    def unknowns(self) -> int:
+        return 1 + len(self.controls) + len(self.channels)
+
+    @property
+    def free(self) -> int:
+        return 1 + len(self.controls)
+
+    def design(self, keys: Sequence[str], decay: Column | float, shape: Column | float) -> DataFrame:
+        x = [F.lit(1.0), *[F.col(c).cast("double") for c in self.controls]]
+        x += [media(c, self.mix, decay, shape) for c in self.channels]
+        return self.table.select(
+            *keys,
+            F.array(*x).alias("x"),
+            (F.col(self.mix.target) / F.col("target_max")).alias("y"),
+            (F.col("total_installs") * F.pow(F.col("target_max"), 2)).alias("w"),
+            F.col("_held").alias("held"),
+        )
+
+
+def _grid_points(grid: Sequence[tuple[float, float]]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("grid"), F.lit(d).alias("decay"), F.lit(s).alias("shape")) for i, (d, s) in enumerate(grid)])
+
+
+def _statistics(design: DataFrame) -> DataFrame:
+    return design.groupBy("grid", "geo").applyInPandas(_equations, "grid int, geo string, n bigint, stats array<double>")
+
+
+def _pooled(stats: DataFrame, grids: int, n: int, free: int) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """Coefficients of the summed equations per grid point, of the fit part and of all rows."""
+    sums = stats.select("grid", F.posexplode("stats").alias("j", "v")).groupBy("grid", "j").agg(F.sum("v").alias("v")).collect()
+    totals = {i: np.zeros(3 * (n + 1) ** 2 + 1) for i in range(grids)}
+    for g, j, v in sums:
+        totals[g][j] = v
+    pooled_fit, pooled_all = {}, {}
+    for g, flat in totals.items():
+        (fit, every, _), _ = _unpack(flat, n)
+        pooled_fit[g] = solve(fit, np.zeros(n), POOLED_RIDGE, free)
+        pooled_all[g] = solve(every, np.zeros(n), POOLED_RIDGE, free)
+    return pooled_fit, pooled_all
+
+
+SOLVED = "grid int, geo string, coef array<double>, centre array<double>, root array<double>, sse double, weight double"
+
+
+def fit_mix(train: DataFrame, mix: MixSettings = MixSettings(), stage: Callable[[DataFrame], DataFrame] | None = None) -> MixModel:
+    """Fit on a training panel with ``geo, install_date``, spend columns, target and total installs.
+
+    ``stage`` stores the coefficients (see ``sources.sinks.staged``), so that the fit is not made again when an executor is lost.
+    """
     panel = model_panel(train, mix)
     channels, controls = channel_list(panel), control_list(panel)
-    n, free = 1 + len(controls) + len(channels), 1 + len(controls)
     spark = train.sparkSession
     scales = scale_table(panel, channels, mix.target)
     grid = [(d, s) for d in mix.decay_grid for s in mix.shape_grid]
@@ -169,51 +234,35 @@ def fit_mix(train: DataFrame, mix: MixSettings = MixSettings()) -> MixModel:
     lagged = lagged_panel(panel, scales, channels, mix).filter("observed").withColumn("_span", span)
     days = F.datediff(F.col("_span.hi"), F.col("_span.lo"))
     cut = F.date_add(F.col("_span.lo"), F.floor(days * (1.0 - mix.holdout_share)).cast("int"))
-    points = F.array(
-        *[
-            F.struct(F.lit(i).alias("grid"), F.lit(d).alias("decay"), F.lit(s).alias("shape"))
-            for i, (d, s) in enumerate(grid)
-        ]
-    )
-    unfolded = lagged.withColumn("_held", F.col("install_date") > cut).select("*", F.inline(points))
-    x = [F.lit(1.0), *[F.col(c).cast("double") for c in controls]]
-    x += [media(c, mix, F.col("decay"), F.col("shape")) for c in channels]
-    design = unfolded.select(
-        "grid",
-        "geo",
-        F.array(*x).alias("x"),
-        (F.col(mix.target) / F.col("target_max")).alias("y"),
-        (F.col("total_installs") * F.pow(F.col("target_max"), 2)).alias("w"),
-        F.col("_held").alias("held"),
-    )
-    stats = (
-        design.groupBy("grid", "geo")
-        .applyInPandas(_equations, "grid int, geo string, n bigint, stats array<double>")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    sums = (
-        stats.select("grid", F.posexplode("stats").alias("j", "v")).groupBy("grid", "j").agg(F.sum("v").alias("v")).collect()
-    )
-    totals = {i: np.zeros(3 * (n + 1) ** 2 + 1) for i in range(len(grid))}
-    for g, j, v in sums:
-        totals[g][j] = v
-    pooled_fit, pooled_all = {}, {}
-    for g, flat in totals.items():
-        (fit, every, _), _ = _unpack(flat, n)
-        pooled_fit[g] = solve(fit, np.zeros(n), POOLED_RIDGE, free)
-        pooled_all[g] = solve(every, np.zeros(n), POOLED_RIDGE, free)
-
-    schema = "grid int, geo string, coef array<double>, centre array<double>, root array<double>, sse double, weight double"
-    scored = stats.mapInPandas(_solver(pooled_fit, n, mix.shrinkage, free, final=False), schema)
-    rows = scored.groupBy("grid").agg(F.sqrt(F.try_divide(F.sum("sse"), F.sum("weight"))).alias("rmse")).collect()
-    score = {r["grid"]: r["rmse"] for r in rows if r["rmse"] is not None}
+    lagged = lagged.withColumn("_held", F.col("install_date") > cut)
+    if mix.refine_steps:
+        lagged = lagged.persist(StorageLevel.MEMORY_AND_DISK)  # every step reads it
+    rows = _Rows(lagged, mix, tuple(channels), tuple(controls))
+    n, free = rows.unknowns, rows.free
+    unfolded = replace(rows, table=lagged.select("*", F.inline(_grid_points(grid))))
+    stats = _statistics(unfolded.design(["grid", "geo"], F.col("decay"), F.col("shape"))).persist(StorageLevel.MEMORY_AND_DISK)
+    pooled_fit, pooled_all = _pooled(stats, len(grid), n, free)
+
+    scored = stats.mapInPandas(_solver(pooled_fit, n, mix.shrinkage, free, final=False), SOLVED)
+    found = scored.groupBy("grid").agg(F.sqrt(F.try_divide(F.sum("sse"), F.sum("weight"))).alias("rmse")).collect()
+    score = {r["grid"]: r["rmse"] for r in found if r["rmse"] is not None}
     if not score:
         raise ValueError("no hold-out row carries weight; enlarge 'holdout_share' or the calendar")
     best = min(range(len(grid)), key=lambda g: (score.get(g, float("inf")), g))
-    decay, shape = grid[best]
-    coefficients = stats.filter(F.col("grid") == best).mapInPandas(
-        _solver(pooled_all, n, mix.shrinkage, free, final=True), schema
-    )
+    (decay, shape), winner, centre = grid[best], stats.filter(F.col("grid") == best), pooled_all[best]
+    if mix.refine_steps:
+        decay, shape = refine(rows, decay, shape)
+        if (decay, shape) != grid[best]:
+            winner = _statistics(rows.design([F.lit(0).alias("grid"), "geo"], decay, shape)).persist(StorageLevel.MEMORY_AND_DISK)
+            best, centre = 0, _pooled(winner, 1, n, free)[1][0]
+    pull = np.full(n, mix.shrinkage)
+    if mix.learn_pooling:
+        centre, pull = learn_pooling(winner, centre, pull)[:2]
+    coefficients = winner.mapInPandas(_solver({best: centre}, n, pull, free, final=True), SOLVED).select("geo", "coef", "centre", "root")
+    if stage:
+        coefficients = stage(coefficients)
+        for table in (stats, winner, lagged):
+            table.unpersist()
     scores = [(i, d, s, float(score.get(i, float("nan")))) for i, (d, s) in enumerate(grid)]
     return MixModel(
         mix=mix,
@@ -221,13 +270,247 @@ def fit_mix(train: DataFrame, mix: MixSettings = MixSettings()) -> MixModel:
         controls=tuple(controls),
         decay=decay,
         shape=shape,
-        pooled=tuple(pooled_all[best]),
-        coefficients=coefficients.select("geo", "coef", "centre", "root"),
+        pooled=tuple(centre.tolist()),
+        pull=tuple(pull.tolist()),
+        coefficients=coefficients,
         scales=scales,
         grid_scores=spark.createDataFrame(scores, "grid int, decay double, shape double, holdout_rmse_w double"),
     )
 
 
+def learn_pooling(
+    stats: DataFrame, centre: np.ndarray, pull: np.ndarray, rounds: int = 60, tol: float = 1e-2
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Empirical Bayes for geos' coefficients ``N(centre, spread^2)``: (centre, pull, spread, noise variance).
+
+    Expectation-maximisation on the geos' normal equations; a round is one pass over them, and what comes back are sums of the size of the
+    unknowns. ``pull`` is noise over squared spread, coefficient by coefficient, where a constant strength would tie all alike.
+    """
+    n = len(centre)
+    noise = 0.01
+    variance = noise / np.maximum(pull, 1e-6)
+
+    def expect(centre: np.ndarray, variance: np.ndarray, noise: float):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(3 * n + 3)
+            for pdf in batches:
+                for count, flat in zip(pdf["n"], pdf["stats"]):
+                    (_, every, _), _ = _unpack(flat, n)
+                    gram, right = every[:n, :n], every[:n, n]
+                    bend = np.linalg.inv(gram / noise + np.diag(1.0 / variance))
+                    mean = bend @ (right / noise + centre / variance)
+                    gap = np.append(mean, -1.0)
+                    total[:n] += mean
+                    total[n : 2 * n] += mean**2
+                    total[2 * n : 3 * n] += np.diag(bend)
+                    total[3 * n :] += [float(gap @ every @ gap) + float(np.sum(gram * bend)), int(count), 1]
+            yield pd.DataFrame({"j": np.arange(len(total)), "v": total})
+
+        return run
+
+    for _ in range(rounds):
+        sums = stats.mapInPandas(expect(centre, variance, noise), "j int, v double").groupBy("j").agg(F.sum("v")).collect()
+        total = np.zeros(3 * n + 3)
+        for j, v in sums:
+            total[j] = v
+        geos, mean = max(total[-1], 1.0), total[:n] / max(total[-1], 1.0)
+        after = np.maximum(total[n : 2 * n] / geos - mean**2 + total[2 * n : 3 * n] / geos, 1e-8)
+        moved = max(np.abs(np.log(after / variance)).max(), abs(np.log(max(total[-3] / max(total[-2], 1.0), 1e-10) / noise)))
+        centre, variance, noise = mean, after, max(total[-3] / max(total[-2], 1.0), 1e-10)
+        if moved < tol:
+            break
+    return centre, noise / variance, np.sqrt(variance), noise
+
+
+def media_slopes(channel: str, mix: MixSettings, decay: float, shape: float) -> tuple[Column, Column]:
+    """Derivatives of ``media`` by decay and by shape."""
+    lag, top = F.col(f"{channel}__lag"), F.col(f"{channel}__max")
+    weights = geometric_weights(decay, mix.adstock_l_max, normalize=True)
+    total = sum(decay**k for k in range(mix.adstock_l_max))
+    growth = sum(k * decay ** (k - 1) for k in range(1, mix.adstock_l_max))
+    slopes = [((k * decay ** (k - 1) if k else 0.0) - w * growth) / total for k, w in enumerate(weights)]
+
+    def mixed(by: Sequence[float]) -> Column:
+        out = F.lit(0.0)
+        for k, w in enumerate(by):
+            out = out + F.get(lag, F.lit(k)) * w
+        return out / top
+
+    by_input, by_shape = S.saturation_slopes(mix.saturation, mixed(weights), shape)
+    return by_input * mixed(slopes), by_shape
+
+
+def _joint_equations(n: int):
+    """Products of inputs, their derivatives and target over the fit part of a geo, and weighted ones of the hold-out."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.vstack(pdf["x"].to_numpy())
+        y, w, held = pdf["y"].to_numpy(), pdf["w"].to_numpy(), pdf["held"].to_numpy(dtype=bool)
+        all_columns = np.column_stack([x, y])
+        fit = all_columns[~held].T @ all_columns[~held]
+        xy = np.column_stack([x[:, :n], y])
+        out = (xy[held] * w[held, None]).T @ xy[held]
+        stats = np.concatenate([fit.ravel(), out.ravel(), [w[held].sum()]])
+        return pd.DataFrame({"geo": [key[0]], "stats": [stats]})
+
+    return run
+
+
+def _joint_sums(rows: _Rows, decay: float, shape: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """At one setting: penalised error of the fit, weighted error of the hold-out, and the Gauss-Newton system for
+    (logit decay, log shape) with every geo's coefficients eliminated."""
+    n, free, channels, mix = rows.unknowns, rows.free, rows.channels, rows.mix
+    size, c = n + 2 * len(channels) + 1, len(channels)
+    slopes = [media_slopes(channel, mix, decay, shape) for channel in channels]
+    extra = F.array(*[a for a, _ in slopes], *[b for _, b in slopes])
+    design = replace(rows, table=rows.table.withColumn("_slopes", extra)).design(["geo", "_slopes"], decay, shape)
+    design = design.withColumn("x", F.concat("x", "_slopes")).drop("_slopes")
+    stats = design.groupBy("geo").applyInPandas(_joint_equations(n), "geo string, stats array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def blocks(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        fit = np.asarray(flat[: size * size]).reshape(size, size)
+        return fit, np.asarray(flat[size * size : -1]).reshape(n + 1, n + 1), float(flat[-1])
+
+    at = np.append(np.arange(n), size - 1)
+    try:
+        sums = stats.select(F.posexplode("stats").alias("j", "v")).groupBy("j").agg(F.sum("v").alias("v")).collect()
+        total = np.zeros(size * size + (n + 1) ** 2 + 1)
+        for j, v in sums:
+            total[j] = v
+        pooled = solve(blocks(total)[0][np.ix_(at, at)], np.zeros(n), POOLED_RIDGE, free)
+        chain = (decay * (1.0 - decay), shape)
+
+        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros(9)  # error, hold-out error, its weight, the system's four entries and its right side
+            for pdf in batches:
+                for flat in pdf["stats"]:
+                    fit, held, weight = blocks(flat)
+                    own = fit[np.ix_(at, at)]
+                    coef = solve(own, pooled, mix.shrinkage, free)
+                    gap = np.append(coef, -1.0)
+                    effect = coef[free:]
+                    lift = np.zeros((size, 2))  # from the columns to the two derivatives of the prediction
+                    lift[n : n + c, 0], lift[n + c : n + 2 * c, 1] = effect * chain[0], effect * chain[1]
+                    miss = np.zeros(size)
+                    miss[:n], miss[-1] = -coef, 1.0
+                    active = np.concatenate([np.arange(free), free + np.flatnonzero(effect > 0)])
+                    ridge = own[np.ix_(active, active)] + mix.shrinkage * np.eye(len(active))
+                    side = fit[active] @ lift
+                    lean = np.linalg.solve(ridge, side)
+                    away = fit[active] @ miss - mix.shrinkage * (coef - pooled)[active]
+                    out[0] += float(gap @ own @ gap) + mix.shrinkage * float(np.sum((coef - pooled) ** 2))
+                    out[1] += float(gap @ held @ gap)
+                    out[2] += weight
+                    out[3:7] += (lift.T @ fit @ lift - side.T @ lean).ravel()
+                    out[7:] += lift.T @ (fit @ miss) - lean.T @ away
+            yield pd.DataFrame({"j": np.arange(9), "v": out})
+
+        sums = stats.mapInPandas(step, "j int, v double").groupBy("j").agg(F.sum("v")).collect()
+    finally:
+        stats.unpersist()
+    out = np.zeros(9)
+    for j, v in sums:
+        out[j] = v
+    held = float(np.sqrt(out[1] / out[2])) if out[2] > 0 else float("inf")
+    return float(out[0]), held, out[3:7].reshape(2, 2), out[7:]
+
+
+def refine(rows: _Rows, decay: float, shape: float) -> tuple[float, float]:
+    """Gauss-Newton steps on decay and shape from a grid point; of all settings seen, the one with the least hold-out error.
+
+    Steps are taken on logit and logarithm, so that no setting leaves its range, and halved until the fit improves.
+    """
+    decay = min(max(decay, 0.01), 0.99)
+    error, held, system, right = _joint_sums(rows, decay, shape)
+    seen = [(held, 0, decay, shape)]
+    for _ in range(rows.mix.refine_steps):
+        step = np.linalg.solve(system + 1e-9 * np.trace(system) * np.eye(2) + 1e-12 * np.eye(2), right)
+        step = np.clip(step, -1.5, 1.5)
+        for _ in range(5):
+            odds = decay / (1.0 - decay) * np.exp(step[0])
+            trial = (min(max(odds / (1.0 + odds), 1e-3), 0.999), float(np.clip(shape * np.exp(step[1]), 1e-3, 1e3)))
+            after = _joint_sums(rows, *trial)
+            if after[0] <= error:
+                break
+            step = step / 2
+        else:
+            break
+        (error, held, system, right), (decay, shape) = after, trial
+        seen.append((held, len(seen), decay, shape))
+        if np.abs(step).max() < 1e-3:
+            break
+    return min(seen)[2:]
+
+
+def sweep(panel: DataFrame, mix: MixSettings = MixSettings(), folds: int = 3) -> DataFrame:
+    """All metrics per grid point and fold: ``grid, decay, shape, fold, n, rmse_w, ...``.
+
+    The last ``holdout_share`` of the calendar is cut into ``folds`` windows; fold ``f`` is fitted on all rows before window ``f`` and tested on
+    it (rolling origin). Grid points and folds are rows of one plan. Scales are those of the rows before the first window; geos that have none are left out.
+    """
+    from halocline.operators.metrics import regression_report, with_errors
+
+    ready = model_panel(panel, mix)
+    channels, controls = channel_list(ready), control_list(ready)
+    n, free = 1 + len(controls) + len(channels), 1 + len(controls)
+    grid = [(d, s) for d in mix.decay_grid for s in mix.shape_grid]
+    span = ready.agg(F.struct(F.min("install_date").alias("lo"), F.max("install_date").alias("hi"))).scalar()
+    days = F.datediff(F.col("_span.hi"), F.col("_span.lo"))
+
+    def cut(fold: int) -> Column:
+        share = 1.0 - mix.holdout_share * (folds - fold) / folds
+        return F.date_add(F.col("_span.lo"), F.floor(days * share).cast("int"))
+
+    day = F.col("install_date")
+    early = ready.withColumn("_span", span).filter(day <= cut(0)).drop("_span")
+    scales = scale_table(early, channels, mix.target)
+    lagged = lagged_panel(ready, scales, channels, mix).filter("observed").withColumn("_span", span)
+    windows = [F.struct(F.lit(f).alias("fold"), (day > cut(f)).alias("held"), (day <= cut(f + 1)).alias("inside")) for f in range(folds)]
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in controls], *[media(c, mix, F.col("decay"), F.col("shape")) for c in channels]]
+    design = (
+        lagged.select("*", F.inline(_grid_points(grid)))
+        .withColumns({"x": F.array(*x), "y": F.col(mix.target) / F.col("target_max")})
+        .select("grid", "geo", "x", "y", mix.target, "total_installs", "target_max", F.inline(F.array(*windows)))
+        .filter("inside")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+
+    def equations(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        xy = np.column_stack([np.vstack(pdf["x"].to_numpy()), pdf["y"].to_numpy()])
+        return pd.DataFrame({"point": [key[0]], "geo": [key[1]], "gram": [(xy.T @ xy).ravel()]})
+
+    point = (F.col("grid") * folds + F.col("fold")).alias("point")
+    try:
+        grams = (
+            design.filter("not held").select(point, "geo", "x", "y").groupBy("point", "geo")
+            .applyInPandas(equations, "point int, geo string, gram array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+        )
+        sums = grams.select("point", F.posexplode("gram").alias("j", "v")).groupBy("point", "j").agg(F.sum("v").alias("v")).collect()
+        totals: dict[int, np.ndarray] = {}
+        for p, j, v in sums:
+            totals.setdefault(p, np.zeros((n + 1) ** 2))[j] = v
+        pooled = {p: solve(flat.reshape(n + 1, n + 1), np.zeros(n), POOLED_RIDGE, free) for p, flat in totals.items()}
+
+        def by_geo(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                coefs = [
+                    solve(np.asarray(g).reshape(n + 1, n + 1), pooled[int(p)], mix.shrinkage, free).tolist()
+                    for p, g in zip(pdf["point"], pdf["gram"])
+                ]
+                yield pd.DataFrame({"point": pdf["point"], "geo": pdf["geo"], "coef": coefs})
+
+        fitted = grams.mapInPandas(by_geo, "point int, geo string, coef array<double>")
+        tested = design.filter("held").withColumn("point", point).join(fitted, ["point", "geo"])
+        share = F.aggregate(F.zip_with("coef", "x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        scored = with_errors(tested.withColumn("pred", share * F.col("target_max")), mix.target, "pred")
+        report = regression_report(scored, mix.target, "pred", "total_installs", ["grid", "fold"])
+        names = panel.sparkSession.createDataFrame([(i, d, s) for i, (d, s) in enumerate(grid)], "grid int, decay double, shape double")
+        metrics = names.join(report, "grid").collect()  # a row per grid point and fold
+        return panel.sparkSession.createDataFrame(metrics, names.join(report, "grid").schema)
+    finally:
+        design.unpersist()
+
+
 def coefficient_rows(model: MixModel) -> DataFrame:
     """Long coefficients ``(geo, part, value)`` on the scaled axes."""
     parts = F.array(*[F.lit(p) for p in model.parts])

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from halocline.config import BinomialSettings, MixSettings
 from halocline.functions import scalar as S
@@ -20,9 +21,11 @@ from halocline.operators import metrics as X
 from halocline.operators import profile as P
 from halocline.operators import quantiles as N
 from halocline.operators.panel import spend_totals
+from halocline.plans import fit_sql
 from halocline.plans import star_sql as Q
 from halocline.plans.cohort_queries import CLEAN_FEATURES, TARGET_KEYS, clean_features, clean_sql, target_table
-from halocline.plans.panel_queries import _split, weekly_panel
+from halocline.plans.draws_sql import diagnostics_sql
+from halocline.plans.panel_queries import CHANNELS, _split, completed_sql, weekly_panel
 from halocline.plans.registry import query
 from halocline.sources import star
 
@@ -530,17 +533,30 @@ def ridge_metrics(spark, d):
     return X.regression_report(G.predict_ridge(model, table), "organic_share", "pred", "total_installs", ["split"])
 
 
+# Given spreads and a fine tolerance, so that SQL can follow the fit.
+GIVEN_SPREADS = (0.5, 0.5)
+EXACT = replace(BinomialSettings(), tol=1e-10)
+
+
 def _binomial(spark: SparkSession, d: str) -> tuple[DataFrame, B.BinomialModel]:
     table, train = _fitted(spark, d)
-    return table, B.fit_binomial(train, features=FEATURES)
+    return table, B.fit_binomial(train, features=FEATURES, settings=EXACT, learn_spread=False, spreads=GIVEN_SPREADS)
+
+
+_BINOMIAL = f"RECURSIVE {_TRAIN}, {_prep_sql(FEATURES)}, {fit_sql.binomial_fit(FEATURES, GIVEN_SPREADS, EXACT)}"
 
 
-@query("param value:4 sd:4")
+@query("param value:6 sd:6", f"WITH {_BINOMIAL}, final AS (SELECT * FROM params)")
 def binomial_effects(spark, d):
     return B.effects_table(_binomial(spark, d)[1], spark)
 
 
-@query("platform country_code install_date split organic_share:6 total_installs:int pred:6 abs_err:6")
+@query(
+    "platform country_code install_date split organic_share:6 total_installs:int pred:6 abs_err:6",
+    f"""WITH {_BINOMIAL}, scored AS (
+  SELECT design.*, 1 / (1 + exp(-list_dot_product(x, theta))) AS pred FROM design, mode),
+final AS (SELECT *, abs(organic_share - pred) AS abs_err FROM scored)""",
+)
 def binomial_predictions(spark, d):
     table, model = _binomial(spark, d)
     return X.with_errors(B.predict_binomial(model, table), "organic_share", "pred")
@@ -552,19 +568,48 @@ def binomial_summary(spark, d):
     return D.top_coefficients(B.posterior_draws(model, spark, replace(BinomialSettings(), draws=200)))
 
 
-def _binomial_draws(spark: SparkSession, d: str) -> DataFrame:
-    return B.posterior_draws(_binomial(spark, d)[1], spark, replace(BinomialSettings(), draws=200))
+# Two even chains per flag from the quantities of order lines, summed over four steps so that neighbours are related.
+CHAIN_DRAWS = 60
+_CHAINS = f"""cells AS (
+  SELECT l_returnflag AS param, CAST(l_orderkey % 2 AS INTEGER) AS chain, CAST((l_orderkey // 2) % {CHAIN_DRAWS} AS INTEGER) AS draw,
+         CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3),
+slots AS (SELECT param, chain, draw FROM (SELECT DISTINCT l_returnflag AS param FROM lineitem),
+          (SELECT unnest(range(2)) AS chain), (SELECT unnest(range({CHAIN_DRAWS})) AS draw)),
+chains AS (
+  SELECT param, chain, draw, sum(coalesce(v, 0)) OVER (PARTITION BY param, chain ORDER BY draw ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS value
+  FROM slots LEFT JOIN cells USING (param, chain, draw))"""
 
 
-@query("param mean:4 sd:4 hdi_lo:4 hdi_hi:4 r_hat:4 ess_bulk:2 ess_tail:2 mcse_mean:6 mcse_sd:6")
+def data_chains(spark: SparkSession, d: str) -> DataFrame:
+    lines = star.table(spark, d, "lineitem")
+    param, chain = F.col("l_returnflag").alias("param"), (F.col("l_orderkey") % 2).cast("int").alias("chain")
+    draw = (F.expr("l_orderkey div 2") % CHAIN_DRAWS).cast("int").alias("draw")
+    cells = lines.groupBy(param, chain, draw).agg(F.sum("l_quantity").cast("double").alias("v"))
+    pairs = lines.select(param).distinct().select("param", F.explode(F.expr("sequence(0, 1)")).alias("chain"))
+    slots = pairs.select("*", F.explode(F.expr(f"sequence(0, {CHAIN_DRAWS - 1})")).alias("draw"))
+    line = Window.partitionBy("param", "chain").orderBy("draw").rowsBetween(-3, 0)
+    full = slots.join(cells, ["param", "chain", "draw"], "left")
+    return full.withColumn("value", F.sum(F.coalesce("v", F.lit(0.0))).over(line)).drop("v")
+
+
+DIAGNOSED = "param mean:6 sd:6 hdi_lo:6 hdi_hi:6 r_hat:6 ess_bulk:4 ess_tail:4 mcse_mean:6 mcse_sd:6"
+
+
+@query(DIAGNOSED, f"WITH {_CHAINS}, {diagnostics_sql()}, final AS (SELECT * FROM diagnosed)")
 def sampler_diagnostics(spark, d):
-    """Rank-normalised diagnostics of the draws of the binomial model."""
-    return D.diagnostics(_binomial_draws(spark, d))
+    """Rank-normalised diagnostics of even chains."""
+    return D.diagnostics(data_chains(spark, d))
 
 
-@query("n_params:int n_bad_rhat:int share_bad_rhat:4 n_bad_ess:int share_bad_ess:4 max_rhat:4 min_ess_bulk:2 n_undefined:int")
+@query(
+    "n_params:int n_bad_rhat:int share_bad_rhat:4 n_bad_ess:int share_bad_ess:4 max_rhat:6 min_ess_bulk:4 n_undefined:int",
+    f"""WITH {_CHAINS}, {diagnostics_sql()}, final AS (
+  SELECT count(*) AS n_params, count(*) FILTER (WHERE r_hat > 1.01) AS n_bad_rhat, avg(CASE WHEN r_hat > 1.01 THEN 1.0 ELSE 0.0 END) AS share_bad_rhat,
+         count(*) FILTER (WHERE ess_bulk < 200) AS n_bad_ess, avg(CASE WHEN ess_bulk < 200 THEN 1.0 ELSE 0.0 END) AS share_bad_ess,
+         max(r_hat) AS max_rhat, min(ess_bulk) AS min_ess_bulk, 0 AS n_undefined FROM diagnosed)""",
+)
 def convergence_overview(spark, d):
-    return D.convergence_overview(D.diagnostics(_binomial_draws(spark, d)))
+    return D.convergence_overview(D.diagnostics(data_chains(spark, d)))
 
 
 @query("param mean:4 sd:4 hdi_lo:4 hdi_hi:4 r_hat:4 ess_bulk:2 ess_tail:2 mcse_mean:6 mcse_sd:6")
@@ -574,29 +619,48 @@ def mmm_diagnostics(spark, d):
     return D.diagnostics(draws.withColumn("param", F.concat_ws("|", "geo", "channel")))
 
 
+# Constant pooling and settings on the grid, so that SQL can follow the fit.
+PLAIN_MIX = MixSettings(learn_pooling=False, refine_steps=0)
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, M.MixModel]:
     panel = weekly_panel(spark, d).persist()
     train, test = _split(panel, False), _split(panel, True)
-    return train, test, M.fit_mix(train, MixSettings())
+    return train, test, M.fit_mix(train, PLAIN_MIX)
+
 
+SPENDS = [f"spend_{c}" for c in [*CHANNELS, "other_paid"]]
+_MIX = f"{completed_sql()}, {fit_sql.mix_fit(SPENDS, PLAIN_MIX, M.POOLED_RIDGE, star.TEST_START)}"
 
-@query("grid:int decay:2 shape:2 holdout_rmse_w:6")
+
+@query("grid:int decay:2 shape:2 holdout_rmse_w:6", f"WITH {_MIX}, final AS (SELECT * FROM scores)")
 def mmm_grid_scores(spark, d):
     return _mix(spark, d)[2].grid_scores
 
 
-@query("geo part value:6")
+@query(
+    "geo part value:6",
+    f"""WITH {_MIX}, final AS (
+  SELECT geo, unnest({["intercept", *SPENDS]}) AS part, unnest(coef) AS value FROM fitted)""",
+)
 def mmm_coefficients(spark, d):
     return M.coefficient_rows(_mix(spark, d)[2])
 
 
-@query("geo install_date part contribution:6")
+@query("geo install_date part contribution:6", f"WITH {_MIX}, final AS (SELECT * FROM parts WHERE is_train)")
 def mmm_contributions(spark, d):
     train, _, model = _mix(spark, d)
     return M.contributions(model, train)
 
 
-@query("channel halo_total:4 spend_total:2 share_of_total_organic:6 halo_per_1k_spend:6")
+@query(
+    "channel halo_total:4 spend_total:2 share_of_total_organic:6 halo_per_1k_spend:6",
+    f"""WITH {_MIX}, spent AS ({" UNION ALL ".join(f"SELECT '{c}' AS channel, sum({c}) AS spend_total FROM train_panel" for c in SPENDS)}),
+halo AS (SELECT part AS channel, sum(contribution * scale) AS halo_total FROM parts JOIN train_scale USING (geo) WHERE is_train GROUP BY part),
+final AS (
+  SELECT channel, halo_total, spend_total, halo_total / (SELECT sum(organic_installs) FROM train_panel) AS share_of_total_organic,
+         halo_total / nullif(spend_total / 1000.0, 0) AS halo_per_1k_spend FROM halo JOIN spent USING (channel))""",
+)
 def mmm_attribution(spark, d):
     train, _, model = _mix(spark, d)
     parts = M.contributions(model, train)
@@ -604,7 +668,15 @@ def mmm_attribution(spark, d):
     return T.channel_summary(T.attribute(M.channel_contributions(model, parts), scale, train), train)
 
 
-@query(METRICS)
+@query(
+    METRICS,
+    f"""WITH {_MIX}, test_predicted AS (
+  SELECT geo, install_date, sum(contribution) AS pred_scaled FROM parts WHERE NOT is_train GROUP BY geo, install_date),
+predicted AS (
+  SELECT p.geo, p.organic_installs, p.organic_installs AS organic_share, p.total_installs, abs(p.organic_installs - q.pred_scaled * coalesce(s.scale, 1.0)) AS abs_err
+  FROM test_panel p JOIN test_predicted q ON p.geo = q.geo AND p.install_date = q.install_date LEFT JOIN train_scale s ON p.geo = s.geo),
+{_metric_sql('', 'predicted')}""",
+)
 def mmm_evaluation(spark, d):
     train, test, model = _mix(spark, d)
     scale = T.geo_scale(train, M.predict_mix(model, train))

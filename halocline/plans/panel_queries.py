@@ -259,7 +259,7 @@ def distinct_geos(spark, d):
 DECAY, L_MAX, SHAPE = 0.5, 4, 2.0
 
 
-def _completed_sql() -> str:
+def completed_sql() -> str:
     """``filled`` relation: every geo with every bucket, zero spend where it had none."""
     cols = ", ".join(f"coalesce(p.{c}, 0) AS {c}" for c in _columns(CHANNELS))
     return f"""{weekly_sql()}, span AS (SELECT min(install_date) AS lo, max(install_date) AS hi FROM panel),
@@ -283,7 +283,7 @@ def _adstock_sql(column: str) -> str:
 
 @query(
     "geo install_date observed " + " ".join(f"{c}:6" for c in _columns(CHANNELS)),
-    f"""WITH {_completed_sql()}, final AS (
+    f"""WITH {completed_sql()}, final AS (
   SELECT geo, install_date, observed, {", ".join(f"{_adstock_sql(c)} AS {c}" for c in _columns(CHANNELS))}
   FROM filled)""",
 )
@@ -352,7 +352,7 @@ def _attribution_sql() -> str:
         f"FROM carried WHERE observed"
         for c, b in EFFECTS.items()
     )
-    return f"""{_completed_sql()}, carried AS (SELECT geo, install_date, observed, {carried} FROM filled),
+    return f"""{completed_sql()}, carried AS (SELECT geo, install_date, observed, {carried} FROM filled),
 contributions AS ({curves}),
 predicted AS (
   SELECT geo, install_date, {INTERCEPT} + sum(contribution) AS pred_scaled

@@ -10,24 +10,35 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from halocline.operators.costs import COST_KEYS
 
 TRAIN_START, TEST_START, TEST_END = "1995-01-01", "2000-07-01", "2001-07-01"
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_schemas: dict[tuple[str, int, int], StructType] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by path. Its footer is read once per version of the path: queries here open the same few tables many times."""
+    path = f"{sf_dir}/{name}.parquet"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target)
+    version = (status.getPath().toString(), status.getModificationTime(), status.getLen())
+    if version not in _schemas:
+        _schemas[version] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[version]).parquet(path)
 
 
 def _orders(spark: SparkSession, sf_dir: str, grain: str) -> DataFrame:
     organic = F.col("c_mktsegment") == "BUILDING"
     none = F.lit(None).cast("string")
     return (
-        _table(spark, sf_dir, "orders")
-        .join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        table(spark, sf_dir, "orders")
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             F.col("o_orderkey").alias("match_id"),
             F.date_trunc(grain, "o_orderdate").cast("date").alias("install_date"),
@@ -49,8 +60,8 @@ def installs(spark: SparkSession, sf_dir: str, grain: str = "quarter") -> DataFr
 def events(spark: SparkSession, sf_dir: str, flag: str, grain: str = "quarter") -> DataFrame:
     """Long events: user key, time, amount, day offset."""
     offset = ((F.col("l_linenumber") * 3 + F.col("l_partkey")) % 12).cast("int")
-    lines = _table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag)
-    orders = _table(spark, sf_dir, "orders").select(
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag)
+    orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey"), F.date_trunc(grain, "o_orderdate").cast("date").alias("install_date")
     )
     start = F.date_add("install_date", offset).cast("timestamp_ntz")
