@@ -112,6 +112,8 @@ class Settings:
     keep_keys: tuple[str, ...] = ("platform", "country_code", "install_date")
     features: tuple[str, ...] = MODEL_FEATURES
     ridge_alpha: float = 1.0
+    #: Buckets of the user tables on the user keys; 0 writes plain files.
+    user_buckets: int = 0
     train_start: dt.date = dt.date(2024, 11, 1)
     test_start: dt.date = dt.date(2025, 5, 1)
     test_end: dt.date = dt.date(2025, 6, 1)

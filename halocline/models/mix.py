@@ -12,6 +12,7 @@ back explicitly, so predictions are in installs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -257,7 +258,7 @@ def fit_mix(train: DataFrame, mix: MixSettings = MixSettings(), stage: Callable[
             best, centre = 0, _pooled(winner, 1, n, free)[1][0]
     pull = np.full(n, mix.shrinkage)
     if mix.learn_pooling:
-        centre, pull = learn_pooling(winner, centre, pull)[:2]
+        centre, pull = learn_pooling(winner, centre, pull, free)[:2]
     coefficients = winner.mapInPandas(_solver({best: centre}, n, pull, free, final=True), SOLVED).select("geo", "coef", "centre", "root")
     if stage:
         coefficients = stage(coefficients)
@@ -279,12 +280,13 @@ def fit_mix(train: DataFrame, mix: MixSettings = MixSettings(), stage: Callable[
 
 
 def learn_pooling(
-    stats: DataFrame, centre: np.ndarray, pull: np.ndarray, rounds: int = 60, tol: float = 1e-2
+    stats: DataFrame, centre: np.ndarray, pull: np.ndarray, free: int, rounds: int = 60, tol: float = 1e-2
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Empirical Bayes for geos' coefficients ``N(centre, spread^2)``: (centre, pull, spread, noise variance).
 
     Expectation-maximisation on the geos' normal equations; a round is one pass over them, and what comes back are sums of the size of the
-    unknowns. ``pull`` is noise over squared spread, coefficient by coefficient, where a constant strength would tie all alike.
+    unknowns. ``pull`` is noise over squared spread, coefficient by coefficient, where a constant strength would tie all alike. Centres after the
+    first ``free`` are kept non-negative, as the coefficients are.
     """
     n = len(centre)
     noise = 0.01
@@ -313,8 +315,10 @@ def learn_pooling(
         total = np.zeros(3 * n + 3)
         for j, v in sums:
             total[j] = v
-        geos, mean = max(total[-1], 1.0), total[:n] / max(total[-1], 1.0)
-        after = np.maximum(total[n : 2 * n] / geos - mean**2 + total[2 * n : 3 * n] / geos, 1e-8)
+        geos = max(total[-1], 1.0)
+        found = total[:n] / geos
+        mean = np.where(np.arange(n) < free, found, np.maximum(found, 0.0))
+        after = np.maximum(total[n : 2 * n] / geos - 2 * mean * found + mean**2 + total[2 * n : 3 * n] / geos, 1e-8)
         moved = max(np.abs(np.log(after / variance)).max(), abs(np.log(max(total[-3] / max(total[-2], 1.0), 1e-10) / noise)))
         centre, variance, noise = mean, after, max(total[-3] / max(total[-2], 1.0), 1e-10)
         if moved < tol:
@@ -427,8 +431,8 @@ def refine(rows: _Rows, decay: float, shape: float) -> tuple[float, float]:
         step = np.linalg.solve(system + 1e-9 * np.trace(system) * np.eye(2) + 1e-12 * np.eye(2), right)
         step = np.clip(step, -1.5, 1.5)
         for _ in range(5):
-            odds = decay / (1.0 - decay) * np.exp(step[0])
-            trial = (min(max(odds / (1.0 + odds), 1e-3), 0.999), float(np.clip(shape * np.exp(step[1]), 1e-3, 1e3)))
+            odds = decay / (1.0 - decay) * math.exp(step[0])
+            trial = (min(max(odds / (1.0 + odds), 1e-3), 0.999), min(max(shape * math.exp(step[1]), 1e-3), 1e3))
             after = _joint_sums(rows, *trial)
             if after[0] <= error:
                 break

@@ -118,8 +118,16 @@ def media(channel: str) -> str:
     return f"(1 - {power}) / (1 + {power})"
 
 
-def mix_design(channels: Sequence[str], mix: MixSettings, train_end: str) -> str:
-    """``design`` (grid, geo, install_date, is_train, x, y, w, ...) of all observed rows of ``filled`` at every grid point."""
+def cut_date(share: float) -> str:
+    """The day after which that share of the calendar from ``lo`` to ``hi`` is over."""
+    return f"lo + CAST(floor(date_diff('day', lo, hi) * CAST({share!r} AS DOUBLE)) AS INTEGER)"
+
+
+def mix_design(channels: Sequence[str], mix: MixSettings, train_end: str, scale_until: str = "DATE '9999-12-31'") -> str:
+    """``design`` (grid, geo, install_date, is_train, x, y, w, ...) of all observed rows of ``filled`` at every grid point.
+
+    Scales are those of the training rows up to ``scale_until``.
+    """
     lags = ", ".join(
         "[" + ", ".join(f"coalesce(lag({c}, {k}) OVER line, 0)::DOUBLE" if k else f"{c}::DOUBLE" for k in range(mix.adstock_l_max)) + f"] AS {c}_lag"
         for c in channels
@@ -134,14 +142,14 @@ def mix_design(channels: Sequence[str], mix: MixSettings, train_end: str) -> str
   WINDOW line AS (PARTITION BY geo ORDER BY install_date)),
 train_panel AS (SELECT * FROM panel WHERE install_date < DATE '{train_end}'),
 test_panel AS (SELECT * FROM panel WHERE install_date >= DATE '{train_end}'),
+train_span AS (SELECT min(install_date) AS lo, max(install_date) AS hi FROM train_panel),
 scales AS (
   SELECT geo, CASE WHEN max(organic_installs) > 0 THEN max(organic_installs)::DOUBLE ELSE 1.0 END AS target_max, {largest}
-  FROM train_panel GROUP BY geo),
-train_span AS (SELECT min(install_date) AS lo, max(install_date) AS hi FROM train_panel),
+  FROM train_panel, train_span WHERE install_date <= {scale_until} GROUP BY geo),
 points AS (SELECT * FROM (VALUES {points}) t(grid, decay, shape, weights)),
 design AS MATERIALIZED (
   SELECT grid, geo, install_date, install_date < DATE '{train_end}' AS is_train, organic_installs, total_installs, target_max,
-         install_date > lo + CAST(floor(date_diff('day', lo, hi) * {1.0 - mix.holdout_share}) AS INTEGER) AS held,
+         install_date > {cut_date(1.0 - mix.holdout_share)} AS held,
          [1.0::DOUBLE, {x}] AS x, organic_installs / target_max AS y, total_installs * target_max ** 2 AS w
   FROM lagged JOIN scales USING (geo), points, train_span WHERE observed)"""
 
@@ -179,3 +187,29 @@ train_predicted AS (SELECT geo, install_date, sum(contribution) AS pred_scaled F
 train_scale AS (
   SELECT p.geo, sum(p.organic_installs) / greatest(sum(q.pred_scaled), 1e-9) AS scale
   FROM train_panel p JOIN train_predicted q ON p.geo = q.geo AND p.install_date = q.install_date GROUP BY p.geo)"""
+
+
+def mix_sweep(channels: Sequence[str], mix: MixSettings, pooled_ridge: float, train_end: str, folds: int) -> str:
+    """``predicted`` (grid, decay, shape, fold, organic_share, total_installs, abs_err): rolling-origin folds of the training rows."""
+    n, free = 1 + len(channels), 1
+    zero = f"list_transform(range(1, {n} + 1), lambda q: 0.0::DOUBLE)"
+    cuts = [cut_date(1.0 - mix.holdout_share * (folds - f) / folds) for f in range(folds + 1)]
+    windows = ", ".join(f"{{'fold': {f}, 'held': install_date > {cuts[f]}, 'inside': install_date <= {cuts[f + 1]}}}" for f in range(folds))
+    return f"""{mix_design(channels, mix, train_end, cuts[0])},
+windows AS MATERIALIZED (
+  SELECT grid, geo, x, y, organic_installs, total_installs, target_max, f.fold, f.held
+  FROM (SELECT design.*, unnest([{windows}]) AS f FROM design, train_span WHERE is_train) WHERE f.inside),
+cells AS MATERIALIZED (
+  SELECT grid, fold, geo, i, j, sum(xy[i] * xy[j]) AS fit
+  FROM (SELECT *, list_append(x, y) AS xy FROM windows WHERE NOT held), unnest(range(1, {n + 2})) a(i), unnest(range(1, {n + 2})) b(j)
+  GROUP BY grid, fold, geo, i, j),
+{nested('grams', 'cells', 'grid, fold, geo', ['fit'])},
+pooled_cells AS (SELECT grid, fold, i, j, sum(fit) AS fit FROM cells GROUP BY grid, fold, i, j),
+{nested('pooled_grams', 'pooled_cells', 'grid, fold', ['fit'])},
+{ridge('pooled', 'pooled_grams', 'grid, fold', 'fit', zero, pooled_ridge, n, free)},
+tried AS (SELECT grams.*, coef AS centre FROM grams JOIN pooled USING (grid, fold)),
+{ridge('geo_fit', 'tried', 'grid, fold, geo', 'fit', 'centre', mix.shrinkage, n, free)},
+predicted AS (
+  SELECT grid, decay, shape, fold, organic_installs AS organic_share, total_installs,
+         abs(organic_installs - list_dot_product(coef, x) * target_max) AS abs_err
+  FROM windows JOIN geo_fit USING (grid, fold, geo) JOIN points USING (grid) WHERE held)"""

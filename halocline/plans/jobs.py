@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from halocline.operators import metrics as X
 from halocline.operators import panel as P
 from halocline.operators import profile as O
 from halocline.operators import quantiles as N
-from halocline.operators.cleaning_report import cleaning_report
+from halocline.operators.cleaning_report import reported_write
 from halocline.operators.purchases import build_iap
 from halocline.sources import readers, sinks
 
@@ -68,26 +69,30 @@ def build_features(spark: SparkSession, paths: Paths, settings: Settings = Setti
         else:
             installs = readers.scan(spark, paths.feature("installs")) if name == "costs" else None
             table = E.build_source(name, raw, settings, installs)
-        sinks.write_table(table, paths.feature(name))
+        if settings.user_buckets:
+            sinks.write_bucketed(table, paths.feature(name), USER_KEYS, settings.user_buckets)
+        else:
+            sinks.write_table(table, paths.feature(name))
         done.append(name)
     return done
 
 
-def _users(spark: SparkSession, paths: Paths) -> dict[str, DataFrame]:
+def _users(spark: SparkSession, paths: Paths, settings: Settings) -> dict[str, DataFrame]:
     names = [n for n in E.BUILDERS if readers.path_exists(spark, paths.feature(n))]
-    return readers.ordered_feature_scans(spark, {n: paths.feature(n) for n in names})
+    read = partial(readers.bucketed, keys=USER_KEYS, buckets=settings.user_buckets) if settings.user_buckets else readers.scan
+    return readers.ordered_feature_scans(spark, {n: paths.feature(n) for n in names}, read=read)
 
 
 def build_cohorts(spark: SparkSession, paths: Paths, settings: Settings = Settings()) -> str:
     """Cohort table on all cohort keys."""
-    rolled = C.roll_up_sources(_users(spark, paths), USER_KEYS, settings.cohort_keys)
+    rolled = C.roll_up_sources(_users(spark, paths, settings), USER_KEYS, settings.cohort_keys)
     return sinks.write_table(rolled, paths.table("cohort_level"))
 
 
 def build_targets(spark: SparkSession, paths: Paths, settings: Settings = Settings()) -> dict[str, DataFrame]:
     """Target with features, written once and partitioned by split."""
     full = C.target_roll_up(
-        _users(spark, paths),
+        _users(spark, paths, settings),
         USER_KEYS,
         list(settings.target_keys),
         train_start=settings.train_start,
@@ -102,10 +107,10 @@ def clean_targets(spark: SparkSession, paths: Paths, settings: Settings = Settin
     full = spark.read.parquet(paths.table("targets"))
     reports = {}
     for name in ("train", "test"):
-        part = full.filter(F.col("split") == name).drop("split")
-        sinks.write_table(C.clean(part, settings), paths.table(f"{name}_clean"))
-        kept = spark.read.parquet(paths.table(f"{name}_clean"))
-        reports[name] = cleaning_report(part, kept, settings.target, settings.weight)
+        part, path = full.filter(F.col("split") == name).drop("split"), paths.table(f"{name}_clean")
+        reports[name] = reported_write(
+            part, lambda df: C.clean(df, settings), sinks.staged(path), settings.target, settings.weight
+        )
     return reports
 
 
@@ -162,8 +167,14 @@ def run_binomial(spark: SparkSession, paths: Paths, settings: Settings = Setting
     draws = spark.read.parquet(paths.result("binomial_draws"))
     scored = {"train": B.predict_binomial(model, train), "test": B.predict_binomial(model, test)}
     _score_every(spark, paths, "binomial", settings, lambda df: B.predict_binomial(model, df))
+    sinks.write_table(
+        B.importance_weights(model, counted, settings.binomial, total=settings.weight), paths.result("binomial_weights")
+    )
+    weights = spark.read.parquet(paths.result("binomial_weights"))
     return _score_tables(scored, paths, "binomial", settings) | {
         "effects": B.effects_table(model, spark),
+        "importance": B.importance_summary(weights),
+        "weighted": B.weighted_summary(draws, weights),
         "fit": B.fit_table(model, spark),
         "coefficients": D.top_coefficients(draws.filter(F.col("param").startswith("beta"))),
         "diagnostics": D.diagnostics(draws),
@@ -176,7 +187,7 @@ def build_mix_panel(spark: SparkSession, paths: Paths, settings: Settings = Sett
     day = F.to_date("install_date").alias("install_date")
     columns = [day if c == "install_date" else F.col(c) for c in geo_day]
     installs = readers.scan(spark, paths.feature("installs")).select(*columns)
-    costs = readers.scan(spark, paths.raw("costs")).select(*columns, "spend")
+    costs = readers.scan_window(spark, paths.raw("costs"), settings.train_start, settings.test_end).select(*columns, "spend")
     panel = P.build_panel(
         installs, costs, date_from=settings.train_start, date_to=settings.test_end, mix=settings.mix
     )
@@ -195,7 +206,7 @@ def run_mix(
     """Mix model: fit, attribution, out-of-sample evaluation, intervals, checks."""
     train, test = _panel(spark, paths)
     target = settings.mix.target
-    model = M.fit_mix(train, settings.mix)
+    model = M.fit_mix(train, settings.mix, sinks.staged(paths.result("mmm_coefficients")))
     sinks.write_table(M.contributions(model, train), paths.result("mmm_contributions"))
     parts = spark.read.parquet(paths.result("mmm_contributions"))
     fitted = T.predictions_from_contributions(parts)
@@ -222,6 +233,7 @@ def run_mix(
     halo = M.halo_draws(model, train, draws, scale=scale)
     return {
         "grid": model.grid_scores,
+        "sweep": M.sweep(train, settings.mix),
         "coefficients": M.coefficient_rows(model),
         "channel_effects": D.channel_effects(M.coefficient_draws(model, draws)),
         "scale": T.scale_overview(scale),

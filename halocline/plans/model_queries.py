@@ -684,6 +684,19 @@ def mmm_evaluation(spark, d):
     return X.regression_report(matched, "organic_installs", "pred", "total_installs")
 
 
+SWEEP_FOLDS = 3
+
+
+@query(
+    f"grid:int decay:2 shape:2 fold:int {METRICS}",
+    f"""WITH {completed_sql()}, {fit_sql.mix_sweep(SPENDS, PLAIN_MIX, M.POOLED_RIDGE, star.TEST_START, SWEEP_FOLDS)},
+{_metric_sql('grid, decay, shape, fold', 'predicted')}""",
+)
+def mmm_sweep(spark, d):
+    """All metrics of every grid point on rolling-origin folds of the training weeks."""
+    return M.sweep(_split(weekly_panel(spark, d).persist(), False), PLAIN_MIX, SWEEP_FOLDS)
+
+
 @query("channel total_spend:2 roas_mean:4 roas_hdi_lo:4 roas_hdi_hi:4")
 def mmm_roas(spark, d):
     train, _, model = _mix(spark, d)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import hashlib
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MONTH = "month"
+
+
 def write_table(df: DataFrame, path: str, overwrite: bool = True, partition_by: str | None = None) -> str:
     """zstd parquet; with ``overwrite=False`` an existing table is left as it is."""
     writer = df.write.mode("overwrite" if overwrite else "ignore").option("compression", "zstd")
@@ -17,6 +21,31 @@ def write_table(df: DataFrame, path: str, overwrite: bool = True, partition_by:
     return path
 
 
+def bucketed_name(path: str) -> str:
+    """The catalog's name for a bucketed table at a path."""
+    return f"halocline_{hashlib.md5(path.rstrip('/').encode()).hexdigest()}"
+
+
+def write_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> str:
+    """Parquet in ``buckets`` files by a hash of ``keys``, sorted by them; see ``readers.bucketed``.
+
+    The one shuffle of a table happens here. Joins and groups on the keys later find the rows in place.
+    """
+    spark, name = df.sparkSession, bucketed_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").option("compression", "zstd").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
+    return path
+
+
+def write_months(df: DataFrame, path: str, day: str = "install_date") -> str:
+    """Parquet partitioned by the month of ``day``; only the months that ``df`` holds are replaced, others stay as they are."""
+    months = df.withColumn(MONTH, F.trunc(F.col(day), "MM")).hint("rebalance", F.col(MONTH))
+    writer = months.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    writer.partitionBy(MONTH).parquet(path)
+    return path
+
+
 def write_summary_csv(df: DataFrame, path: str) -> str:
     """CSV with a header, one file, for summary tables. The table is made by many tasks and only written by one."""
     df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
@@ -38,11 +67,15 @@ def write_split(df: DataFrame, path: str, split_column: str = "split") -> dict[s
 
 
 def ingest(spark: SparkSession, datasets: Mapping[str, Mapping[str, str]], overwrite: bool = True) -> list[str]:
-    """Copy each dataset that names a ``remote`` parquet path to its ``local`` path."""
+    """Copy each dataset that names a ``remote`` parquet path to its ``local`` path, by month if it names a ``day`` column."""
     copied = []
     for name, entry in datasets.items():
         if entry.get("remote"):
-            write_table(spark.read.parquet(entry["remote"]), entry["local"], overwrite=overwrite)
+            rows = spark.read.parquet(entry["remote"])
+            if entry.get("day"):
+                write_months(rows, entry["local"], entry["day"])
+            else:
+                write_table(rows, entry["local"], overwrite=overwrite)
             copied.append(name)
     return copied
 

@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.config import MixSettings, Settings
+from halocline.config import USER_KEYS, MixSettings, Settings
 from halocline.operators import attribution as T
+from halocline.operators.cleaning_report import cleaning_report, reported_write
+from halocline.operators.keys import merge_on_keys
 from halocline.plans import jobs as J
 from halocline.sources import readers, sinks
 from tests.conftest import rows
@@ -110,6 +112,8 @@ def test_pipeline(spark, paths):
     gone = T.true_organic(combined.withColumns({"organic_share": F.lit(0.5), "total_installs": F.lit(10)}), part).filter("geo = 'ios_US'")
     assert gone.count() > 0 and gone.filter("halo_known or true_organic is not null").count() == 0
     views = J.explore(spark, paths, SETTINGS)
+    assert rows(binom["importance"])[0]["n_effective"] > 10 and binom["weighted"].count() == binom["effects"].count()
+    assert mix["sweep"].filter("rmse_w is not null").count() == 4 * 3
     assert views["pairs"].count() <= 30 and views["daily"].count() > 0
     draws = spark.read.parquet(paths.result("binomial_draws")).filter("param in ('alpha', 'beta[spend]')")
     table = J.analyse_draws(draws, paths.result("summary"))
@@ -131,6 +135,75 @@ def test_baseline_without_training_rows(spark, tmp_path):
     assert rows(out["test_summary"])[0]["n"] == 0 and out["calibration"].count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_user_tables_in_buckets_join_without_a_shuffle(spark, paths, tmp_path):
+    """The n-way join and the users' groups read bucketed tables in place."""
+    settings = dataclasses.replace(SETTINGS, user_buckets=5)
+    p = J.Paths(str(tmp_path))
+    for name in ("installs", "iap", "ads", "sessions", "devices"):
+        sinks.write_table(spark.read.parquet(paths.raw(name)), p.raw(name))
+    J.build_features(spark, p, settings)
+    plain = J.Paths(str(tmp_path / "plain"))
+    for name in ("installs", "iap", "ads", "sessions", "devices"):
+        sinks.write_table(spark.read.parquet(paths.raw(name)), plain.raw(name))
+    J.build_features(spark, plain, SETTINGS)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = merge_on_keys(J._users(spark, p, settings), USER_KEYS)
+        assert "Exchange" not in plan_of(merged) and "SortMergeJoin" in plan_of(merged)
+        assert "Exchange" in plan_of(merge_on_keys(J._users(spark, plain, SETTINGS), USER_KEYS))
+        grouped = J._users(spark, p, settings)["ads"].groupBy(*USER_KEYS).agg(F.max("ads_0"))
+        assert "Exchange" not in plan_of(grouped)
+        total = F.sum("ads_cum_learn"), F.count(F.lit(1))
+        assert merged.agg(*total).first() == merge_on_keys(J._users(spark, plain, SETTINGS), USER_KEYS).agg(*total).first()
+        spark.sql(f"DROP TABLE {sinks.bucketed_name(p.feature('ads'))}")  # another session's catalog does not know it
+        again = merge_on_keys(J._users(spark, p, settings), USER_KEYS)
+        assert "Exchange" not in plan_of(again) and again.count() == 3000
+        J.build_features(spark, p, settings)  # a rerun replaces the tables
+        assert merge_on_keys(J._users(spark, p, settings), USER_KEYS).count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_months_are_replaced_and_pruned_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "costs")
+    days = spark.range(90).select(F.date_add(F.lit("2025-01-01").cast("date"), F.col("id").cast("int")).alias("install_date"), F.lit(1.0).alias("spend"))
+    sinks.write_months(days, path)
+
+    def files():
+        return {f.relative_to(path): f.stat().st_mtime_ns for f in (tmp_path / "costs").rglob("*.parquet")}
+
+    before = files()
+    sinks.write_months(days.filter("month(install_date) = 2").withColumn("spend", F.lit(5.0)), path)
+    after = files()
+    assert {k for k in before if "2025-02" not in str(k)} == {k for k in after if before.get(k) == after[k]}
+    got = readers.scan_window(spark, path, "2025-02-10", "2025-03-01")
+    assert got.columns == ["install_date", "spend"] and got.agg(F.sum("spend")).first()[0] == 19 * 5.0
+    assert len(got.inputFiles()) < len(after) or "PartitionFilters: [isnotnull(month" in plan_of(got)
+    metrics = [n for n in plan_of(got).splitlines() if "PartitionFilters" in n][0]
+    assert "month" in metrics.split("PartitionFilters")[1].split("PushedFilters")[0]
+    sinks.write_table(days, str(tmp_path / "plain"))
+    assert readers.scan_window(spark, str(tmp_path / "plain"), "2025-02-10", "2025-03-01").count() == 19
+    assert sinks.ingest(spark, {"costs": {"remote": str(tmp_path / "plain"), "local": str(tmp_path / "in"), "day": "install_date"}}) == ["costs"]
+    assert readers.scan_window(spark, str(tmp_path / "in"), "2025-03-01", "2025-04-01").count() == 31
+
+
+def test_a_write_reports_what_a_second_reading_would(spark, tmp_path):
+    df = spark.range(200).selectExpr("id % 50 total_installs", "id / 200 organic_share", "'ios' platform")
+    clean = lambda t: t.filter("total_installs >= 30")
+    got = reported_write(df, clean, sinks.staged(str(tmp_path / "kept")))
+    want = cleaning_report(df, clean(df))
+    assert got.schema.simpleString() == want.schema.simpleString()
+    for a, b in zip(got.first(), want.first()):
+        assert a == pytest.approx(b)
+    none = reported_write(df.limit(0), clean, sinks.staged(str(tmp_path / "none"))).first()
+    assert none["rows_before"] == none["rows_after"] == 0 and none["target_mean"] is None
+
+
 def test_sinks_and_scans(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.write_table(spark.range(3), path)

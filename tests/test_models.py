@@ -291,3 +291,143 @@ def test_mix_without_hold_out_says_so(fitted):
     train, _, _ = fitted
     with pytest.raises(ValueError, match="hold-out"):
         M.fit_mix(train, MixSettings(holdout_share=0.0, decay_grid=(0.5,), shape_grid=(2.0,)))
+
+
+def test_spread_maximises_the_marginal_likelihood(table):
+    """Quadrature against a fine sum over each country's effect, given the other coefficients."""
+    settings = BinomialSettings()
+    model = B.fit_binomial(table, features=FEATURES, settings=settings)
+    assert model.converged
+    prep = model.prep
+    x = np.column_stack([np.ones(N), numpy_prep(FEATURES)])
+    fixed = x @ np.r_[model.alpha, model.beta] + np.array(model.u_platform)[[prep.platforms.index(p) for p in PDF.platform]]
+    k, n = PDF.organic_installs.to_numpy(float), PDF.total_installs.to_numpy(float)
+    u = np.linspace(-4, 4, 8001)
+
+    def likelihood(sigma):
+        total = -(sigma**2) / (2 * settings.spread_prior_sigma**2)
+        for c in prep.countries:
+            at = (PDF.country_code == c).to_numpy()
+            eta = fixed[at][:, None] + u
+            ll = (k[at][:, None] * eta - n[at][:, None] * np.logaddexp(0, eta)).sum(axis=0) - u**2 / (2 * sigma**2) - np.log(sigma)
+            total += ll.max() + np.log(np.exp(ll - ll.max()).sum())
+        return total
+
+    grid = np.exp(np.linspace(np.log(0.1), np.log(2), 400))
+    best = grid[np.argmax([likelihood(s) for s in grid])]
+    assert model.sigma_country == pytest.approx(best, rel=0.02)
+    laplace = B.fit_binomial(table, features=FEATURES, settings=BinomialSettings(quadrature_rounds=0))
+    assert laplace.sigma_country == pytest.approx(model.sigma_country, rel=0.3)
+
+
+def test_importance_weights_equal_a_plain_computation(table, spark):
+    settings = BinomialSettings(draws=150)
+    model = B.fit_binomial(table, features=FEATURES, learn_spread=False, spreads=(0.7, 0.9))
+    ratios = np.array([r["log_ratio"] for r in rows(B.log_ratios(model, table, settings), "number")])
+    wide = B.posterior_draws(model, spark, settings).toPandas()
+    wide["number"] = wide.chain * 150 + wide.draw
+    names = B.parameter_names(model)
+    draws = wide.pivot(index="number", columns="param", values="value")[names].to_numpy()
+    z = np.column_stack([np.ones(N), numpy_prep(FEATURES), pd.get_dummies(PDF.country_code), pd.get_dummies(PDF.platform)]).astype(float)
+    k, n = PDF.organic_installs.to_numpy(float), PDF.total_installs.to_numpy(float)
+    lam = np.r_[settings.alpha_prior_sigma**-2, np.ones(3), np.full(6, 0.7**-2), np.full(2, 0.9**-2)]
+    eta = z @ draws.T
+    posterior = (k[:, None] * eta - n[:, None] * np.logaddexp(0, eta)).sum(axis=0) - 0.5 * (draws**2 @ lam)
+    mode = np.array([r["value"] for r in rows(B.effects_table(model, spark))])
+    eta = z @ mode
+    q = 1 / (1 + np.exp(-eta))
+    info = z.T @ (z * (n * q * (1 - q))[:, None]) + np.diag(lam)
+    off = draws - mode
+    want = posterior + 0.5 * np.einsum("ij,jk,ik->i", off, info, off)
+    assert np.allclose(ratios - ratios.mean(), want - want.mean(), atol=0.02)
+    weights = B.importance_weights(model, table, settings)
+    (r,) = rows(B.importance_summary(weights))
+    assert r["n_draws"] == 300 and 200 < r["n_effective"] <= 300 and r["shape"] < 0.5
+    assert weights.agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
+    got = {s["param"]: s for s in rows(B.weighted_summary(B.posterior_draws(model, spark, settings), weights))}
+    w = np.array([x["weight"] for x in rows(weights, "chain", "draw")])
+    assert got["beta[a]"]["mean"] == pytest.approx(w @ draws[:, 1]) and got["alpha"]["sd"] == pytest.approx(np.sqrt(w @ draws[:, 0] ** 2 - (w @ draws[:, 0]) ** 2))
+
+
+def test_smoothing_finds_the_shape_of_a_tail():
+    rng = np.random.default_rng(4)
+    for shape in (0.2, 0.7):
+        excess = np.expm1(-shape * np.log(rng.random(4000))) / shape
+        k, scale = B.pareto_tail(excess)
+        assert k == pytest.approx(shape, abs=0.06) and scale == pytest.approx(1.0, abs=0.08)
+    weights, shape = B.smoothed_weights(np.zeros(100))
+    assert np.allclose(weights, 0.01) and shape == 0.0
+    heavy = np.log(rng.pareto(0.9, 2000) + 1)  # no mean: the largest raw weight would take over
+    weights, shape = B.smoothed_weights(heavy)
+    raw = np.exp(heavy - heavy.max())
+    assert shape > 0.7 and weights.sum() == pytest.approx(1.0) and weights.max() < (raw / raw.sum()).max()
+
+
+@pytest.fixture(scope="module")
+def pooled_panel(spark):
+    """Sixty geos whose effects scatter around a common value, each channel with its own spread."""
+    rng, start, out = np.random.default_rng(9), dt.date(2024, 1, 1), []
+    for g in range(60):
+        spend = rng.gamma(1.0, 100.0, (80, 2))
+        spend[40] = 900.0  # one scale for all
+        carried = sum(np.vstack([np.zeros((k, 2)), spend[: 80 - k]]) * 0.45**k for k in range(4)) / sum(0.45**k for k in range(4))
+        sat = np.tanh(1.4 * carried / spend.max(axis=0) / 2)
+        y = 1.0 + sat @ np.array([0.8 + 0.05 * rng.standard_normal(), 0.9 + 0.35 * rng.standard_normal()]) + rng.normal(scale=0.02, size=80)
+        for t in range(80):
+            out.append((f"g{g}", "p", f"c{g}", start + dt.timedelta(days=7 * t), float(max(y[t], 0.0)), 100, *map(float, spend[t])))
+    cols = "geo string, platform string, country_code string, install_date date, organic_installs double, total_installs bigint"
+    return spark.createDataFrame(out, cols + ", spend_even double, spend_mixed double").persist()
+
+
+def test_pooling_is_learned_per_channel(pooled_panel):
+    plain = MixSettings(decay_grid=(0.45,), shape_grid=(1.4,), learn_pooling=False, refine_steps=0)
+    panel, n = M.model_panel(pooled_panel, plain), 3
+    channels = M.channel_list(panel)
+    scales = M.scale_table(panel, channels, "organic_installs").withColumn("target_max", F.lit(1.0))
+    for c in channels:
+        scales = scales.withColumn(f"{c}__max", F.lit(900.0))
+    lagged = M.lagged_panel(panel, scales, channels, plain).filter("observed").withColumn("_held", F.lit(False))
+    rows_ = M._Rows(lagged, plain, tuple(channels), ())
+    stats = M._statistics(rows_.design([F.lit(0).alias("grid"), "geo"], 0.45, 1.4)).persist()
+    centre, pull, spread, noise = M.learn_pooling(stats, np.zeros(n), np.full(n, 0.5), 1)
+    assert centre[1] == pytest.approx(0.8, abs=0.05) and centre[2] == pytest.approx(0.9, abs=0.12)
+    assert spread[1] == pytest.approx(0.05, abs=0.03) and spread[2] == pytest.approx(0.35, rel=0.25)
+    assert noise == pytest.approx(0.0004, rel=0.1) and pull[1] > 10 * pull[2]
+
+
+def test_refinement_leaves_the_grid(pooled_panel):
+    grid = {"decay_grid": (0.2, 0.3), "shape_grid": (3.0, 6.0)}
+    coarse = M.fit_mix(pooled_panel, MixSettings(**grid, learn_pooling=False, refine_steps=0))
+    assert (coarse.decay, coarse.shape) == (0.3, 3.0) and M.grid_edges(coarse).filter("not passed").count() == 2
+    fine = M.fit_mix(pooled_panel, MixSettings(**grid, learn_pooling=False, refine_steps=2))
+    assert fine.decay == pytest.approx(0.45, abs=0.05)
+    assert M.grid_edges(fine).filter("not passed").count() == 0
+    error = {}
+    for name, model in (("coarse", coarse), ("fine", fine)):
+        (r,) = rows(X.regression_report(T.match_test(pooled_panel, M.predict_mix(model, pooled_panel).withColumnRenamed("pred_scaled", "pred")),
+                                        "organic_installs", "pred", "total_installs"))
+        error[name] = r["rmse_w"]
+    assert error["fine"] <= error["coarse"] + 1e-9
+
+
+@pytest.mark.parametrize("kind", ["logistic", "michaelis_menten", "hill"])
+def test_slopes_of_the_media_columns(spark, kind):
+    mix = MixSettings(saturation=kind, adstock_l_max=3)
+    df = spark.createDataFrame([([3.0, 0.0, 5.0], 7.0), ([0.0, 0.0, 0.0], 7.0), ([1.0, 8.0, 2.0], 9.0)], "c__lag array<double>, c__max double")
+    step = 1e-6
+    by_decay, by_shape = M.media_slopes("c", mix, 0.4, 1.7)
+    near = [(M.media("c", mix, a, s) - M.media("c", mix, b, t)) / (2 * step)
+            for a, b, s, t in ((0.4 + step, 0.4 - step, 1.7, 1.7), (0.4, 0.4, 1.7 + step, 1.7 - step))]
+    for r in df.select(by_decay.alias("a"), by_shape.alias("b"), near[0].alias("x"), near[1].alias("y")).collect():
+        assert r["a"] == pytest.approx(r["x"], abs=1e-7) and r["b"] == pytest.approx(r["y"], abs=1e-7)
+
+
+def test_sweep_has_every_metric_per_point_and_fold(fitted):
+    train, _, _ = fitted
+    mix = MixSettings(decay_grid=(0.1, 0.5), shape_grid=(1.0, 2.0), holdout_share=0.3)
+    table = M.sweep(train, mix, folds=3)
+    got = table.collect()
+    assert {(r["grid"], r["fold"]) for r in got} == {(g, f) for g in range(4) for f in range(3)}
+    assert all(r["n"] > 0 and r["rmse_w"] > 0 and r["wmape"] > 0 for r in got)
+    mean = {g: np.mean([r["rmse_w"] for r in got if r["grid"] == g]) for g in range(4)}
+    assert min(mean, key=mean.get) == 3  # decay .5 and shape 2, which made the panel
