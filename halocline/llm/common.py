@@ -46,11 +46,13 @@ def batch_of(**columns: object) -> pa.RecordBatch:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a local folder only where that is unset, as in tests."""
+    """A fresh path below ``spark.checkpoint.dir``; where that is unset, a local folder, which only a local master can use."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = given.get() if given.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="halocline-")
         spark.sparkContext.setCheckpointDir(root)

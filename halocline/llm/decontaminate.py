@@ -6,8 +6,9 @@ shingles, in classes up to a power of two, and each document, once per class, in
 class allows. An item of ``q`` shingles with a share ``t`` inside a document then lies in a few blocks, and the
 similarities with these add up to about ``t / 3`` at least, whatever the document's length. Signatures have ``HASHES``
 minima, each a band of its own, so an item is missed with a chance below 1e-6 at a containment of 0.8; a block and an item
-become candidates when they share a minimum. For each candidate document the shared shingles are then counted exactly,
-over the whole document.
+become candidates when they share a minimum. Items of fewer than ``LEAST_CLASS`` shingles are too small for minima of blocks: a document that
+holds ``m`` of an item's ``q`` shingles holds one of any ``q - m + 1``, and by these they are looked up, so none is missed. For each candidate
+document the shared shingles are then counted exactly, over the whole document.
 
 Words are runs of ASCII digits, lower-cased letters and non-ASCII characters; shingles have ``shingle`` words. Items
 with fewer words, null or empty ones have no shingle and are contained nowhere. Null and empty documents contain nothing.
@@ -71,18 +72,24 @@ def block_starts(sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray,
 class ItemIndex:
     """Items by size class, and for each class and hash function their minima."""
 
-    def __init__(self, items: list[tuple[object, list[bytes]]], shingle: int):
+    def __init__(self, items: list[tuple[object, list[bytes]]], shingle: int, threshold: float):
         self.shingle = shingle
         self.keys = [k for k, _ in items]
         self.texts = [set(s) for _, s in items]
         self.factors = multipliers()
         self.classes: dict[int, list[dict[int, list[int]]]] = {}
         self.filters: dict[int, np.ndarray] = {}
+        self.small: dict[int, list[int]] = {}
         digest, mask = xxhash.xxh3_64_intdigest, (1 << FILTER_BITS) - 1
         for number, shingles in enumerate(self.texts):
             if not shingles:
                 continue
-            size = max(LEAST_CLASS, 1 << (len(shingles) - 1).bit_length())
+            if len(shingles) < LEAST_CLASS:
+                needed = next(m for m in range(1, len(shingles) + 1) if m >= threshold * len(shingles) or m == len(shingles))
+                for s in sorted(shingles)[: len(shingles) - needed + 1]:
+                    self.small.setdefault(digest(s), []).append(number)
+                continue
+            size = 1 << (len(shingles) - 1).bit_length()
             maps = self.classes.setdefault(size, [{} for _ in range(HASHES)])
             found = np.array([digest(s) for s in shingles], np.uint64)
             for values, low in zip(maps, minima(found, np.zeros(1, int), self.factors)[:, 0].tolist()):
@@ -91,12 +98,21 @@ class ItemIndex:
             bits = self.filters[size] = np.zeros((HASHES, mask + 1), bool)
             for i, values in enumerate(maps):
                 bits[i, np.fromiter(values, np.uint32, len(values)) & np.uint32(mask)] = True
+        self.small_keys = np.array(sorted(self.small), np.uint64)
 
     def candidates(self, hashes: list[np.ndarray]) -> dict[int, set[int]]:
         """For documents by position: the items that share a minimum with one of their blocks."""
         found: dict[int, set[int]] = {}
         sizes = np.array([len(h) for h in hashes], np.int64)
-        if not self.classes or not sizes.sum():
+        if not sizes.sum():
+            return found
+        if len(self.small_keys):
+            every = np.concatenate(hashes)
+            place = np.minimum(np.searchsorted(self.small_keys, every), len(self.small_keys) - 1)
+            hits = np.flatnonzero(self.small_keys[place] == every)
+            for at, key in zip(np.searchsorted(np.cumsum(sizes), hits, side="right").tolist(), every[hits].tolist()):
+                found.setdefault(at, set()).update(self.small[key])
+        if not self.classes:
             return found
         finest = min(self.classes)
         starts, _, blocks = block_starts(sizes, finest)
@@ -166,7 +182,7 @@ def find_contained(
         shared = spark.sparkContext.broadcast([(k, list(s)) for k, s in block])
 
         def search(batches: Batches, shared=shared) -> Batches:
-            index = ItemIndex(shared.value, shingle)
+            index = ItemIndex(shared.value, shingle, threshold)
             for batch in batches:
                 rows = zip(batch.column("k").to_pylist(), index.contained(str_texts(batch), threshold))
                 out = [(k, index.keys[n], len(index.texts[n]), hit, hit / len(index.texts[n])) for k, items in rows for n, hit in items]
@@ -193,8 +209,7 @@ def drop_contaminated(
         shared = docs.sparkSession.sparkContext.broadcast([(k, list(s)) for k, s in block])
 
         def keep(batches: Batches, shared=shared) -> Batches:
-            index = ItemIndex(shared.value, shingle)
-
+            index = ItemIndex(shared.value, shingle, threshold)
             for batch in batches:
                 hits = index.contained(str_texts(batch, text_col), threshold)
                 yield batch.filter(pa.array([not h for h in hits], pa.bool_()))

@@ -14,6 +14,7 @@ gives the identifiers that can be read and no obligation. Every text is read who
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -135,11 +136,13 @@ def scan_text(raw: bytes) -> tuple:
     words = raw.translate(TO_WORDS).split()
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")
     starts, base, labels, grants, notices = [], set(), set(), [], []
+    spaces = read = 0  # spaces before the end of the match; ends only grow
     for end, phrase in phrases.iter(line):
         if phrase in GRANTS:
             grants.append(end)
             continue
-        at = line.count(" ", 0, end - len(phrase) - 1)
+        spaces, read = spaces + line.count(" ", read, end), end
+        at = spaces - 1 - phrase.count(" ")
         notices.append(end)
         if phrase in BASE:
             starts.append(at)
@@ -147,14 +150,16 @@ def scan_text(raw: bytes) -> tuple:
         labels.add(BASE.get(phrase) or NOTICES[phrase])
     obligation, tagged = None, False
     lowered = raw.lower().decode("latin-1")
-    for end, _ in tags.iter(lowered):
-        stop = lowered.find("\n", end + 1)
-        names, level = evaluate(lowered[end + 1 : stop if stop >= 0 else len(lowered)])
+    marks = [(end + 1 - len(tag), end + 1) for end, tag in tags.iter(lowered)]
+    for (_, begin), (following, _) in zip(marks, [*marks[1:], (len(lowered), 0)]):
+        stop = lowered.find("\n", begin, following)  # an expression ends with its line, or where the next tag starts
+        names, level = evaluate(lowered[begin : stop if stop >= 0 else following])
         labels.update(names)
         tagged |= bool(names)
         if level is not None:
             obligation = level if obligation is None else max(obligation, level)
-    granted = any(0 < n - g <= 60 for n in notices for g in grants[-8:])
+    near = [bisect_left(grants, n) for n in notices]
+    granted = any(i and n - grants[i - 1] <= 60 for i, n in zip(near, notices))
     score = 1.0 if obligation is not None else 0.9 if granted else 0.75 if tagged else 0.6 if notices else 0.0
     if obligation is None and labels:
         obligation = max(family(label) for label in labels)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halocline.llm.common import Batches, batch_of, id_type, keyed_text, raw_texts
+from halocline.llm.common import Batches, batch_of, delete_path, id_type, keyed_text, raw_texts, written
 
 FEATURES = (
     "upper", "digit", "mark", "odd_mark", "pipe", "stop", "words", "word_size", "repeat", "same_next", "shout", "short",
@@ -240,33 +240,47 @@ def learn_field(
     label_col: str = "quality",
     max_fit_docs: int = 3000,
     max_fit_lines: int = 5000,
+    max_fit_total: int = 400_000,
 ) -> Field:
     """Fit on labelled documents outside the held-out fold.
 
-    At most ``max_fit_docs`` of them reach the driver, as features; those with more than
-    ``max_fit_lines`` lines take no part in the fit.
+    The sample is bounded three ways, by a hash of the id: ``max_fit_docs`` documents, of these the ones with ``max_fit_lines`` lines at most, and of
+    these the first with ``max_fit_total`` lines together. Only their features reach the driver (37 numbers a line). An id whose labels
+    disagree is not used; of the texts of a repeated id the smallest one is.
     """
     picked = (
         labels.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{label_col}`").cast("int").alias("y"))
         .filter(F.col("k").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("k")))
-        .dropDuplicates(["k"])
-        .orderBy(F.xxhash64("k"), "k")
+        .groupBy("k")
+        .agg(F.min("y").alias("y"), F.max("y").alias("most"))
+        .filter("y = most")
+        .select("k", "y", F.xxhash64("k").alias("h"))
+        .orderBy("h", "k")
         .limit(max_fit_docs)
     )
-    rows = keyed_text(docs, id_col, text_col).join(F.broadcast(picked), "k").select("y", "t")
+    joined = keyed_text(docs, id_col, text_col).join(F.broadcast(picked), "k")
+    rows = joined.groupBy("k").agg(F.first("y").alias("y"), F.first("h").alias("h"), F.min(F.coalesce("t", F.lit(""))).alias("t"))
 
     def features(batches: Batches) -> Batches:
         for batch in batches:
-            x, n, y = [], [], []
-            for raw, label in zip(raw_texts(batch), batch.column("y").to_pylist()):
+            out = []
+            for raw, label, h in zip(raw_texts(batch), batch.column("y").to_pylist(), batch.column("h").to_pylist()):
                 found, sizes = line_features(raw)
                 if len(found) <= max_fit_lines:
-                    x.append(found.tobytes())
-                    n.append(sizes.tobytes())
-                    y.append(label)
-            yield batch_of(y=pa.array(y, pa.int32()), x=pa.array(x, pa.binary()), n=pa.array(n, pa.binary()))
-
-    got = rows.mapInArrow(features, "y int, x binary, n binary").limit(2 * max_fit_docs).collect()
+                    out.append((label, h, len(found), found.tobytes(), sizes.tobytes()))
+            columns = list(zip(*out)) or [()] * 5
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield batch_of(**{name: pa.array(c, kind) for name, c, kind in zip(("y", "h", "lines", "x", "n"), columns, kinds)})
+
+    table, path = written(rows.mapInArrow(features, "y int, h long, lines long, x binary, n binary"), "fit-lines")
+    last, total = None, 0
+    for row in table.select("h", "lines").orderBy("h").collect():  # two numbers a document
+        total += row.lines
+        if total > max_fit_total and last is not None:
+            break
+        last = row.h
+    got = table.filter(F.col("h") <= F.lit(last)).collect() if last is not None else []
+    delete_path(docs.sparkSession, path)
     got = sorted(got, key=lambda r: (r.y, bytes(r.x)))  # the same fit whatever order tasks end in
     return fit_field(
         [np.frombuffer(r.x, np.float32).reshape(-1, N) for r in got], [np.frombuffer(r.n) for r in got], [r.y for r in got]

@@ -27,7 +27,7 @@ from halocline.llm import (
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 SECRET_VOCABULARY = "byte_bpe_50k.tiktoken"
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,7 +35,11 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-PART = re.compile(r"[0-9]*|[A-Za-z]?[a-z]*[0-9]{0,4}|[A-Z]+[0-9]{0,4}|([A-Z]?[a-z]{2,}[0-9]{0,2}){2,}")
+# The last form reads words run together; each part begins in one way only, so that a near miss costs no second reading.
+PART = re.compile(
+    r"[0-9]*|[A-Za-z]?[a-z]*[0-9]{0,4}|[A-Z]+[0-9]{0,4}|"
+    r"[A-Z]?[a-z]{2,}(?:[0-9]{1,2}[a-z]{2,}|[0-9]{0,2}[A-Z][a-z]{2,})*[0-9]{0,2}"
+)
 SEPARATORS = re.compile(r"[+/_=-]+")
 
 Span = tuple[int, int, str]
@@ -71,9 +75,12 @@ def is_known(run: str) -> bool:
 
 def random_spans(text: str, taken: list[Span], encode, max_ratio: float) -> list[Span]:
     found = []
+    waiting, reach = sorted(taken, reverse=True), 0  # of the spans that start before the candidate's end, the furthest end
     for m in CANDIDATE.finditer(text):
         start, end, run = m.start(), m.end(), m[0]
-        if any(a < end and start < b for a, b, _ in taken) or is_known(run):
+        while waiting and waiting[-1][0] < end:
+            reach = max(reach, waiting.pop()[1])
+        if reach > start or is_known(run):
             continue
         if len(run) < max_ratio * len(encode(run)):
             found.append((start, end, "random"))

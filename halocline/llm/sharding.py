@@ -72,10 +72,17 @@ def assign_shards(docs: DataFrame, max_bytes: int, id_col: str = "doc_id", text_
 def write_shards(docs: DataFrame, path: str, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write each shard's documents to ``path/shard=...`` and return the directory, one row per shard.
 
-    Ids must be unique, as rows are matched to their shard by id.
+    Rows are matched to their shard by id. Rows that repeat an id lie together, in the first shard that one of them was assigned to. Where the
+    documents have a column ``shard``, the folders are named by ``shard_``, with as many underscores as it takes.
     """
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]  # columns of any name go through under plain ones
+    folder = "shard"
+    while folder.lower() in {n.lower() for n in names}:
+        folder += "_"
     shards, _ = written(assign_shards(docs, max_bytes, id_col, text_col), "shard-of")
-    of = shards.select(F.col(id_col).alias("__k"), F.col("shard"))
-    placed = docs.join(of, F.col(f"`{id_col}`").eqNullSafe(F.col("__k"))).drop("__k")
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    of = shards.groupBy(F.col(id_col).alias("k")).agg(F.min("shard").alias("of"))
+    placed = docs.toDF(*inner).join(of, F.col(inner[names.index(id_col)]).eqNullSafe(F.col("k")))
+    placed = placed.select(*[F.col(i).alias(n) for i, n in zip(inner, names)], F.col("of").alias(folder))
+    placed.repartition(folder).write.partitionBy(folder).parquet(path)
     return shards.select("shard", "depth", "shard_bytes", "shard_rows", "fits").distinct()

@@ -64,14 +64,15 @@ def fingerprint(raw: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(k, fp): the fingerprint as a signed long."""
+    """(k, th, fp): id, a hash of the text that tells rows of one id apart, and the fingerprint as a signed long."""
 
     def compute(batches: Batches) -> Batches:
         for batch in batches:
             fps = np.array([fingerprint(raw, shingle) for raw in raw_texts(batch)], np.uint64)
-            yield batch_of(k=batch.column("k"), fp=pa.array(fps.view(np.int64)))
+            yield batch_of(k=batch.column("k"), th=batch.column("th"), fp=pa.array(fps.view(np.int64)))
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(compute, f"k {id_type(docs, id_col)}, fp long")
+    source = keyed_text(docs, id_col, text_col).withColumn("th", F.xxhash64("t"))
+    return source.mapInArrow(compute, f"k {id_type(docs, id_col)}, th long, fp long")
 
 
 def ball(most: int) -> Column:
@@ -109,21 +110,33 @@ def links_within(nodes: DataFrame) -> DataFrame:
     return links.filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
+def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(k, th, fp, component_id) per document."""
     rows, _ = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes, _ = written(rows.groupBy("fp").agg(F.min("k").alias("k")), "fingerprint-nodes")
     found = components(links_within(nodes)).withColumnRenamed("a", "fp").withColumnRenamed("b", "root")
     rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("k").alias("component_id"))
     named, _ = written(rooted.join(names, "root").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(named, "fp").select(
+    return rows.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
+    return classes(docs, id_col, text_col, shingle).select(
         F.col("k").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows whose id names their component, with all their columns. Ids must be unique; null ids stay only where they name one."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows whose id names their component, with all their columns.
+
+    Null ids stay only where they name one. An id may repeat: rows are told apart by id and text, and all rows of a component that carry its name stay.
+    """
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]  # columns of any name go through under plain ones
+    key, text = inner[names.index(id_col)], inner[names.index(text_col)]
+    found = classes(docs, id_col, text_col, shingle)
+    gone = found.filter(~F.col("k").eqNullSafe(F.col("component_id"))).select("k", "th").distinct()
+    same = F.col(key).eqNullSafe(F.col("k")) & (F.xxhash64(text) == F.col("th"))
+    return docs.toDF(*inner).join(gone, same, "left_anti").toDF(*names)

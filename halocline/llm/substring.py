@@ -7,7 +7,12 @@ those of equal hash by their words, so that counts are exact.
 
 Strings that repeat inside one block of the input are sent once: the block already knows that all their windows are
 repeated. So a passage that is part of very many documents arrives once per block. Strings are packed per block and
-bucket and compressed. A bucket's task holds the bucket's strings and 8 bytes per window.
+bucket and compressed.
+
+The number of buckets follows from the size of the input, and a pass over the input adds up how many bytes each would get. A bucket above ``BUCKET_BYTES`` has a
+hot minimiser, a phrase before many different words. Its strings are cut again by the minimisers of another hash, under which the
+windows around the phrase part, and so on for up to ``LEVELS`` hashes; equal windows take the same way. So what a task holds at a time, a bucket's
+strings and some 40 bytes per window, is bounded, but for windows that all of these hashes keep together.
 
 Words are runs of anything but ASCII white space, unchanged. Null and empty texts, and those with fewer words than a
 window, lose nothing. Repeated rows repeat all their windows. Documents are matched to their ranges by hashes of id and
@@ -17,6 +22,7 @@ text (128 bits together), so ids may repeat or be null.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,10 @@ MER = 4
 LEVEL = 3
 #: Bytes of text that are cut into strings at a time.
 BLOCK_BYTES = 4 << 20
+#: Bytes of strings that a bucket should have, and those beyond which it is divided; hashes that divide it.
+MEAN_BYTES, BUCKET_BYTES, LEVELS = 6 << 20, 24 << 20, 4
+#: Levels are told apart by the upper bits of a bucket's number.
+LEVEL_BITS = 40
 BASE = 0x9E3779B97F4A7C15
 SPACE, LINE = 32, 10
 
@@ -92,8 +102,8 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def super_kmers(texts: list[bytes], window: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Packed strings of some texts of single-spaced words.
+def super_kmers(texts: list[bytes], window: int, level: int = 0) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Packed strings of some texts of single-spaced words, by the hash of a level.
 
     Buffer, and for each string: text, first word in it, windows, minimiser, and (start, end) in the buffer.
     """
@@ -104,7 +114,7 @@ def super_kmers(texts: list[bytes], window: int) -> tuple[bytes, np.ndarray, np.
     n, mer = len(starts), min(MER, window)
     line = np.repeat(np.arange(len(after)), np.diff(after, prepend=0))
     last = np.minimum(np.arange(n) + mer - 1, n - 1)
-    grams = mixed(Rolling(data).ranges(starts, ends[last]))
+    grams = mixed(Rolling(data).ranges(starts, ends[last]) + np.uint64(level) * np.uint64(BASE))
     least = sliding_min(grams, window - mer + 1)  # never looks past its window, so never past its line
     at = np.flatnonzero(window_starts(after, window))
     if not len(at):
@@ -190,35 +200,33 @@ class Bucket:
                         yield r1, r2, start + a, start + b
 
 
-def pack_blocks(batches: Batches, window: int, buckets: int) -> Batches:
-    """Rows (bucket, blob, refs) of a task's input; bucket -1 has ranges that are known to be repeated already."""
-    pack = zstandard.ZstdCompressor(level=LEVEL).compress
-
-    def block(texts: list[bytes], r1: list[int], r2: list[int]) -> pa.RecordBatch:
-        joined, text, first, count, minimiser, bounds = super_kmers(texts, window)
-        seen: dict[bytes, int] = {}
-        strings = [joined[a:b] for a, b in bounds.tolist()]
-        origin = np.fromiter((seen.setdefault(s, i) for i, s in enumerate(strings)), np.int64, len(strings))
-        known = np.bincount(origin, minlength=len(strings))[origin] > 1 if len(strings) else np.zeros(0, bool)
-        ref1, ref2 = np.array(r1, np.int64)[text], np.array(r2, np.int64)[text]
-        out = {name: [] for name in ("bucket", "blob", "r1", "r2", "start", "stop", "known")}
+class Strings:
+    """Packed strings of a block at one level, with the documents and words at which they start.
 
-        def put(bucket: int, blob: bytes, rows: np.ndarray) -> None:
-            for name, value in (("bucket", bucket), ("blob", blob)):
-                out[name].append(value)
-            for name, values in (("r1", ref1), ("r2", ref2), ("start", first), ("stop", first + count - 1 + window), ("known", known)):
-                out[name].append(pack(np.ascontiguousarray(values[rows]).tobytes()))
-
-        if known.any():
-            put(-1, b"", np.flatnonzero(known))
-        sent = np.flatnonzero(origin == np.arange(len(strings)))
-        where = (minimiser[sent] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        for rows in np.split(sent[order], np.flatnonzero(np.diff(where[order])) + 1) if len(sent) else []:
-            put(int(minimiser[rows[0]] % np.uint64(buckets)), pack(b"\n".join([strings[i] for i in rows.tolist()])), rows)
-        kinds = [pa.int32(), *[pa.binary()] * 6]
-        return batch_of(**{name: pa.array(values, kind) for (name, values), kind in zip(out.items(), kinds)})
+    ``known``: all their windows are reported as repeated already. A string that occurs again in the block is sent once, from its first place.
+    """
 
+    def __init__(self, texts: list[bytes], r1: np.ndarray, r2: np.ndarray, start: np.ndarray, known: np.ndarray, window: int, level: int, buckets: int):
+        joined, text, first, count, minimiser, bounds = super_kmers(texts, window, level)
+        self.strings = [joined[a:b] for a, b in bounds.tolist()]
+        n, seen = len(self.strings), {}
+        origin = np.fromiter((seen.setdefault(s, i) for i, s in enumerate(self.strings)), np.int64, n)
+        again = np.bincount(origin, minlength=n)[origin] > 1 if n else np.zeros(0, bool)
+        was = known[text]
+        self.r1, self.r2, self.start = r1[text], r2[text], start[text] + first
+        self.stop = self.start + count - 1 + window
+        self.known, self.news = again | was, again & ~was
+        self.sent = np.flatnonzero(origin == np.arange(n))
+        self.bucket = (minimiser % np.uint64(buckets)).astype(np.int64) + (level << LEVEL_BITS)
+
+    def next(self, rows: np.ndarray, window: int, level: int, buckets: int) -> Strings:
+        """Some of the strings, cut by the hash of another level."""
+        of = [self.strings[i] for i in rows.tolist()]
+        return Strings(of, self.r1[rows], self.r2[rows], self.start[rows], self.known[rows], window, level, buckets)
+
+
+def blocks(batches: Batches, window: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Texts of single-spaced words that have a window, some megabytes at a time, with the hashes of their documents."""
     texts: list[bytes] = []
     r1: list[int] = []
     r2: list[int] = []
@@ -233,13 +241,80 @@ def pack_blocks(batches: Batches, window: int, buckets: int) -> Batches:
             r2.append(b)
             size += len(raw)
             if size >= BLOCK_BYTES:
-                yield block(texts, r1, r2)
+                yield texts, np.array(r1, np.int64), np.array(r2, np.int64)
                 texts, r1, r2, size = [], [], [], 0
     if texts:
-        yield block(texts, r1, r2)
+        yield texts, np.array(r1, np.int64), np.array(r2, np.int64)
+
+
+def levels_of(block: tuple, window: int, buckets: int, hot: list[np.ndarray]) -> Iterator[tuple[Strings, np.ndarray, int]]:
+    """Strings of a block level by level, the sent ones that stay at this level, and the level; ``hot`` has the divided buckets of each."""
+    texts, r1, r2 = block
+    zero = np.zeros(len(texts), np.int64)
+    level, now = 0, Strings(texts, r1, r2, zero, zero.astype(bool), window, 0, buckets)
+    while True:
+        divided = np.isin(now.bucket[now.sent], hot[level]) if level < len(hot) else np.zeros(len(now.sent), bool)
+        yield now, now.sent[~divided], level
+        if not divided.any():
+            return
+        level, now = level + 1, now.next(now.sent[divided], window, level + 1, buckets)
 
 
-PACKED = "bucket int, blob binary, r1 binary, r2 binary, start binary, stop binary, known binary"
+def pack_blocks(batches: Batches, window: int, buckets: int, hot: list[np.ndarray]) -> Batches:
+    """Rows (bucket, blob, refs) of a task's input; bucket -1 has ranges that are known to be repeated already."""
+    pack = zstandard.ZstdCompressor(level=LEVEL).compress
+    for block in blocks(batches, window):
+        out = {name: [] for name in ("bucket", "blob", "r1", "r2", "start", "stop", "known")}
+        for strings, stay, _ in levels_of(block, window, buckets, hot):
+
+            def put(bucket: int, blob: bytes, rows: np.ndarray, of: Strings = strings) -> None:
+                for name, value in (("bucket", bucket), ("blob", blob)):
+                    out[name].append(value)
+                for name in ("r1", "r2", "start", "stop", "known"):
+                    out[name].append(pack(np.ascontiguousarray(getattr(of, name)[rows]).tobytes()))
+
+            if strings.news.any():
+                put(-1, b"", np.flatnonzero(strings.news))
+            where = strings.bucket[stay]
+            order = np.argsort(where, kind="stable")
+            for rows in np.split(stay[order], np.flatnonzero(np.diff(where[order])) + 1) if len(stay) else []:
+                put(int(strings.bucket[rows[0]]), pack(b"\n".join([strings.strings[i] for i in rows.tolist()])), rows)
+        kinds = [pa.int64(), *[pa.binary()] * 6]
+        yield batch_of(**{name: pa.array(values, kind) for (name, values), kind in zip(out.items(), kinds)})
+
+
+def hot_buckets(rows: DataFrame, window: int, buckets: int, bucket_bytes: int) -> list[np.ndarray]:
+    """The buckets of each level that get more than ``bucket_bytes``: fewer than the strings' bytes over that bound.
+
+    Every pass adds up the bytes of all buckets of a level; there is a further one only while some are too large.
+    """
+    hot: list[np.ndarray] = []
+    while len(hot) < LEVELS - 1:
+        deepest = len(hot)
+
+        def weigh(batches: Batches, hot: list[np.ndarray] = list(hot), deepest: int = deepest) -> Batches:
+            number, size = [], []
+            for block in blocks(batches, window):
+                for strings, stay, level in levels_of(block, window, buckets, hot):
+                    if level == deepest and len(stay):
+                        kinds, which = np.unique(strings.bucket[stay], return_inverse=True)
+                        number.append(kinds)
+                        size.append(np.bincount(which, np.array([len(strings.strings[i]) for i in stay.tolist()])).astype(np.int64))
+                if sum(map(len, number)) > 1 << 16:
+                    yield batch_of(bucket=pa.array(np.concatenate(number)), size=pa.array(np.concatenate(size)))
+                    number, size = [], []
+            if number:
+                yield batch_of(bucket=pa.array(np.concatenate(number)), size=pa.array(np.concatenate(size)))
+
+        sums = rows.mapInArrow(weigh, "bucket long, size long").groupBy("bucket").agg(F.sum("size").alias("size"))
+        found = [r.bucket for r in sums.filter(F.col("size") > bucket_bytes).select("bucket").collect()]
+        if not found:
+            break
+        hot.append(np.array(sorted(found), np.int64))
+    return hot
+
+
+PACKED = "bucket long, blob binary, r1 binary, r2 binary, start binary, stop binary, known binary"
 RANGES = "r1 long, r2 long, start long, stop long"
 
 
@@ -266,19 +341,25 @@ def bucket_ranges(batches: Batches, window: int) -> Batches:
 
 
 def repeated_windows(
-    docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, with_text: bool = False
-) -> DataFrame:
+    docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, with_text: bool = False,
+    bucket_bytes: int = BUCKET_BYTES,
+) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256; ``with_text`` adds ``kept_text``.
 
-    ``buckets``: by default four for each shuffle partition.
+    ``buckets``: by default as many as the texts' bytes ask for, each word being sent about three times.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 4 * parts
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+        buckets = parts * max(1, -(-3 * size // (parts * MEAN_BYTES)))
     k, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = docs.select(k.alias("k"), t.alias("t"), F.xxhash64(k.isNull(), k, t).alias("r1"), F.xxhash64(t, F.lit(1), k).alias("r2"))
 
+    texts = rows.select("r1", "r2", "t")
+    hot = hot_buckets(texts, window, buckets, bucket_bytes)
+
     def pack(batches: Batches) -> Batches:
-        yield from pack_blocks(batches, window, buckets)
+        yield from pack_blocks(batches, window, buckets, hot)
 
     def count(batches: Batches) -> Batches:
         yield from bucket_ranges(batches, window)
@@ -300,7 +381,7 @@ def repeated_windows(
                 **({"kept_text": pa.array([x.decode() for x in kept], pa.string())} if with_text else {}),
             )
 
-    packed = rows.select("r1", "r2", "t").mapInArrow(pack, PACKED)
+    packed = texts.mapInArrow(pack, PACKED)
     # every partition takes the same number of buckets; known ranges only pass through
     place = F.when(F.col("bucket") >= 0, F.col("bucket") % parts).otherwise(F.pmod(F.xxhash64("r1"), F.lit(parts)))
     dealt = packed.repartitionById(parts, place.cast("int"))

@@ -4,7 +4,7 @@
 encoding is that of a shorter prefix. So a state needs only the suffix that may still begin a token,
 and for each point in it where a token may begin: the token that ends there, and how many tokens
 lie behind. Reading a byte either goes on (the word has not ended) or ends the word; both transitions carry
-the change in the number of tokens. States are built when first met and kept, up to ``STATES``.
+the change in the number of tokens. States are built when first met and kept, up to ``STATES``, within a word as well.
 Two neighbouring tokens are compatible when the merges of their joined text give just these two.
 
 *Words.* White space sends every state to the start state. So the state map of a chunk of text is
@@ -100,6 +100,21 @@ class Transducer:
         self.go: list[dict[str, tuple[int, int]]] = [{}]
         self.end: list[dict[str, int]] = [{}]
 
+    def restart(self, at: int) -> int:
+        """Forget all states but the start and the one given; its new number."""
+        state = self.states[at]
+        self.reset()
+        return self.number(state)
+
+    def number(self, state: State) -> int:
+        known = self.ids.get(state)
+        if known is None:
+            known = self.ids[state] = len(self.states)
+            self.states.append(state)
+            self.go.append({})
+            self.end.append({})
+        return known
+
     def last_token(self, state: State, char: str, ended: bool) -> tuple[str, int]:
         """The token that ends at ``char``, and the tokens then, relative to those before ``char``."""
         tail = END if ended else ""
@@ -117,24 +132,20 @@ class Transducer:
         points = [(o, left, d - change) for o, left, d in state.points if suffix[o:] in self.heads]
         points.append((len(suffix), token, 0))
         cut = points[0][0]
-        new = State(suffix[cut:], tuple((o - cut, left, d) for o, left, d in points))
-        number = self.ids.get(new)
-        if number is None:
-            number = self.ids[new] = len(self.states)
-            self.states.append(new)
-            self.go.append({})
-            self.end.append({})
+        number = self.number(State(suffix[cut:], tuple((o - cut, left, d) for o, left, d in points)))
         self.go[at][char] = number, change
         return number, change
 
     def count(self, symbols: str) -> int:
         """Tokens of one pre-token, given as byte symbols."""
-        if len(self.states) > STATES:
-            self.reset()
         go, at, total = self.go, 0, 0
         for char in symbols[:-1]:
             step = go[at].get(char)
-            at, change = step if step is not None else self.follow(at, char)
+            if step is None:
+                if len(self.states) > STATES:  # also within a word: start the table over from the state at hand
+                    at, go = self.restart(at), self.go
+                step = self.follow(at, char)
+            at, change = step
             total += change
         last = symbols[-1]
         change = self.end[at].get(last)

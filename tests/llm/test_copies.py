@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from halocline.llm.components import components
 from halocline.llm.decontaminate import drop_contaminated, find_contained
@@ -188,6 +189,37 @@ def test_repeated_windows_equal_a_plain_count(spark, window, block, monkeypatch)
     assert got == plain_windows(rows, window)
 
 
+@pytest.mark.parametrize("limit", [3000, 400])
+def test_a_minimiser_in_every_document_is_divided(spark, limit):
+    """One phrase before many different words, and copies that no hash can divide."""
+    from halocline.llm import substring
+
+    rng = random.Random(8)
+    phrase = "this phrase is everywhere you look".split()
+    rows = [(i, " ".join([f"a{rng.randrange(9)}", *phrase, *(f"w{rng.randrange(40)}" for _ in range(12)), *phrase])) for i in range(300)]
+    rows += [(1000 + i, " ".join([*phrase, "and", "then", "the", "same", "words", "again"])) for i in range(40)]
+    docs = frame(spark, rows).repartition(5)
+    texts = docs.select(F.col("doc_id").alias("r1"), F.col("doc_id").alias("r2"), F.col("text").alias("t"))
+    hot = substring.hot_buckets(texts, 7, 3, limit)
+    assert len(hot[0]) == 3 and (limit > 400 or len(hot) == substring.LEVELS - 1)
+    got = Counter(map(tuple, repeated_windows(docs, window=7, buckets=3, bucket_bytes=limit).collect()))
+    assert got == plain_windows(rows, 7)
+
+
+def test_short_items_are_never_missed(spark, monkeypatch):
+    from halocline.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)  # many blocks of items
+    rng = random.Random(12)
+    items = [(i, " ".join(f"q{rng.randrange(100_000)}" for _ in range(5 + i % 8))) for i in range(400)]
+    rows = [(i, " ".join([*(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(200))), t, *(f"w{rng.randrange(5000)}" for _ in range(50))]))
+            for i, t in items]
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_contained(docs, bench).collect()}
+    assert got == {(i, i) for i, _ in items}
+    assert drop_contaminated(docs, bench).count() == 0
+
+
 def test_contained_items(spark):
     rng = random.Random(4)
     words = ["w%d" % i for i in range(3000)]
@@ -253,5 +285,23 @@ def test_written_shards(spark, tmp_path):
     assert back.count() == 50 and back.select("shard").distinct().count() == directory.count() > 4
 
 
+def test_shards_of_clashing_names_and_repeated_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(i % 40, "x" * 100, "own") for i in range(60)], "doc_id long, text string, shard string")
+    directory = write_shards(docs, str(tmp_path / "shards"), 1000)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == 60 and set(back.columns) == {"doc_id", "text", "shard", "shard_"} and directory.count() > 4
+    assert back.filter("shard = 'own'").count() == 60
+
+
+def test_near_duplicates_of_clashing_names_and_repeated_ids(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    other = " ".join(f"thing{i}" for i in range(400))
+    rows = [(5, text), (5, other), (3, other), (7, text), (9, text)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, __gone int, k int, th int")
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, other), (5, text)]
+
+
 def test_unpack_bits_order():
     assert np.packbits([1, 0, 0, 0, 0, 0, 0, 0])[0] == 128

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from halocline.llm.licenses import evaluate, scan_licenses
+from halocline.llm.licenses import evaluate, scan_licenses, scan_text
 from halocline.llm.secret_scan import is_known, scan_secrets
 from halocline.llm.token_count import Counter, count_tokens
 
@@ -139,3 +139,50 @@ def test_token_counts_of_a_table(spark, library):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         want.append((str(i), len((t or "").encode()), n, n > 2048))
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("run", ["thisisaverylongidentifiernamewithoutanyseparatorsAB", "a" * 40 + "ABCx1Y", "ab1" * 200_000 + "__Z!", "Ab" * 200_000 + "9Z9z"])
+def test_near_identifiers_do_not_hang(run):
+    assert is_known(run[:1_000_000]) in (True, False)
+
+
+def test_names_that_run_together_are_known():
+    for name in ("camelCaseName12", "HttpServer2Config", "abc12def", "Abc1Def22", "plainlowercase", "ABC123", "a1234"):
+        assert is_known(name)
+    for run in ("a1B2c3D4", "xK9fQ", "Ab1c"):
+        assert not is_known(run)
+
+
+def test_a_file_of_many_secrets_is_linear():
+    from halocline.llm.secret_scan import base_spans, random_spans
+
+    text = "\n".join(f"token = ghp8Qz3LxT9vW2kRb7YcN4mJ6sHd{i} ghp8Qz3LxT9vW2kRb7YcN4mJ6sHd1fUa5Ep{i}" for i in range(20_000))
+    base = base_spans(text)
+    found = random_spans(text, base, lambda run: [0] * len(run), 2.0)
+    assert len(base) == 20_000 and len(found) == 20_000
+    few = text[:3000]
+    slow = [s for s in random_spans(few, [], lambda run: [0] * len(run), 2.0) if not any(a < s[1] and s[0] < b for a, b, _ in base_spans(few))]
+    assert random_spans(few, base_spans(few), lambda run: [0] * len(run), 2.0) == slow
+
+
+def test_ten_megabytes_of_one_phrase_and_of_tags():
+    n = 800_000
+    words, count, first, last, *_ = scan_text(b"MIT License, " * n)
+    assert (words, count, first, last) == (2 * n, n, 0, 2 * n - 2)
+    tagged = scan_text(b"SPDX-License-Identifier: MIT or Apache-2.0 " * 50_000)
+    assert tagged[5] == "apache-2.0,mit" and tagged[7] == "notice"
+
+
+def test_a_grant_far_back_in_a_list_of_grants_counts():
+    near = b"licensed under the MIT license " + b"released under them " * 20
+    assert scan_text(near)[6] == 0.9
+    assert scan_text(b"licensed under " + b"far away " * 40 + b"MIT license")[6] == 0.6
+
+
+def test_states_are_bounded_within_a_word(monkeypatch):
+    rng = random.Random(2)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6000))
+    counter = Counter(WORD)
+    monkeypatch.setattr("halocline.llm.token_count.STATES", 50)
+    assert counter.text(word.encode()) == len(Tokenizer.from_file(WORD).encode(word, add_special_tokens=False).ids)
+    assert len(counter.transducer.states) <= 60
