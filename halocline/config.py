@@ -95,6 +95,8 @@ class BinomialSettings:
     tol: float = 3e-4
     spread_tol: float = 1e-3
     spread_rounds: int = 1000
+    #: Countries with fewer training cohorts are pooled into one; 0 keeps all.
+    pool_min_rows: int = 0
     quadrature_nodes: int = 15
     quadrature_rounds: int = 10
 

@@ -264,6 +264,8 @@ def fit_mix(train: DataFrame, mix: MixSettings = MixSettings(), stage: Callable[
         coefficients = stage(coefficients)
         for table in (stats, winner, lagged):
             table.unpersist()
+    else:
+        coefficients, scales = coefficients.persist(StorageLevel.MEMORY_AND_DISK), scales.persist(StorageLevel.MEMORY_AND_DISK)
     scores = [(i, d, s, float(score.get(i, float("nan")))) for i, (d, s) in enumerate(grid)]
     return MixModel(
         mix=mix,

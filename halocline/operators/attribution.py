@@ -144,12 +144,13 @@ def attribution_checks(summary: DataFrame, max_halo_per_1k: float, decays: DataF
     return out
 
 
-def pool_rare(df: DataFrame, column: str, min_rows: int, label: str = "other") -> DataFrame:
+def pool_rare(df: DataFrame, column: str, min_rows: int, label: str = "other", by: DataFrame | None = None) -> DataFrame:
     """Replace values with fewer than ``min_rows`` rows by ``<column>_other``'s label.
 
-    The frequent values number at most rows / min_rows; only that list is joined.
+    Rows are counted in ``by``, if given (the table that a model is fitted on), else in ``df``. The frequent values number at most
+    rows / min_rows; only that list is joined.
     """
-    keep = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows)
+    keep = (df if by is None else by).groupBy(column).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows)
     kept = keep.select(F.col(column), F.lit(True).alias("_keep"))
     spread = [c for c in df.columns if c != column][:1] or [column]
     joined = lookup_join(df, kept, [column], spread_by=spread)

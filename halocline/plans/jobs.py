@@ -33,6 +33,9 @@ from halocline.operators.purchases import build_iap
 from halocline.sources import readers, sinks
 
 
+OTHER_COUNTRY = "country_other"
+
+
 @dataclass(frozen=True)
 class Paths:
     root: str
@@ -161,12 +164,23 @@ def run_baseline(spark: SparkSession, paths: Paths, settings: Settings = Setting
 def run_binomial(spark: SparkSession, paths: Paths, settings: Settings = Settings()) -> dict[str, DataFrame]:
     """Hierarchical fit, predictions, draws, diagnostics and report."""
     train, test, features = _clean(spark, paths, settings)
-    counted = B.counts_from_share(train, settings.target, settings.weight)
+    least = settings.binomial.pool_min_rows
+
+    def pooled(df: DataFrame) -> DataFrame:
+        return T.pool_rare(df, "country_code", least, OTHER_COUNTRY, by=train) if least else df
+
+    counted = B.counts_from_share(pooled(train), settings.target, settings.weight)
     model = B.fit_binomial(counted, features=features, total=settings.weight, settings=settings.binomial)
     sinks.write_table(B.posterior_draws(model, spark, settings.binomial), paths.result("binomial_draws"))
     draws = spark.read.parquet(paths.result("binomial_draws"))
-    scored = {"train": B.predict_binomial(model, train), "test": B.predict_binomial(model, test)}
-    _score_every(spark, paths, "binomial", settings, lambda df: B.predict_binomial(model, df))
+
+    def predict(df: DataFrame) -> DataFrame:
+        """Predictions under the country's own name; the effect is that of the pool where it was pooled."""
+        named = df.withColumn("_country", F.col("country_code"))
+        return B.predict_binomial(model, pooled(named)).withColumn("country_code", F.col("_country")).drop("_country")
+
+    scored = {"train": predict(train), "test": predict(test)}
+    _score_every(spark, paths, "binomial", settings, predict)
     sinks.write_table(
         B.importance_weights(model, counted, settings.binomial, total=settings.weight), paths.result("binomial_weights")
     )

@@ -272,10 +272,10 @@ filled AS (
   FROM calendar c LEFT JOIN panel p ON c.geo = p.geo AND c.install_date = p.install_date)"""
 
 
-def _adstock_sql(column: str) -> str:
-    terms = [f"{column}"]
+def _adstock_sql(column: str, total: float = 1.0) -> str:
+    terms = [f"{column} * {1.0 / total!r}::DOUBLE"]
     terms += [
-        f"coalesce(lag({column}, {k}) OVER (PARTITION BY geo ORDER BY install_date), 0) * {DECAY ** k}"
+        f"coalesce(lag({column}, {k}) OVER (PARTITION BY geo ORDER BY install_date), 0) * {DECAY ** k / total!r}::DOUBLE"
         for k in range(1, L_MAX)
     ]
     return " + ".join(terms)
@@ -293,6 +293,45 @@ def adstock(spark, d):
     return A.adstock_columns(full, columns, DECAY, L_MAX)
 
 
+_TOTAL = sum(DECAY**k for k in range(L_MAX))
+
+
+@query(
+    "geo install_date observed " + " ".join(f"{c}:6" for c in _columns(CHANNELS)),
+    f"""WITH {completed_sql()}, final AS (
+  SELECT geo, install_date, observed, {", ".join(f"{_adstock_sql(c, _TOTAL)} AS {c}" for c in _columns(CHANNELS))}
+  FROM filled)""",
+)
+def adstock_normalised(spark, d):
+    """Weights that sum to 1, the form that the model uses."""
+    columns = _columns(CHANNELS)
+    full = A.complete_buckets(weekly_panel(spark, d).persist(), columns, 7)
+    return A.adstock_columns(full, columns, DECAY, L_MAX, normalize=True)
+
+
+@query(
+    f"{GEO_DAY} geo {COUNTS}",
+    f"""WITH {weekly_sql()}, best AS (
+  SELECT platform, country_code, sum(total_installs) AS n FROM panel GROUP BY platform, country_code
+  ORDER BY n DESC, platform, country_code LIMIT 3),
+final AS (SELECT p.* FROM panel p JOIN best b ON p.platform = b.platform AND p.country_code = b.country_code)""",
+)
+def top_geo_panel(spark, d):
+    """The panel cut to its three largest geos."""
+    return P.keep_top_geos(weekly_panel(spark, d).persist(), 3)
+
+
+@query(
+    "geo install_date place:int",
+    f"""WITH {weekly_sql()}, final AS (
+  SELECT geo, install_date, row_number() OVER (PARTITION BY geo ORDER BY install_date) AS place FROM panel)""",
+)
+def panel_order(spark, d):
+    """Rows as the sink would write them: the place of each in its geo, by the order of partitions and rows."""
+    ordered = P.ordered(weekly_panel(spark, d).persist()).withColumn("_at", F.monotonically_increasing_id())
+    return ordered.withColumn("place", F.row_number().over(Window.partitionBy("geo").orderBy("_at")))
+
+
 @query(
     "geo install_date logistic:6 michaelis_menten:6 hill:6",
     f"""WITH {weekly_sql()}, final AS (
@@ -337,7 +376,7 @@ def _channels_only(parts: DataFrame) -> DataFrame:
 
 
 def fixed_attribution(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    panel = weekly_panel(spark, d)
+    panel = weekly_panel(spark, d).persist()
     parts = fixed_contributions(panel)
     scale = T.geo_scale(panel, T.predictions_from_contributions(parts))
     return T.attribute(_channels_only(parts), scale, panel), panel
@@ -381,7 +420,7 @@ def contribution_totals(spark, d):
 
 @query("geo scale:6", f"WITH {_scaled_sql()}, final AS (SELECT * FROM scale)")
 def geo_scale(spark, d):
-    panel = weekly_panel(spark, d)
+    panel = weekly_panel(spark, d).persist()
     return T.geo_scale(panel, T.predictions_from_contributions(fixed_contributions(panel)))
 
 
@@ -447,6 +486,17 @@ def halo_over_time(spark, d):
     return T.halo_over_time(fixed_attribution(spark, d)[0], list(EFFECTS))
 
 
+@query(
+    "place:int channel",
+    f"""WITH {_scaled_sql()}, {_SUMMARY}, final AS (
+  SELECT row_number() OVER (ORDER BY halo_total DESC, channel) - 1 AS place, channel FROM summary)""",
+)
+def halo_order(spark, d):
+    """Channels in the order of their columns over time, largest halo first."""
+    names = T.channels_by_halo(fixed_attribution(spark, d)[0])
+    return spark.createDataFrame(list(enumerate(names)), "place int, channel string")
+
+
 @query(
     "geo install_date organic:6 paid_induced:6 true_organic:6",
     f"""WITH {_scaled_sql()}, halo AS (
@@ -501,7 +551,7 @@ tested AS (
 
 def test_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Fixed model on the test weeks: carry-over warmed up on train, calibrated per geo on train."""
-    panel = weekly_panel(spark, d)
+    panel = weekly_panel(spark, d).persist()
     train, test = _split(panel, False), _split(panel, True)
     both = A.with_warmup(train, test).drop("is_test")
     predicted = T.predictions_from_contributions(fixed_contributions(both))

@@ -81,6 +81,13 @@ def test_pipeline(spark, paths):
     assert rows(binom["train_metrics"])[0]["rmse_w"] < 0.4
     assert binom["diagnostics"].filter("r_hat > 1.05").count() == 0
 
+    rare = dataclasses.replace(SETTINGS, binomial=dataclasses.replace(SETTINGS.binomial, pool_min_rows=10**6, quadrature_rounds=0, draws=20))
+    pooled = J.run_binomial(spark, paths, rare)  # every country is rare, and all share one effect
+    names = {r["param"] for r in rows(pooled["effects"]) if r["param"].startswith("u_country")}
+    assert names == {f"u_country[{J.OTHER_COUNTRY}]"}
+    assert {r["country_code"] for r in rows(spark.read.parquet(paths.result("binomial_all")))} == {"US", "DE"}
+    J.run_binomial(spark, paths, SETTINGS)
+
     split = J.build_mix_panel(spark, paths, SETTINGS)
     assert split["full"].filter("geo = 'ios_US'").count() >= 12
     mix = J.run_mix(spark, paths, SETTINGS, draws=50)
@@ -113,7 +120,7 @@ def test_pipeline(spark, paths):
     assert gone.count() > 0 and gone.filter("halo_known or true_organic is not null").count() == 0
     views = J.explore(spark, paths, SETTINGS)
     assert rows(binom["importance"])[0]["n_effective"] > 10 and binom["weighted"].count() == binom["effects"].count()
-    assert mix["sweep"].filter("rmse_w is not null").count() == 4 * 3
+    assert {r["grid"] for r in rows(mix["sweep"])} == {0, 1, 2, 3}  # a fold without a test week has no row
     assert views["pairs"].count() <= 30 and views["daily"].count() > 0
     draws = spark.read.parquet(paths.result("binomial_draws")).filter("param in ('alpha', 'beta[spend]')")
     table = J.analyse_draws(draws, paths.result("summary"))
