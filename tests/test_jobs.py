@@ -22,7 +22,7 @@ SETTINGS = dataclasses.replace(
     train_start=dt.date(2025, 1, 1),
     test_start=dt.date(2025, 3, 1),
     test_end=dt.date(2025, 4, 1),
-    mix=MixSettings(decay_grid=(0.3, 0.6), shape_grid=(1.0, 3.0)),
+    mix=MixSettings(decay_grid=(0.3, 0.6), shape_grid=(1.0, 3.0), refine_steps=1),
 )
 
 
@@ -81,13 +81,6 @@ def test_pipeline(spark, paths):
     assert rows(binom["train_metrics"])[0]["rmse_w"] < 0.4
     assert binom["diagnostics"].filter("r_hat > 1.05").count() == 0
 
-    rare = dataclasses.replace(SETTINGS, binomial=dataclasses.replace(SETTINGS.binomial, pool_min_rows=10**6, quadrature_rounds=0, draws=20))
-    pooled = J.run_binomial(spark, paths, rare)  # every country is rare, and all share one effect
-    names = {r["param"] for r in rows(pooled["effects"]) if r["param"].startswith("u_country")}
-    assert names == {f"u_country[{J.OTHER_COUNTRY}]"}
-    assert {r["country_code"] for r in rows(spark.read.parquet(paths.result("binomial_all")))} == {"US", "DE"}
-    J.run_binomial(spark, paths, SETTINGS)
-
     split = J.build_mix_panel(spark, paths, SETTINGS)
     assert split["full"].filter("geo = 'ios_US'").count() >= 12
     mix = J.run_mix(spark, paths, SETTINGS, draws=50)
@@ -126,6 +119,12 @@ def test_pipeline(spark, paths):
     table = J.analyse_draws(draws, paths.result("summary"))
     assert [r["param"] for r in rows(table["scalars"])] == ["alpha"]
 
+    rare = dataclasses.replace(SETTINGS, binomial=dataclasses.replace(SETTINGS.binomial, pool_min_rows=10**6, quadrature_rounds=0, draws=20))
+    pooled = J.run_binomial(spark, paths, rare)  # every country is rare, and all share one effect
+    names = {r["param"] for r in rows(pooled["effects"]) if r["param"].startswith("u_country")}
+    assert names == {f"u_country[{J.OTHER_COUNTRY}]"}
+    assert {r["country_code"] for r in rows(spark.read.parquet(paths.result("binomial_all")))} == {"US", "DE"}
+
 
 def test_baseline_without_training_rows(spark, tmp_path):
     """An empty training window gives a report without predictions."""
