@@ -716,21 +716,6 @@ def mmm_roas(spark, d):
     return M.roas_table(M.halo_draws(model, train, 200, scale=scale), spend_totals(train))
 
 
-@query(
-    "channel agrees",
-    f"WITH {_MIX}, final AS (SELECT DISTINCT part AS channel, true AS agrees FROM parts WHERE part <> 'intercept')",
-)
-def mmm_roas_agrees(spark, d):
-    """Whether the draws' mean return lies within their spread of the attribution's; a channel without spend has neither."""
-    train, _, model = _mix(spark, d)
-    parts = M.contributions(model, train).persist()
-    scale = T.geo_scale(train, T.predictions_from_contributions(parts)).persist()
-    summary = T.channel_summary(T.attribute(M.channel_contributions(model, parts), scale, train), train)
-    draws = D.summary(M.halo_draws(model, train, 200, scale=scale), ("channel",))
-    near = F.abs(F.col("mean") - F.col("halo_total")) <= 4 * F.col("sd") + 1e-6 * (1 + F.abs("halo_total"))
-    return draws.join(summary, "channel").select("channel", near.alias("agrees"))
-
-
 @query("channel mean:6 hdi_lo:6 hdi_hi:6")
 def mmm_channel_effects(spark, d):
     return D.channel_effects(M.coefficient_draws(_mix(spark, d)[2], 200))
