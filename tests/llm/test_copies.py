@@ -206,10 +206,11 @@ def test_a_minimiser_in_every_document_is_divided(spark, limit):
     assert got == plain_windows(rows, 7)
 
 
-def test_short_items_are_never_missed(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 1 << 24])
+def test_short_items_are_never_missed(spark, monkeypatch, most):
     from halocline.llm import decontaminate
 
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)  # many blocks of items
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
     rng = random.Random(12)
     items = [(i, " ".join(f"q{rng.randrange(100_000)}" for _ in range(5 + i % 8))) for i in range(400)]
     rows = [(i, " ".join([*(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(200))), t, *(f"w{rng.randrange(5000)}" for _ in range(50))]))
@@ -220,7 +221,11 @@ def test_short_items_are_never_missed(spark, monkeypatch):
     assert drop_contaminated(docs, bench).count() == 0
 
 
-def test_contained_items(spark):
+@pytest.mark.parametrize("most", [0, 1 << 24])  # a benchmark that stays on the executors, and one that is broadcast
+def test_contained_items(spark, monkeypatch, most):
+    from halocline.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
     rng = random.Random(4)
     words = ["w%d" % i for i in range(3000)]
     items = [(i, " ".join(rng.choices(words, k=rng.choice([3, 5, 12, 40, 90])))) for i in range(60)] + [(60, None), (61, ""), (62, "w1 w2 w3 w4 w5"), (62, "w6 w7 w8 w9 w10")]
@@ -252,6 +257,25 @@ def test_contained_items(spark):
     assert left.columns == docs.columns
     dirty = {(i, n) for n, (i, t) in enumerate(rows) if any(i == w[0] for w in want)}
     assert left.count() == len(rows) - len(dirty)
+    for some_docs, some_items in [(docs, bench.limit(0)), (docs.limit(0), bench), (docs, bench.filter("item_id >= 60 and item_id < 62"))]:
+        assert find_contained(some_docs, some_items).count() == 0
+        assert drop_contaminated(some_docs, some_items).count() == some_docs.count()
+
+
+def test_items_that_share_a_null_id_and_hot_texts(spark, monkeypatch):
+    from halocline.llm import decontaminate
+
+    items = [(None, " ".join(f"a{n}" for n in range(30))), (None, " ".join(f"b{n}" for n in range(20))), (1, " ".join(f"c{n}" for n in range(12)))]
+    whole = f"x y {items[0][1]} z {items[1][1]} z {items[2][1]}"
+    rows = [(n, whole) for n in range(300)] + [(400 + n, f"w{n} {items[2][1]}") for n in range(20)] + [(500, items[0][1])]
+    docs, got = frame(spark, rows).withColumn("u", F.lit(0)), []
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (0, 1 << 24):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+        got.append(Counter(tuple(r) for r in find_contained(docs, bench).collect()))
+        left = drop_contaminated(docs, bench)
+        assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [500]
+    assert got[0] == got[1] and sum(got[0].values()) == 620
 
 
 def test_shards_split_only_what_is_too_large(spark):
