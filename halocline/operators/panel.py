@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,19 +148,22 @@ def build_panel(
     mix: MixSettings = MixSettings(),
     channels: Sequence[str] | None = None,
     spend_join: str = "left",
+    stage: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Geo by time panel of organic installs, total installs and spend per channel.
 
     The date window is applied before aggregating: the date is a grouping key, so
     the result is the same and the filter reaches the scan. Both sides are reduced
     to geo-days before they meet. Only the channel list is collected, and only if
-    it is not given.
+    it is not given. The keep-lists and the first date each read the geo-days again: ``stage``
+    stores them (see ``sources.sinks.staged``), else installs and costs are scanned for each.
     """
     if channels is None:
         channels = channel_names(costs, mix.top_n_channels, date_from, date_to)
     window = in_window(F.col("install_date"), date_from, date_to)
     counts = install_counts(installs.filter(window), GEO_DAY)
     panel = join_spend(counts, spend_wide(costs.filter(window), channels), spend_join)
+    panel = stage(panel) if stage else panel
     panel = keep_countries(panel, mix.min_country_installs)
     panel = keep_top_geos(panel, mix.top_n_geos)
     panel = bucket_days(panel, mix.cadence_days)

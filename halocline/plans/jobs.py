@@ -203,8 +203,9 @@ def build_mix_panel(spark: SparkSession, paths: Paths, settings: Settings = Sett
     installs = readers.scan(spark, paths.feature("installs")).select(*columns)
     costs = readers.scan_window(spark, paths.raw("costs"), settings.train_start, settings.test_end).select(*columns, "spend")
     panel = P.build_panel(
-        installs, costs, date_from=settings.train_start, date_to=settings.test_end, mix=settings.mix
-    )
+        installs, costs, date_from=settings.train_start, date_to=settings.test_end, mix=settings.mix,
+        stage=sinks.staged(paths.table("mmm_geo_days")),
+    )
     label = F.when(F.col("install_date") < F.lit(settings.test_start), "train").otherwise("test")
     return sinks.write_split(P.ordered(panel.withColumn("split", label)), paths.table("mmm_panel"))
 

@@ -39,7 +39,7 @@ def daily_panel(spark: SparkSession, d: str, channels=CHANNELS, how: str = "left
 
 def weekly_panel(spark: SparkSession, d: str, mix: MixSettings = MixSettings()) -> DataFrame:
     return P.build_panel(
-        star.installs(spark, d, "day"), daily_costs(spark, d), mix=mix, channels=CHANNELS, **WINDOW
+        star.installs(spark, d, "day"), daily_costs(spark, d), mix=mix, channels=CHANNELS, stage=DataFrame.persist, **WINDOW
     )
 
 
@@ -193,7 +193,7 @@ def top_geos(spark, d):
 )
 def mmm_panel(spark, d):
     """Channels picked from the data, as the job does."""
-    return P.build_panel(star.installs(spark, d, "day"), daily_costs(spark, d), **WINDOW)
+    return P.build_panel(star.installs(spark, d, "day"), daily_costs(spark, d), stage=DataFrame.persist, **WINDOW)
 
 
 @query(
