@@ -6,7 +6,8 @@ table of archives (path, records, bytes) is the commit: an archive that a lost t
 
 Reader: one task per archive, in bounded memory. A record counts when its member inflates to its end with the right checksum, it starts with a version line, has a
 length, ends with two line breaks, and fits its block and payload digests. After a failed check the reader looks for the next member or version line that holds a
-valid record, goes on from there, and reports the bytes between as a gap with the reason of the failure.
+valid record, goes on from there, and reports the bytes between as a gap with the reason of the failure. A failed try reads little more than it refutes, so
+that magic bytes or version lines in a row cost linear time. A member holds records, no further members.
 
 Nulls: a null payload is empty, a null URI is left out, a null id is written as such and comes last among equals. Rows that repeat an id and a payload and hold
 the smallest id are responses all. Empty table: no archive. Payloads and URIs of any content and length; control characters in a URI are percent-encoded.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,12 +35,16 @@ from halocline.llm.common import Batches, batch_of, id_type, scratch_path, writt
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 32 << 20
 READ_BYTES = 1 << 18
-HEAD_BYTES = 1 << 14
+#: Bytes of a first look at a member, a header or the way to the next candidate.
+LOOK_BYTES = 1 << 9
 MAGIC = b"\x1f\x8b\x08"
+# Flags in byte 3 of a gzip member's head, and the sizes of its fixed part and of its trailer.
+HEAD_CRC, EXTRA, NAME, COMMENT, RESERVED = 2, 4, 8, 16, 0xE0
+MEMBER_HEAD, TRAILER = 10, 8
 VERSION = re.compile(rb"WARC/\d\.\d\r\n")
 FIELD = re.compile(rb"[!-9;-~]+[ \t]*:|[ \t]")  # a name and its colon, or the continuation of the line before
 CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
-CANDIDATE_BYTES = 10
+VERSION_BYTES = 10
 PREFIX, NO_ID = "<urn:halocline:page:", "<urn:halocline:no-page>"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -143,17 +149,39 @@ class Broken(Exception):
 
 
 class Bytes:
-    """Random reads from bytes or an open file."""
+    """Random reads from bytes or an open file; short reads close to each other are served from one window."""
 
     def __init__(self, source):
         self.source = source
         self.size = len(source) if isinstance(source, bytes) else source.size()
+        self.start, self.window = (0, source) if isinstance(source, bytes) else (0, b"")
+        self.zero_known, self.refuted = (0, -1), (-1, "")
 
     def read(self, at: int, n: int) -> bytes:
-        if isinstance(self.source, bytes):
-            return self.source[at : at + n]
-        self.source.seek(at)
-        return self.source.read(n)
+        n = min(n, self.size - at)
+        if n <= 0:
+            return b""
+        if at < self.start or at + n > self.start + len(self.window):
+            self.source.seek(at)
+            if n >= READ_BYTES:
+                return self.source.read(n)
+            self.start, self.window = at, self.source.read(READ_BYTES)
+        return self.window[at - self.start : at - self.start + n]
+
+    def zero(self, at: int) -> int:
+        """The place of the first zero byte from ``at`` on, or the size; kept for the places in between."""
+        if at >= self.size:
+            return self.size
+        known_from, found = self.zero_known
+        if not known_from <= at <= found:
+            found, size = at, LOOK_BYTES
+            while piece := self.read(found, size):
+                if (hit := piece.find(0)) >= 0:
+                    found += hit
+                    break
+                found, size = found + len(piece), READ_BYTES
+            self.zero_known = at, found
+        return found
 
 
 def digest_fits(stated: str | None, content: bytes) -> bool:
@@ -184,23 +212,32 @@ def entity(fields: dict[str, str], block: bytes) -> tuple[bytes, int | None, boo
     return body, int(stated) if stated.isdigit() else None, "transfer-encoding" not in http
 
 
+def header_at(data: Bytes, at: int) -> tuple[bytes, int]:
+    """The header fields of a record that starts at ``at``, and where its block begins. The look ends at the first line that is no field."""
+    size = LOOK_BYTES
+    while True:
+        start = data.read(at, size)
+        if not VERSION.match(start):
+            raise Broken("no version line")
+        stop = start.find(b"\r\n\r\n")
+        whole = start[VERSION_BYTES : stop if stop >= 0 else start.rfind(b"\r\n")]
+        if (whole or stop >= 0) and not all(FIELD.match(line) for line in whole.split(b"\r\n")):
+            raise Broken("header line without a field")
+        if stop >= 0:
+            return whole, at + stop + 4
+        if at + len(start) >= data.size:
+            raise Broken("header without end")
+        size *= 2
+
+
 def record_at(data: Bytes, at: int) -> tuple[Found, int]:
     """The record that starts at ``at`` and where it ends."""
-    start = data.read(at, HEAD_BYTES)
-    if not VERSION.match(start):
-        raise Broken("no version line")
-    while (stop := start.find(b"\r\n\r\n")) < 0 and at + len(start) < data.size:
-        start = data.read(at, 2 * len(start))
-    if stop < 0:
-        raise Broken("header without end")
-    head = start[start.index(b"\r\n") + 2 : stop]
-    if not all(FIELD.match(line) for line in head.split(b"\r\n")):
-        raise Broken("header line without a field")
+    head, body = header_at(data, at)
     fields = fields_of(head)
     length = fields.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise Broken("no length")
-    n, body = int(length), at + stop + 4
+    n = int(length) if len(length) < 19 else data.size
     if body + n + 4 > data.size:
         raise Broken("block cut off")
     if data.read(body + n, 4) != b"\r\n\r\n":
@@ -220,42 +257,77 @@ def record_at(data: Bytes, at: int) -> tuple[Found, int]:
     return Found(at, end - at, None, kind, *map(fields.get, names), digest, size, payload), end
 
 
+def deflated_at(data: Bytes, at: int) -> int:
+    """Where the compressed bytes of the gzip member at ``at`` begin, after its name and comment of any length."""
+    head = data.read(at, MEMBER_HEAD)
+    if len(head) < MEMBER_HEAD:
+        raise Broken("member cut off")
+    flags, pos = head[3], at + MEMBER_HEAD
+    if flags & RESERVED:
+        raise Broken("member damaged")
+    if flags & EXTRA:
+        pos += 2 + int.from_bytes(data.read(pos, 2), "little")
+    for flag in (NAME, COMMENT):
+        if flags & flag:
+            pos = data.zero(pos) + 1
+    return pos + (2 if flags & HEAD_CRC else 0)
+
+
 def member_at(data: Bytes, at: int) -> tuple[bytes, int]:
-    """Content of the gzip member at ``at`` and where it ends."""
-    unpacker, parts, pos = zlib.decompressobj(31), [], at
+    """Content of the gzip member at ``at`` and where it ends. Heads in a row may lead to the same bytes, which are tried once."""
+    start = deflated_at(data, at)
+    if start == data.refuted[0]:
+        raise Broken(data.refuted[1])
+    try:
+        return inflated(data, start)
+    except Broken as broken:
+        data.refuted = start, broken.reason
+        raise
+
+
+def inflated(data: Bytes, at: int) -> tuple[bytes, int]:
+    """What the compressed bytes at ``at`` hold, by the trailer's checks, and where the trailer ends."""
+    unpacker, parts, pos, size = zlib.decompressobj(-15), [], at, LOOK_BYTES
     while not unpacker.eof:
-        piece = data.read(pos, READ_BYTES)
+        piece = data.read(pos, size)
         if not piece:
             raise Broken("member cut off")
-        pos += len(piece)
+        pos, size = pos + len(piece), READ_BYTES
         try:
             parts.append(unpacker.decompress(piece))
         except zlib.error as error:
             raise Broken("member damaged") from error
-    return b"".join(parts), pos - len(unpacker.unused_data)
+    content, end = b"".join(parts), pos - len(unpacker.unused_data)
+    trailer = data.read(end, TRAILER)
+    if len(trailer) < TRAILER:
+        raise Broken("member cut off")
+    if struct.unpack("<II", trailer) != (zlib.crc32(content), len(content) & 0xFFFFFFFF):
+        raise Broken("member damaged")
+    return content, end + TRAILER
 
 
-def next_candidate(data: Bytes, at: int) -> int:
+def next_candidate(data: Bytes, at: int, candidate: re.Pattern) -> int:
     """The next place from ``at`` on that may start a member or record; the end if there is none."""
+    size = LOOK_BYTES
     while at < data.size:
-        piece = data.read(at, READ_BYTES)
-        if hit := CANDIDATE.search(piece):
+        piece = data.read(at, size)
+        if hit := candidate.search(piece):
             return at + hit.start()
         if at + len(piece) >= data.size:
             break
-        at += len(piece) - CANDIDATE_BYTES
+        at, size = at + len(piece) - VERSION_BYTES, READ_BYTES
     return data.size
 
 
-def salvage(data: Bytes) -> Iterator[Found]:
+def salvage(data: Bytes, members: bool = True) -> Iterator[Found]:
     """All valid records and all gaps of an archive, in order; together they cover every byte once, but for the records of one
-    member, which all stand at the member's bytes."""
+    member, which all stand at the member's bytes. Without ``members`` there are records only."""
     at, gap, reason = 0, None, ""
     while at < data.size:
         try:
-            if data.read(at, len(MAGIC)) == MAGIC:
+            if members and data.read(at, len(MAGIC)) == MAGIC:
                 content, end = member_at(data, at)
-                inside = list(salvage(Bytes(content)))
+                inside = list(salvage(Bytes(content), members=False))
                 found = [f._replace(offset=at, length=end - at) for f in inside if f.reason is None]
                 if not found:
                     raise Broken(inside[0].reason if inside else "empty member", end)
@@ -266,7 +338,7 @@ def salvage(data: Bytes) -> Iterator[Found]:
         except Broken as broken:
             if gap is None:
                 gap, reason = at, broken.reason
-            at = next_candidate(data, broken.end or at + 1)
+            at = next_candidate(data, broken.end or at + 1, CANDIDATE if members else VERSION)
             continue
         if gap is not None:
             yield Found(gap, at - gap, reason)

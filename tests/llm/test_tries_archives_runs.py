@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -189,6 +190,52 @@ def test_garbage_cut_and_wrong_length(compress):
     assert list(salvage(Bytes(b""))) == []
 
 
+@pytest.mark.parametrize("junk", [b"WARC/1.1\r\n", b"WARC/1.1\r\na: b\r\n", bytes.fromhex("1f8b08"), bytes.fromhex("1f8b0808"), bytes.fromhex("1f8b0800000000000003")])
+@pytest.mark.parametrize("stored", [True, False])
+def test_junk_that_looks_like_starts_is_passed_in_linear_time(junk, stored, tmp_path):
+    parts, n = archive(2, False), 1_000_000 // len(junk)
+    data = parts[0] + junk * n + b"\r\n" + parts[1]
+    (tmp_path / "a").write_bytes(data)
+    begin = time.perf_counter()
+    if stored:
+        with pafs.LocalFileSystem().open_input_file(str(tmp_path / "a")) as source:
+            found = list(salvage(Bytes(source)))
+    else:
+        found = list(salvage(Bytes(data)))
+    assert time.perf_counter() - begin < 30
+    assert [(f.offset, f.length, f.reason is None) for f in found] == [
+        (0, len(parts[0]), True), (len(parts[0]), len(junk) * n + 2, False), (len(data) - len(parts[1]), len(parts[1]), True)
+    ]
+
+
+def test_members_inside_members_are_a_gap():
+    parts, nested = archive(1, True), b"x"
+    for _ in range(1500):
+        nested = gz(nested)
+    found = list(salvage(Bytes(nested + parts[0])))
+    assert [(f.offset, f.length, f.reason is None) for f in found] == [(0, len(nested), False), (len(nested), len(parts[0]), True)]
+
+
+@pytest.mark.parametrize("flags", range(32))
+def test_members_with_all_parts_of_a_head(flags):
+    (raw,) = archive(1, False)
+    plain = gz(raw)
+    parts = [(4, b"\x05\0extra"), (8, b"a name" * 3000 + b"\0"), (16, b"a comment\0"), (2, b"\0\0")]
+    member = plain[:3] + bytes([flags]) + plain[4:10] + b"".join(part for flag, part in parts if flags & flag) + plain[10:]
+    found = list(salvage(Bytes(member + plain)))
+    assert [(f.offset, f.length, f.reason) for f in found] == [(0, len(member), None), (len(member), len(plain), None)]
+    assert [f.reason for f in salvage(Bytes(member[:-1]))] == ["member cut off"]
+
+
+def test_long_and_endless_headers():
+    digest = hashlib.sha256(b"").hexdigest()
+    long = page_record(7, "http://p/" + "u" * 3_000_000, b"", digest, None, False)
+    assert ids(salvage(Bytes(long))) == ["<urn:halocline:page:7>"]
+    assert [f.reason for f in salvage(Bytes(b"WARC/1.1\r\na: " + b"b" * 3_000_000))] == ["header without end"]
+    assert [f.reason for f in salvage(Bytes(b"WARC/1.1\r\n\r\n"))] == ["header line without a field"]
+    assert [f.reason for f in salvage(Bytes(b"WARC/1.1\r\nContent-Length: " + b"9" * 5000 + b"\r\n\r\n"))] == ["block cut off"]
+
+
 def test_reader_logs_gaps_and_returns_payloads(spark, tmp_path):
     folder = f"file://{tmp_path}/a"
     archives = write_archives(pages_frame(spark, ODD_PAGES), folder, max_bytes=1 << 20)
