@@ -6,10 +6,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from halocline.llm.packing import Packer, loss_in, pack_documents
+from halocline.llm.packing import LEAST_CUT, Packer, longest, loss_in, pack_documents
 from halocline.llm.quality import Field, N, WIDTH, fit_field, keep_good, learn_field, line_features, score_quality
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -161,6 +162,73 @@ def test_packer_bounds_its_pool():
     assert not packer.items and sum(r[2] for r in packer.take()) == sum(i % 60 + 1 for i in range(500))
 
 
+class Counted(Packer):
+    """Keeps what each sequence holds of the three limits, before it is stored."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.filled = []
+
+    def close(self, pieces):
+        self.filled.append([sum(x) for x in zip(*map(self.demand, pieces))])
+
+
+class BestFit(Counted):
+    """The plain rule: the longest piece that fits, else a cut, over the same pool."""
+
+    def pack(self, keep):
+        while len(self.items) > keep:
+            room, used = np.array(self.caps), []
+            while self.items:
+                self.items.sort(key=lambda item: -len(item[2]))
+                at = next((i for i, item in enumerate(self.items) if (np.array(self.demand(item)) <= room).all()), None)
+                if at is None:
+                    key, start, ids, n, first = self.items[0]
+                    size = longest(start, first, int(room[0]), int(room[2])) if room[1] else 0
+                    if size >= LEAST_CUT:
+                        used.append((key, start, ids[: 4 * size], n, first))
+                        self.items[0] = (key, start + size, ids[4 * size :], n, first)
+                    break
+                used.append(self.items.pop(at))
+                room = room - self.demand(used[-1])
+            self.close(used)
+
+
+def answered_conversations():
+    """(words of all turns, words of the answers) per conversation."""
+    turns = pq.read_table(f"{SF}/conversations.parquet").to_pylist()
+    sizes = defaultdict(lambda: [0, 0])
+    for t in turns:
+        n = len((t["text"] or "").split()) + 1
+        sizes[t["conv_id"]][0] += n
+        sizes[t["conv_id"]][1] += n if t["role"] == "assistant" else 0
+    return [tuple(sizes[k]) for k in sorted(sizes)]
+
+
+def mixed_demands():
+    """Long prompts with short answers, short prompts with long answers, and tiny pieces."""
+    rng = random.Random(5)
+    kinds = [lambda: (rng.randint(300, 700), rng.randint(5, 40)), lambda: (rng.randint(120, 200), 120), lambda: (rng.randint(2, 12), 1)]
+    return [rng.choice(kinds)() for _ in range(600)]
+
+
+@pytest.mark.parametrize("demands, limits", [(answered_conversations, (1024, 8, 400)), (mixed_demands, (1024, 5, 260))])
+def test_dot_product_needs_no_more_sequences_than_best_fit_where_several_limits_bind(demands, limits):
+    counts = {}
+    for rule in (Counted, BestFit):
+        packer = rule(0, *limits, 512)
+        for i, (n, loss) in enumerate(demands()):
+            packer.add(i, b"\0\0\0\0" * n, loss)
+        packer.pack(0)
+        assert (np.array(packer.filled) <= limits).all()
+        counts[rule] = packer.filled
+    assert len(counts[Counted]) <= len(counts[BestFit])
+    full = (np.array(counts[Counted]) >= 0.95 * np.array(limits)).mean(axis=0)
+    assert full[2] > 0.25 and full[0] < 1, full  # not the tokens alone decide
+    least = max(sum(d) / cap for d, cap in zip(zip(*((n, 1, loss) for n, loss in demands())), limits))
+    assert len(counts[Counted]) <= 1.1 * least + 1
+
+
 def test_pipeline_equals_its_plain_stages(spark):
     """Each stage is checked on what its predecessor kept."""
     import corpus_pipeline as cp
