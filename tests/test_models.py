@@ -293,6 +293,27 @@ def test_mix_without_hold_out_says_so(fitted):
         M.fit_mix(train, MixSettings(holdout_share=0.0, decay_grid=(0.5,), shape_grid=(2.0,)))
 
 
+@pytest.mark.parametrize("steadiness", [0.3, 0.01, 1e-4])
+def test_non_negative_ridge_with_steady_channels(steadiness):
+    """Spend that hardly varies is collinear with the intercept; the minimum is that of the best choice of zero coefficients."""
+    rng, n, free = np.random.default_rng(5), 6, 1
+    x = np.column_stack([np.ones(2800), 0.9 + steadiness * rng.standard_normal((2800, n - 2)), np.zeros(2800)])
+    y = 0.2 + x[:, 1:5] @ [0.4, 0.0, 0.3, -0.2] + 0.02 * rng.standard_normal(2800)
+    xy = np.column_stack([x, y])
+    equations = xy.T @ xy
+    found = M.solve(equations, np.zeros(n), M.POOLED_RIDGE, free)
+    a, b = equations[:n, :n] + M.POOLED_RIDGE * np.eye(n), equations[:n, n]
+    best = None
+    for zero in range(2 ** (n - free)):
+        on = [j for j in range(n) if j < free or not zero >> (j - free) & 1]
+        coef = np.zeros(n)
+        coef[on] = np.linalg.solve(a[np.ix_(on, on)], b[on])
+        if coef[free:].min() >= 0 and (best is None or coef @ a @ coef / 2 - b @ coef < best[0]):
+            best = (coef @ a @ coef / 2 - b @ coef, coef)
+    assert found == pytest.approx(best[1], abs=1e-7)
+    assert found[free:].min() >= 0
+
+
 def test_spread_maximises_the_marginal_likelihood(table):
     """Quadrature against a fine sum over each country's effect, given the other coefficients."""
     settings = BinomialSettings()
