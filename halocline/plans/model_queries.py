@@ -342,7 +342,8 @@ def on_grid(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlated_table(spark: SparkSession, d: str) -> DataFrame:
-    return on_grid(clean_features(spark, d), CORRELATED).persist()
+    """The cohorts, few rows, in no more parts than tasks run at once: every pass over them costs a task per part."""
+    return on_grid(clean_features(spark, d), CORRELATED).coalesce(spark.sparkContext.defaultParallelism).persist()
 
 
 _GRID = ", ".join(f"floor(CAST({c} AS DOUBLE) * {GRID} + 0.5) / {GRID} AS {c}" for c in CORRELATED)

@@ -217,3 +217,35 @@ def test_slow_chain_has_fewer_effective_draws(spark):
     )
     (r,) = rows(D.diagnostics(spark.createDataFrame(pdf)))
     assert 40 < r["ess_bulk"] < 300  # about 2000 * (1 - .9) / (1 + .9)
+
+
+def test_the_correlated_table_has_no_more_parts_than_tasks(spark, tmp_path):
+    """Every pass over the cohorts costs a task per part, so the parts of the last shuffle are merged."""
+    from halocline.plans.model_queries import CORRELATED, correlated_table
+
+    n = 800
+    key = np.arange(n)
+    tables = {
+        "region": {"r_regionkey": [0, 1], "r_name": ["EU", "US"]},
+        "nation": {"n_nationkey": [0, 1], "n_regionkey": [0, 1]},
+        "customer": {"c_custkey": [0, 1, 2], "c_nationkey": [0, 1, 1], "c_mktsegment": ["BUILDING", "FURNITURE", "MACHINERY"]},
+        "orders": {
+            "o_orderkey": key, "o_custkey": key * 7 % 3, "o_orderstatus": "F", "o_totalprice": key * 10.0,
+            "o_orderdate": pd.Timestamp("1999-01-01") + pd.to_timedelta(key % 170, unit="D"), "o_orderpriority": np.where(key % 5 < 3, "1-URGENT", "5-LOW"),
+        },
+        "lineitem": {
+            "l_orderkey": key, "l_partkey": key * 5, "l_suppkey": key % 9, "l_linenumber": key % 4, "l_extendedprice": key * 3.0,
+            "l_returnflag": np.array(["R", "A", "N"])[key % 3],
+        },
+    }
+    for name, columns in tables.items():
+        pd.DataFrame(columns).astype({"o_orderdate": "datetime64[us]"} if name == "orders" else {}).to_parquet(tmp_path / f"{name}.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        table = correlated_table(spark, str(tmp_path))
+        assert table.count() == 8
+        assert set(CORRELATED) <= set(table.columns)
+        assert table.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
