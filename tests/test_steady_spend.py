@@ -5,10 +5,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from tests.compare import connect, difference
 
 SEGMENTS = ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE"]
 WEEKS = 339
-QUERIES = entry.queries()
+QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +38,11 @@ def steady(tmp_path_factory):
     return str(at)
 
 
+@pytest.mark.parametrize("name", ["mmm_coefficients"])
+def test_fit_on_steady_spend_equals_sql(spark, steady, name):
+    assert difference(QUERIES[name](spark, steady), connect(steady).sql(ORACLES[name])) is None
+
+
 @pytest.mark.parametrize(
     "name, n_rows, columns",
     [
