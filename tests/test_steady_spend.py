@@ -47,6 +47,7 @@ def test_fit_on_steady_spend_equals_sql(spark, steady, name):
     "name, n_rows, columns",
     [
         ("mmm_channel_effects", 5, ["hdi_lo", "mean", "hdi_hi"]),
+        ("mmm_diagnostics", 50, ["hdi_lo", "mean", "hdi_hi"]),
     ],
 )
 def test_draws_on_steady_spend(spark, steady, name, n_rows, columns):
