@@ -38,7 +38,7 @@ def steady(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["mmm_coefficients", "mmm_contributions", "mmm_evaluation"])
+@pytest.mark.parametrize("name", ["mmm_coefficients", "mmm_contributions", "mmm_evaluation", "mmm_grid_scores"])
 def test_fit_on_steady_spend_equals_sql(spark, steady, name):
     assert difference(QUERIES[name](spark, steady), connect(steady).sql(ORACLES[name])) is None
 
